@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference reads whole files only; it has no stream, watermark, window
+or state semantics to match, so no streaming operator is built (see README).
+"""

@@ -1,7 +1,8 @@
 """Outlier rules and logs: A11, A12, P12-P15, F1, F3.
 
-Bounds are one-row aggregates attached to every row as scalar subqueries
-(``DataFrame.scalar()``): one small job per bound, no join.
+Bounds are one-row aggregates. They are read once (one row, bounded) and
+applied as literals, so later stages that compute their own bounds never
+re-run earlier bound jobs, and the final plan holds no joins for them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.scalar import clip, safe_ln
-from assayline.operators.ranks import exact_quantiles
+from assayline.operators.ranks import column_quantiles, exact_quantiles
 
 # Fixed defaults of the reference.
 MEASURES = ("NPX", "PeptideAbundance")
@@ -20,13 +21,25 @@ IQR_FACTOR = 1.5
 STD_FACTOR = 3
 
 
-def iqr_fences(df: DataFrame, column: str, factor: float = IQR_FACTOR) -> DataFrame:
-    """One row (q1, q3, iqr, lower, upper), exact interpolated quartiles."""
-    q = exact_quantiles(df, column, [0.25, 0.75], names=["q1", "q3"])
+def _fence_cols(factor: float, *keep: str):
     iqr = F.col("q3") - F.col("q1")
-    return q.select("q1", "q3", iqr.alias("iqr"),
-                    (F.col("q1") - F.lit(float(factor)) * iqr).alias("lower"),
-                    (F.col("q3") + F.lit(float(factor)) * iqr).alias("upper"))
+    return [*keep, "q1", "q3", iqr.alias("iqr"),
+            (F.col("q1") - F.lit(float(factor)) * iqr).alias("lower"),
+            (F.col("q3") + F.lit(float(factor)) * iqr).alias("upper")]
+
+
+def iqr_fences(df: DataFrame, column: str, factor: float = IQR_FACTOR,
+               max_rows: int | None = None) -> DataFrame:
+    """One row (q1, q3, iqr, lower, upper), exact interpolated quartiles."""
+    q = exact_quantiles(df, column, [0.25, 0.75], names=["q1", "q3"], max_rows=max_rows)
+    return q.select(*_fence_cols(factor))
+
+
+def iqr_fences_by_column(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR,
+                         max_rows: int | None = None) -> DataFrame:
+    """A11 for several columns in one job: (column, q1, q3, iqr, lower, upper)."""
+    q = column_quantiles(df, columns, [0.25, 0.75], names=["q1", "q3"], max_rows=max_rows)
+    return q.select(*_fence_cols(factor, "column"))
 
 
 def sigma_bounds(df: DataFrame, column: str, factor: float = STD_FACTOR) -> DataFrame:
@@ -38,35 +51,48 @@ def sigma_bounds(df: DataFrame, column: str, factor: float = STD_FACTOR) -> Data
 
 
 def _bounds(bounds: DataFrame):
-    return bounds.select(F.struct("lower", "upper").alias("b")).scalar()
+    row = bounds.select("lower", "upper").first()
+    lo, hi = (row["lower"], row["upper"]) if row is not None else (None, None)
+    return (F.lit(lo).cast("double"), F.lit(hi).cast("double"))
 
 
 def clip_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
-             factor: float = IQR_FACTOR) -> DataFrame:
-    """Values below the low fence become the fence, likewise above."""
+             factor: float = IQR_FACTOR, max_rows: int | None = None) -> DataFrame:
+    """Values below the low fence become the fence, likewise above.
+
+    The reference clips column after column; clipping one column never moves
+    another column's quartiles, so all fences come from one job."""
+    fences = {r["column"]: (r["lower"], r["upper"])
+              for r in iqr_fences_by_column(df, columns, factor, max_rows).collect()}
     for c in columns:
-        b = _bounds(iqr_fences(df, c, factor))
-        df = df.withColumn(c, clip(c, b.getField("lower"), b.getField("upper")))
+        lo, hi = fences.get(c, (None, None))
+        df = df.withColumn(c, clip(c, F.lit(lo).cast("double"), F.lit(hi).cast("double")))
     return df
 
 
 def filter_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
-               factor: float = IQR_FACTOR) -> DataFrame:
+               factor: float = IQR_FACTOR, max_rows: int | None = None) -> DataFrame:
     """Drop rows outside the fences; each column's fences come from the
-    rows the previous column left."""
+    rows the previous column left (filters only shrink the row bound)."""
     for c in columns:
-        b = _bounds(iqr_fences(df, c, factor))
-        df = df.where(F.col(c).between(b.getField("lower"), b.getField("upper")))
+        lo, hi = _bounds(iqr_fences(df, c, factor, max_rows))
+        df = df.where(F.col(c).between(lo, hi))
     return df
 
 
 def null_outliers_sigma(df: DataFrame, columns: Sequence[str] = MEASURES,
                         factor: float = STD_FACTOR) -> DataFrame:
-    """Values outside mean +/- k std become NULL."""
-    for c in columns:
-        b = _bounds(sigma_bounds(df, c, factor))
-        keep = F.col(c).between(b.getField("lower"), b.getField("upper"))
-        df = df.withColumn(c, F.when(keep, F.col(c)))
+    """Values outside mean +/- k std become NULL. Nulling one column
+    leaves the others' moments alone, so one aggregate serves all columns."""
+    k = F.lit(float(factor))
+    aggs = []
+    for i, c in enumerate(columns):
+        m, s = F.avg(c), F.stddev_samp(c)
+        aggs += [(m - k * s).alias(f"lo{i}"), (m + k * s).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    for i, c in enumerate(columns):
+        lo, hi = F.lit(row[f"lo{i}"]).cast("double"), F.lit(row[f"hi{i}"]).cast("double")
+        df = df.withColumn(c, F.when(F.col(c).between(lo, hi), F.col(c)))
     return df
 
 
@@ -74,8 +100,8 @@ def filter_sigma(df: DataFrame, columns: Sequence[str] = MEASURES,
                  factor: float = STD_FACTOR) -> DataFrame:
     """Drop rows outside mean +/- k std, column after column."""
     for c in columns:
-        b = _bounds(sigma_bounds(df, c, factor))
-        df = df.where(F.col(c).between(b.getField("lower"), b.getField("upper")))
+        lo, hi = _bounds(sigma_bounds(df, c, factor))
+        df = df.where(F.col(c).between(lo, hi))
     return df
 
 

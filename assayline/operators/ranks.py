@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ DEFAULT_MAX_GROUP_DISTINCT = 2_000_000
 
 _C, _BEFORE, _N, _B = "_vc", "_before", "_n", "_slice"
 
+# Distinct-value tables kept for the life of the query that uses them.
+_CACHED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist the distinct-value tables made by earlier calls."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
+
 
 def _limit(spark) -> int:
     return int(spark.conf.get(MAX_GROUP_DISTINCT_CONF, str(DEFAULT_MAX_GROUP_DISTINCT)))
@@ -50,15 +60,27 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
-                      max_group_distinct: int | None = None) -> DataFrame:
-    """(by..., value, _vc, _before, _n) over the distinct values of ``value``."""
+                      max_group_distinct: int | None = None,
+                      max_rows: int | None = None) -> DataFrame:
+    """(by..., value, _vc, _before, _n) over the distinct values of ``value``.
+
+    ``max_rows`` is a proven upper bound on the rows of ``df`` (for example
+    an exact count of a persisted input); under the limit it skips the size
+    check, since a group never has more distinct values than rows."""
     by = list(by)
-    counts = value_counts(df, value, by)
     limit = max_group_distinct or _limit(df.sparkSession)
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("d"))
-    row = sizes.agg(F.max("d").alias("m"), F.sum("d").alias("t")).first()
-    biggest, total = (row["m"] or 0), (row["t"] or 0)
+    counts = value_counts(df, value, by)
     group = Window.partitionBy(*by) if by else Window.partitionBy()
+    if max_rows is not None and max_rows <= limit:
+        biggest = total = max_rows
+    else:
+        # The size check is an action; keeping its input (one row per
+        # distinct value) means the query that follows does not recompute it.
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHED.append(counts)
+        sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("d"))
+        row = sizes.agg(F.max("d").alias("m"), F.sum("d").alias("t")).first()
+        biggest, total = (row["m"] or 0), (row["t"] or 0)
     if biggest <= limit:
         # Size checked: one task holds at most `limit` distinct values.
         w = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,12 +103,12 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: bool = True,
-                 out: str | None = None) -> DataFrame:
+                 out: str | None = None, max_rows: int | None = None) -> DataFrame:
     """pandas ``rank(method='average', pct=pct)``, optionally per group; a
     null value (or null group key) gets a null rank."""
     by = list(by)
     out = out or f"{value}_rank"
-    cum = cumulative_counts(df, value, by)
+    cum = cumulative_counts(df, value, by, max_rows=max_rows)
     rank = F.col(_BEFORE) + (F.col(_C) + F.lit(1)) / F.lit(2.0)
     if pct:
         rank = rank / F.col(_N)
@@ -97,14 +119,15 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: bool =
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None,
+                    max_rows: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas/numpy default), exact.
 
     Returns (by..., name_1, ...). Without ``by`` there is always one row
     (nulls when no value exists)."""
     by = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    cum = cumulative_counts(df, value, by)
+    cum = cumulative_counts(df, value, by, max_rows=max_rows)
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                         for i, p in enumerate(probs)])
     h = (F.col(_N) - F.lit(1)) * F.col("_q.p")
@@ -117,3 +140,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo")))
     picks = [F.max(F.when(F.col("_i") == F.lit(i), qv)).alias(n) for i, n in enumerate(names)]
     return hit.groupBy(*by).agg(*picks) if by else hit.agg(*picks)
+
+
+def stack_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
+                  name: str = "column", value: str = "value") -> DataFrame:
+    """(by..., column, value): several measures as one long column, so their
+    order statistics come out of one job with ``column`` as a group key."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value))
+                      for c in columns])
+    return df.select(*by, F.inline(pairs))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     names: Sequence[str] | None = None, by: Sequence[str] = (),
+                     max_rows: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns in one job: (by..., column, names...)."""
+    stacked = stack_columns(df, columns, by)
+    bound = None if max_rows is None else max_rows * len(columns)
+    return exact_quantiles(stacked, "value", probs, by=[*by, "column"], names=names,
+                           max_rows=bound)

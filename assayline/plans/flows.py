@@ -30,11 +30,13 @@ def clean(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool
     for each bound. ``keep_visit_keys`` delays P5 so a split key can use
     visit_id."""
     base = deduped_non_null(tables, month)
+    rows = None
     if persist:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    df = O.clip_iqr(base)
+        rows = base.count()  # materialises the cache; a proven row bound below
+    df = O.clip_iqr(base, max_rows=rows)
     df = O.add_log_columns(df)
-    df = O.clip_iqr(df)
+    df = O.clip_iqr(df, max_rows=rows)
     df = O.null_outliers_sigma(df)
     df = C.drop_medication(C.drop_null_count(df))
     return df if keep_visit_keys else C.drop_visit_keys(df)

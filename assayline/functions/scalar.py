@@ -35,7 +35,8 @@ def safe_ln(c) -> Column:
 def safe_div(a, b) -> Column:
     """a / b as numpy: x/0 -> +-inf, 0/0 -> missing (NULL)."""
     a, b = _c(a), _c(b)
-    return (F.when(b != 0, a / b)
+    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
+             .when(b != 0, a / b)
              .when(a > 0, F.lit(INF))
              .when(a < 0, F.lit(-INF))
              .otherwise(F.lit(None).cast("double")))

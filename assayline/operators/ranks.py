@@ -102,6 +102,27 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
                  .select(*by, value, _C, (F.col("_off") + F.col("_local")).alias(_BEFORE), _N))
 
 
+def rank_table(cum: DataFrame, value: str, by: Sequence[str] = (), pct: bool = True,
+               out: str = "rank") -> DataFrame:
+    """(by..., value, out) from a cumulative-count table."""
+    rank = F.col(_BEFORE) + (F.col(_C) + F.lit(1)) / F.lit(2.0)
+    if pct:
+        rank = rank / F.col(_N)
+    return cum.select(*by, value, rank.alias(out))
+
+
+def attach_rank(df: DataFrame, ranks: DataFrame, value: str, by: Sequence[str] = (),
+                rank_value: str | None = None, out: str = "rank") -> DataFrame:
+    """Left join of per-value ranks onto the rows (null value -> null rank).
+    AQE splits a hot (group, value) key on the row side."""
+    rv = rank_value or value
+    r = ranks.select(*[F.col(k).alias(f"_rk_{k}") for k in by],
+                     F.col(rv).alias("_rv"), F.col(out).alias(f"_ro_{out}"))
+    cond = [df[k] == r[f"_rk_{k}"] for k in by] + [df[value] == r["_rv"]]
+    return (df.join(r, cond, "left")
+              .select(*[df[c] for c in df.columns], r[f"_ro_{out}"].alias(out)))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: bool = True,
                  out: str | None = None, max_rows: int | None = None) -> DataFrame:
     """pandas ``rank(method='average', pct=pct)``, optionally per group; a
@@ -109,25 +130,16 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: bool =
     by = list(by)
     out = out or f"{value}_rank"
     cum = cumulative_counts(df, value, by, max_rows=max_rows)
-    rank = F.col(_BEFORE) + (F.col(_C) + F.lit(1)) / F.lit(2.0)
-    if pct:
-        rank = rank / F.col(_N)
-    ranks = cum.select(*by, F.col(value).alias("_rv"), rank.alias(out))
-    cond = [df[k] == ranks[k] for k in by] + [df[value] == ranks["_rv"]]
-    # Left join on (group, value); AQE splits a hot value on the big side.
-    return df.join(ranks, cond, "left").select(*[df[c] for c in df.columns], ranks[out])
+    return attach_rank(df, rank_table(cum, value, by, pct, out), value, by, out=out)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    max_rows: int | None = None) -> DataFrame:
-    """Linear-interpolation quantiles (pandas/numpy default), exact.
-
-    Returns (by..., name_1, ...). Without ``by`` there is always one row
-    (nulls when no value exists)."""
+def quantiles_from_cumulative(cum: DataFrame, value: str, probs: Sequence[float],
+                              by: Sequence[str] = (),
+                              names: Sequence[str] | None = None) -> DataFrame:
+    """Interpolated quantiles read off a cumulative-count table: only the
+    rows holding positions floor(h) and ceil(h) survive the filter."""
     by = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    cum = cumulative_counts(df, value, by, max_rows=max_rows)
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                         for i, p in enumerate(probs)])
     h = (F.col(_N) - F.lit(1)) * F.col("_q.p")
@@ -142,6 +154,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return hit.groupBy(*by).agg(*picks) if by else hit.agg(*picks)
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                    by: Sequence[str] = (), names: Sequence[str] | None = None,
+                    max_rows: int | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (pandas/numpy default), exact.
+
+    Returns (by..., name_1, ...). Without ``by`` there is always one row
+    (nulls when no value exists)."""
+    cum = cumulative_counts(df, value, list(by), max_rows=max_rows)
+    return quantiles_from_cumulative(cum, value, probs, by, names)
+
+
 def stack_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                   name: str = "column", value: str = "value") -> DataFrame:
     """(by..., column, value): several measures as one long column, so their

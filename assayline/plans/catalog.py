@@ -51,7 +51,7 @@ def register(name: str, sql: str | None, rounded=()):
 
 def _load_all():
     # Importing the modules fills REGISTRY.
-    from assayline.plans import queries_clean, queries_outliers  # noqa: F401
+    from assayline.plans import queries_clean, queries_features, queries_outliers  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from assayline.operators import clean as C
+from assayline.operators import features as F
 from assayline.operators import outliers as O
 from assayline.tables import AssayTables, DEFAULT_MONTH
 
@@ -23,7 +24,12 @@ def deduped_non_null(tables: AssayTables, month: int = DEFAULT_MONTH) -> DataFra
 
 def clean(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool = False,
           persist: bool = True) -> DataFrame:
-    """L1: P1 x3, J1, J2, U1, P10, P12, F1, P12, P14, P4, P2, P5.
+    return clean_with_bound(tables, month, keep_visit_keys, persist)[0]
+
+
+def clean_with_bound(tables: AssayTables, month: int = DEFAULT_MONTH,
+                     keep_visit_keys: bool = False, persist: bool = True):
+    """(L1 table, proven row bound). L1: P1 x3, J1, J2, U1, P10, P12, F1, P12, P14, P4, P2, P5.
 
     The null-dropped month table feeds six bound aggregates, so it is
     persisted once (memory, then local disk) instead of re-running the joins
@@ -39,4 +45,11 @@ def clean(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool
     df = O.clip_iqr(df, max_rows=rows)
     df = O.null_outliers_sigma(df)
     df = C.drop_medication(C.drop_null_count(df))
-    return df if keep_visit_keys else C.drop_visit_keys(df)
+    return (df if keep_visit_keys else C.drop_visit_keys(df)), rows
+
+
+def features(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool = False,
+             **options) -> DataFrame:
+    """L1 then L2: the 45-column month feature table (visit keys optional)."""
+    df, rows = clean_with_bound(tables, month, keep_visit_keys=keep_visit_keys)
+    return F.build_features(df, max_rows=rows, **options)

@@ -84,3 +84,63 @@ cleaned AS (
   SELECT visit_id, visit_month, patient_id, UniProt, Peptide, PeptideAbundance, NPX,
          updrs_1, updrs_2, updrs_3, updrs_4, NPX_log, PeptideAbundance_log FROM c7)"""
     return s
+
+
+STATS = ("mean", "median", "min", "max", "std", "var")
+TARGETS = ("updrs_1", "updrs_2", "updrs_3", "updrs_4")
+_AGG = {"mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "min": "min({c})",
+        "max": "max({c})", "std": "stddev_samp({c})", "var": "var_samp({c})"}
+
+
+def _ratio(a: str = "PeptideAbundance", b: str = "NPX") -> str:
+    return (f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {b} <> 0 THEN {a} / {b} "
+            f"WHEN {a} > 0 THEN CAST('inf' AS DOUBLE) WHEN {a} < 0 THEN CAST('-inf' AS DOUBLE) END")
+
+
+def _avg_rank(col: str, part: str | None = None) -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    tie = f"PARTITION BY {part + ', ' if part else ''}{col}"
+    return (f"CASE WHEN {col} IS NULL THEN NULL ELSE rank() OVER ({p}ORDER BY {col}) + "
+            f"(count(*) OVER ({tie}) - 1) / 2.0 END")
+
+
+def features(month: int = 24, keep_keys: bool = False) -> str:
+    """L1 + L2; final CTE ``feat`` (45 columns, plus visit keys when asked)."""
+    s = clean(month)
+    g = ", ".join(f"{_AGG[st].format(c='NPX_log')} AS g_{st}" for st in STATS)
+    u = ", ".join(f"{_AGG[st].format(c='PeptideAbundance_log')} AS u_{st}" for st in STATS)
+    t = ", ".join(f"{_AGG[st].format(c=tc)} AS {tc}_{st}" for tc in TARGETS for st in STATS)
+    keys = "r.visit_id, r.visit_month, " if keep_keys else ""
+    s += f""",
+f0 AS (SELECT *, {_ratio()} AS Peptide_per_Protein FROM cleaned),
+g AS (SELECT {g}, count(NPX_log) AS g_n FROM f0),
+u AS (SELECT UniProt, {u}, count(PeptideAbundance_log) AS u_n FROM f0 GROUP BY UniProt),
+t AS (SELECT {t} FROM f0),
+r AS (SELECT f0.*, {_avg_rank('NPX_log')} AS rk_npx,
+             {_avg_rank('PeptideAbundance_log', 'UniProt')} AS rk_pa FROM f0),
+feat AS (
+  SELECT {keys}r.updrs_1, r.updrs_2, r.updrs_3, r.updrs_4, r.NPX_log, r.PeptideAbundance_log,
+         r.Peptide_per_Protein,
+         r.rk_npx / g.g_n AS NPX_log_percentile_in_all,
+         {", ".join(f"g.g_{st} AS NPX_log_{st}_in_all" for st in STATS)},
+         r.rk_pa / u.u_n AS PeptideAbundance_log_percentile_in_local,
+         {", ".join(f"u.u_{st} AS PeptideAbundance_log_{st}_in_UniProt" for st in STATS)},
+         {", ".join(f"t.{tc}_{st}" for tc in TARGETS for st in STATS)}
+  FROM r CROSS JOIN g CROSS JOIN t LEFT JOIN u ON r.UniProt = u.UniProt)"""
+    return s
+
+
+FEATURE_DOUBLES = (
+    ["NPX_log", "PeptideAbundance_log", "Peptide_per_Protein", "NPX_log_percentile_in_all"]
+    + [f"NPX_log_{st}_in_all" for st in STATS]
+    + ["PeptideAbundance_log_percentile_in_local"]
+    + [f"PeptideAbundance_log_{st}_in_UniProt" for st in STATS]
+    + [f"{tc}_{st}" for tc in TARGETS for st in STATS])
+
+
+def exact_mean(col: str) -> str:
+    """Mean of a cent-valued, non-negative column rounded half-up to 6
+    places in integer arithmetic: Spark's avg(decimal(18,2)) to the bit."""
+    cents = f"CAST(round({col} * 100) AS BIGINT)"
+    return (f"CAST((2 * sum({cents}) * 10000 + count({col})) // (2 * count({col})) AS DOUBLE)"
+            f" / 1000000")

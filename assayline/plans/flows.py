@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 from assayline.operators import clean as C
 from assayline.operators import features as F
+from assayline.operators import scale as SC
+from assayline.operators import split as SP
 from assayline.operators import outliers as O
-from assayline.tables import AssayTables, DEFAULT_MONTH
+from assayline.tables import AssayTables, DEFAULT_MONTH, TARGETS
 
 
 def joined_month(tables: AssayTables, month: int = DEFAULT_MONTH) -> DataFrame:
@@ -53,3 +55,32 @@ def features(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: b
     """L1 then L2: the 45-column month feature table (visit keys optional)."""
     df, rows = clean_with_bound(tables, month, keep_visit_keys=keep_visit_keys)
     return F.build_features(df, max_rows=rows, **options)
+
+
+def prepare(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_20",
+            seed: int = 42, by_patient: bool = False, scale: str = "minmax") -> DataFrame:
+    """L1, L2, split, scaling fitted on train rows. One table serves all
+    four targets (P16 is a projection of it): keys, split, four labels and
+    the 41 scaled features."""
+    df, rows = clean_with_bound(tables, month, keep_visit_keys=True)
+    feat = F.build_features(df, max_rows=rows, drop_ids=False)
+    feat = SP.assign_split(feat, scheme, seed, by_patient=by_patient)
+    feat = feat.drop("patient_id", "PeptideAbundance", "NPX")
+    feats = model_features(feat.columns)
+    if scale == "minmax":
+        return SC.minmax_scale(feat, feats)
+    if scale == "standard":
+        passthrough = SP.statistic_columns(feats)
+        scaled = [c for c in feats if c not in passthrough]
+        return SC.standard_scale_passthrough(feat, scaled, passthrough,
+                                             keep=[*ID_COLS, "split", *TARGETS])
+    return feat
+
+
+ID_COLS = ("visit_id", "visit_month", "UniProt", "Peptide")
+
+
+def model_features(columns) -> list:
+    """The 41 feature columns: everything but identifiers, split and labels."""
+    skip = set(ID_COLS) | {"split", "fold", "patient_id", *TARGETS}
+    return [c for c in columns if c not in skip]

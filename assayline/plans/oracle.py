@@ -110,7 +110,7 @@ def features(month: int = 24, keep_keys: bool = False) -> str:
     g = ", ".join(f"{_AGG[st].format(c='NPX_log')} AS g_{st}" for st in STATS)
     u = ", ".join(f"{_AGG[st].format(c='PeptideAbundance_log')} AS u_{st}" for st in STATS)
     t = ", ".join(f"{_AGG[st].format(c=tc)} AS {tc}_{st}" for tc in TARGETS for st in STATS)
-    keys = "r.visit_id, r.visit_month, " if keep_keys else ""
+    keys = "r.visit_id, r.visit_month, r.UniProt, r.Peptide, " if keep_keys else ""
     s += f""",
 f0 AS (SELECT *, {_ratio()} AS Peptide_per_Protein FROM cleaned),
 g AS (SELECT {g}, count(NPX_log) AS g_n FROM f0),
@@ -144,3 +144,32 @@ def exact_mean(col: str) -> str:
     cents = f"CAST(round({col} * 100) AS BIGINT)"
     return (f"CAST((2 * sum({cents}) * 10000 + count({col})) // (2 * count({col})) AS DOUBLE)"
             f" / 1000000")
+
+
+def bucket(seed: int, *keys: str) -> str:
+    """DuckDB twin of ``hash_bucket``."""
+    cat = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {cat})), 1, 8) AS BIGINT) % 10000)"
+
+
+def split_case(test: int, val: int, seed: int = 42,
+               keys=("visit_id", "UniProt", "Peptide")) -> str:
+    b = bucket(seed, *keys)
+    return (f"CASE WHEN {b} < {test} THEN 'test' WHEN {b} < {test + val} THEN 'val' "
+            f"ELSE 'train' END")
+
+
+def prepared(month: int = 24, test: int = 2000, val: int = 0, seed: int = 42) -> str:
+    """features with keys + split + min-max scaling fitted on train: CTE ``prep``."""
+    s = features(month, keep_keys=True)
+    mm = ", ".join(f"min({c}) AS {c}__lo, max({c}) AS {c}__hi" for c in FEATURE_DOUBLES)
+    sc = ", ".join(
+        f"(sp.{c} - mm.{c}__lo) / (CASE WHEN mm.{c}__hi - mm.{c}__lo = 0 THEN 1.0 "
+        f"ELSE mm.{c}__hi - mm.{c}__lo END) AS {c}" for c in FEATURE_DOUBLES)
+    s += f""",
+sp AS (SELECT *, {split_case(test, val, seed)} AS split FROM feat),
+mm AS (SELECT {mm} FROM sp WHERE split = 'train'),
+prep AS (SELECT sp.visit_id, sp.visit_month, sp.UniProt, sp.Peptide, sp.split,
+                sp.updrs_1, sp.updrs_2, sp.updrs_3, sp.updrs_4, {sc}
+         FROM sp CROSS JOIN mm)"""
+    return s

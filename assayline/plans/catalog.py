@@ -52,7 +52,8 @@ def register(name: str, sql: str | None, rounded=()):
 def _load_all():
     # Importing the modules fills REGISTRY.
     from assayline.plans import (queries_clean, queries_features,  # noqa: F401
-                                 queries_outliers, queries_reports, queries_split)
+                                 queries_metrics, queries_outliers, queries_reports,
+                                 queries_split)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,7 +53,7 @@ def _load_all():
     # Importing the modules fills REGISTRY.
     from assayline.plans import (queries_clean, queries_features,  # noqa: F401
                                  queries_metrics, queries_outliers, queries_reports,
-                                 queries_split)
+                                 queries_models, queries_split)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F_
 
 from assayline.operators import clean as C
 from assayline.operators import features as F
@@ -84,3 +85,79 @@ def model_features(columns) -> list:
     """The 41 feature columns: everything but identifiers, split and labels."""
     skip = set(ID_COLS) | {"split", "fold", "patient_id", *TARGETS}
     return [c for c in columns if c not in skip]
+
+
+# Model flows (L4, L6-L9) ----------------------------------------------------------------
+def prepared_vectors(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_20",
+                     seed: int = 42):
+    """L4: prepared month table with the 41 features as one vector (cached)."""
+    from assayline.operators import models as MD
+    prep = prepare(tables, month, scheme, seed)
+    feats = model_features(prep.columns)
+    return MD.vectorize(prep, feats), feats
+
+
+def train_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
+                 params_by_target: dict | None = None, scheme: str = "80_20", seed: int = 42,
+                 save_to: str | None = None):
+    """Parameters given per target, else defaults; fit (and save) each target."""
+    from assayline.operators import models as MD
+    vec, feats = prepared_vectors(tables, month, scheme, seed)
+    models = MD.fit_all_targets(vec, family, params_by_target, seed=seed)
+    if save_to:
+        for t, (m, _) in models.items():
+            if m is not None:
+                MD.save_model(m, f"{save_to}/{family}/{t}")
+    return vec, feats, models
+
+
+def month_report(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
+                 models: dict | None = None, params_by_target: dict | None = None,
+                 seed: int = 42) -> DataFrame:
+    """Three tables and a month -> SMAPE per target on test rows, plus
+    the mean. Scores saved models when given, else refits (60/20/20 split)."""
+    from assayline.operators import metrics as M
+    from assayline.operators import models as MD
+    vec, _ = prepared_vectors(tables, month, "60_20_20", seed)
+    if models is None:
+        models = MD.fit_all_targets(vec, family, params_by_target, seed=seed)
+    pred = MD.long_predictions(vec, models, datasets=["test"])
+    ev = M.evaluate(pred, by=["target"], metrics=["smape"])
+    mean = ev.agg(F_.avg("smape").alias("smape")).withColumn("target", F_.lit("mean"))
+    return ev.unionByName(mean.select("target", "smape"))
+
+
+def evaluate_unseen_month(tables: AssayTables, models: dict, month: int,
+                          scope: str = "test", seed: int = 42) -> DataFrame:
+    """Another month prepared with its own scaling, scored by models
+    trained elsewhere; ``scope`` 'test' (published) or 'all'."""
+    from assayline.operators import metrics as M
+    from assayline.operators import models as MD
+    vec, _ = prepared_vectors(tables, month, "80_20", seed)
+    pred = MD.long_predictions(vec, models, datasets=None if scope == "all" else ["test"])
+    return M.evaluate(pred.withColumn("dataset", F_.lit(f"month_{month}")))
+
+
+def tune_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
+                n_trials: int = 5, targets=TARGETS, seed: int = 42, vec=None):
+    """Random search on val, refit on train + val; returns
+    (models, best-parameter table, trial table)."""
+    from assayline.operators import tuning as TU
+    spark = tables.peptides.sparkSession
+    if vec is None:
+        vec, _ = prepared_vectors(tables, month, "64_16_20", seed)
+    trials = TU.sample_trials(spark, family, n_trials, seed)
+    models, tables_, best_rows = {}, [], []
+    for t in targets:
+        hist = TU.run_trials(vec, family, t, trials, seed=seed)
+        tables_.append(TU.trial_table(spark, family, t, hist))
+        best = min(hist, key=lambda h: h[2]) if hist else None
+        if best is not None:
+            models[t] = TU.refit_best(vec, family, t, best[1], seed)
+            best_rows.append((family, t, {k: float(v) for k, v in best[1].items()}))
+    trial_df = tables_[0]
+    for x in tables_[1:]:
+        trial_df = trial_df.unionByName(x)
+    best_df = spark.createDataFrame(best_rows, "family string, target string, "
+                                               "params map<string,double>")
+    return models, best_df, trial_df

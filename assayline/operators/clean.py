@@ -22,7 +22,8 @@ def filter_month(df: DataFrame, month: int = DEFAULT_MONTH) -> DataFrame:
 
 
 def filter_tables(tables: AssayTables, month: int = DEFAULT_MONTH) -> AssayTables:
-    return tables.map(lambda d: filter_month(d, month))
+    """P1 on all three tables; the source prunes first when it can."""
+    return tables.pruned(month).map(lambda d: filter_month(d, month))
 
 
 # J1, J2 -----------------------------------------------------------------------

@@ -32,8 +32,23 @@ SCORE_SCALE = 10000
 _DEC = "decimal(18,2)"
 
 
+# Scan handles (lazy DataFrames, no data) per session and path: building a
+# scan lists files and reads a footer, which is paid once per session.
+_SCANS: dict = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    df = _SCANS.get(key)
+    if df is None:
+        df = _SCANS[key] = spark.read.parquet(key[1])
+    return df
+
+
+def clear_scan_cache() -> None:
+    """Forget scan handles (after the files of a folder were replaced)."""
+    _SCANS.clear()
+    _TABLES.clear()
 
 
 def _visit_cols(custkey: str, orderdate: str):
@@ -45,11 +60,25 @@ def _visit_cols(custkey: str, orderdate: str):
     ]
 
 
-def visit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, month: int | None) -> DataFrame:
+    """orders, pruned to one visit month's order year when asked: a plain
+    range on o_orderdate reaches the Parquet scan (row-group skipping),
+    which ``year(o_orderdate) = ...`` would not."""
+    od = _read(spark, sf_dir, "orders")
+    if month is None:
+        return od
+    if month % 12 != 0:
+        return od.where(F.lit(False))
+    year = BASE_YEAR + month // 12
+    return od.where((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+                    & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
+
+
+def visit_items(spark: SparkSession, sf_dir: str, month: int | None = None) -> DataFrame:
     """One row per line item with its visit keys, UniProt and Peptide."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    od = _orders(spark, sf_dir, month).select("o_orderkey", "o_custkey", "o_orderdate")
     pt = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     # part is the dimension; Catalyst/AQE choose broadcast from its size.
     return (li.join(od, li.l_orderkey == od.o_orderkey)
@@ -76,8 +105,8 @@ def peptides(items: DataFrame) -> DataFrame:
                       .alias("PeptideAbundance")))
 
 
-def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    od = _read(spark, sf_dir, "orders").select(
+def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> DataFrame:
+    od = _orders(spark, sf_dir, month).select(
         "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
     status = F.min("o_orderstatus")
     return (od.select(*_visit_cols("o_custkey", "o_orderdate"),
@@ -93,10 +122,20 @@ def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .when(status == F.lit("F"), F.lit("Off")).alias(MEDICATION_COL)))
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> AssayTables:
-    """S1 on the driver tables: the three assay tables, lazily."""
-    items = visit_items(spark, sf_dir)
-    return AssayTables(proteins(items), peptides(items), clinical(spark, sf_dir))
+def load_tables(spark: SparkSession, sf_dir: str, month: int | None = None) -> AssayTables:
+    """S1 on the driver tables: the three assay tables, lazily. The month
+    filter (P1) calls back here to prune the scans to one order year.
+    Handles are memoised per session (they hold plans, not data)."""
+    key = (id(spark), sf_dir, month)
+    if key not in _TABLES:
+        items = visit_items(spark, sf_dir, month)
+        _TABLES[key] = AssayTables(proteins(items), peptides(items),
+                                   clinical(spark, sf_dir, month),
+                                   month_pruner=lambda m: load_tables(spark, sf_dir, m))
+    return _TABLES[key]
+
+
+_TABLES: dict = {}
 
 
 # DuckDB text of the same mapping, used by the oracle queries.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Callable, Optional
 
 from pyspark.sql import DataFrame
 
@@ -29,6 +30,12 @@ class AssayTables:
     proteins: DataFrame
     peptides: DataFrame
     clinical: DataFrame
+    # Optional source-side month pruning (partition pruning of a layout
+    # partitioned by month, or a pushable predicate the source can derive).
+    month_pruner: Optional[Callable[[int], "AssayTables"]] = field(default=None, compare=False)
 
     def map(self, fn) -> "AssayTables":
         return AssayTables(fn(self.proteins), fn(self.peptides), fn(self.clinical))
+
+    def pruned(self, month: int) -> "AssayTables":
+        return self.month_pruner(month) if self.month_pruner else self

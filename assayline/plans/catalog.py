@@ -51,7 +51,8 @@ def register(name: str, sql: str | None, rounded=()):
 
 def _load_all():
     # Importing the modules fills REGISTRY.
-    from assayline.plans import (queries_clean, queries_features,  # noqa: F401
+    from assayline.plans import (queries_annotation, queries_clean,  # noqa: F401
+                                 queries_features,
                                  queries_metrics, queries_outliers, queries_reports,
                                  queries_models, queries_split)
 

@@ -184,3 +184,30 @@ def load_model(family: str, path: str):
     """S10."""
     cls = RandomForestRegressionModel if family == "random_forest" else GBTRegressionModel
     return cls.load(path)
+
+
+def learning_curve(vec: DataFrame, family: str, label: str, params: dict | None = None,
+                   sizes: Sequence[float] = SP.TRAIN_SIZES, k: int = 5, seed: int = SEED,
+                   scoring: str = "r2") -> DataFrame:
+    """M23 + A23: for each train size and fold, fit on that share of the other
+    folds (nested hash subsets), score train and validation rows (r2, or
+    negative mse), then mean and population std over folds per size. Each
+    fit is distributed; the loop holds only scores."""
+    from assayline.operators import metrics as M
+    spark = vec.sparkSession
+    data = SP.assign_folds(vec, k, seed)
+    sub = SP.split_bucket(seed + 1)
+    rows = []
+    for i, frac in enumerate(sizes):
+        for f in range(k):
+            train = data.where((F.col("fold") != f) & (sub < F.lit(int(round(frac * 10000)))))
+            model, _ = fit(train, family, label, params, seed)
+            if model is None:
+                continue
+            for kind, part in (("train", train), ("val", data.where(F.col("fold") == f))):
+                pred = predict(model, part).select(F.col(label).alias("y"), "p")
+                expr = M.r2_expr() if scoring == "r2" else -M.mse_expr()
+                rows.append((i, float(frac), f, kind, pred.agg(expr.alias("s")).first()["s"]))
+    scores = spark.createDataFrame(rows, "size_index int, fraction double, fold int, kind string, "
+                                         "score double")
+    return M.learning_curve_summary(scores)

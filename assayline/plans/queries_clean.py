@@ -28,16 +28,19 @@ def _nonnull(spark, sf_dir):
 # The three tables as loaded -------------------------------------------------
 @register("load_proteins", Q.with_() + "\nSELECT * FROM proteins", rounded=("NPX",))
 def load_proteins(spark, sf_dir):
+    """Proteins table (all months)."""
     return _tables(spark, sf_dir).proteins
 
 
 @register("load_peptides", Q.with_() + "\nSELECT * FROM peptides", rounded=("PeptideAbundance",))
 def load_peptides(spark, sf_dir):
+    """Peptides table (all months)."""
     return _tables(spark, sf_dir).peptides
 
 
 @register("load_clinical", Q.with_() + "\nSELECT * FROM clinical")
 def load_clinical(spark, sf_dir):
+    """Clinical table (all months)."""
     return _tables(spark, sf_dir).clinical
 
 
@@ -45,17 +48,20 @@ def load_clinical(spark, sf_dir):
 @register("filter_month_proteins", Q.with_(Q.joined(MONTH)) + "\nSELECT * FROM m_pro",
           rounded=("NPX",))
 def filter_month_proteins(spark, sf_dir):
+    """Proteins of month 24 (pruned at the scan)."""
     return C.filter_month(_tables(spark, sf_dir).proteins, MONTH)
 
 
 @register("filter_month_peptides", Q.with_(Q.joined(MONTH)) + "\nSELECT * FROM m_pep",
           rounded=("PeptideAbundance",))
 def filter_month_peptides(spark, sf_dir):
+    """Peptides of month 24."""
     return C.filter_month(_tables(spark, sf_dir).peptides, MONTH)
 
 
 @register("filter_month_clinical", Q.with_(Q.joined(MONTH)) + "\nSELECT * FROM m_cli")
 def filter_month_clinical(spark, sf_dir):
+    """Clinical rows of month 24."""
     return C.filter_month(_tables(spark, sf_dir).clinical, MONTH)
 
 
@@ -65,12 +71,14 @@ SELECT a.visit_id, a.visit_month, a.patient_id, a.UniProt, a.Peptide, a.PeptideA
 FROM m_pep a LEFT JOIN m_pro b ON a.visit_id = b.visit_id AND a.visit_month = b.visit_month
  AND a.patient_id = b.patient_id AND a.UniProt = b.UniProt""")
 def join_peptides_proteins(spark, sf_dir):
+    """Left join of peptides to proteins."""
     t = C.filter_tables(_tables(spark, sf_dir), MONTH)
     return C.join_peptides_proteins(t.peptides, t.proteins)
 
 
 @register("join_clinical", Q.with_(Q.joined(MONTH)) + "\nSELECT * FROM joined")
 def join_clinical(spark, sf_dir):
+    """J1 + J2: the joined month table."""
     return flows.joined_month(_tables(spark, sf_dir), MONTH)
 
 
@@ -91,6 +99,7 @@ _ALL_JOINED = ["visit_id", "visit_month", "patient_id", "UniProt", "Peptide", "P
           + " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in _ALL_JOINED)
           + " AS INTEGER) AS null_count FROM joined")
 def null_count(spark, sf_dir):
+    """Nulls per row of the joined month."""
     return C.add_null_count(flows.joined_month(_tables(spark, sf_dir), MONTH))
 
 

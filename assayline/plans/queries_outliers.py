@@ -33,21 +33,25 @@ FROM (SELECT avg({col}) AS mu, stddev_samp({col}) AS sd FROM nonnull) AS b"""
 
 @register("iqr_fences_npx", _fences_sql("NPX"), rounded=_F)
 def iqr_fences_npx(spark, sf_dir):
+    """Exact IQR fences of NPX."""
     return O.iqr_fences(_nonnull(spark, sf_dir), "NPX")
 
 
 @register("iqr_fences_abundance", _fences_sql("PeptideAbundance"), rounded=_F)
 def iqr_fences_abundance(spark, sf_dir):
+    """Exact IQR fences of PeptideAbundance."""
     return O.iqr_fences(_nonnull(spark, sf_dir), "PeptideAbundance")
 
 
 @register("sigma_bounds_npx", _sigma_sql("NPX"), rounded=_S)
 def sigma_bounds_npx(spark, sf_dir):
+    """Mean +/- 3 std bounds of NPX."""
     return O.sigma_bounds(_nonnull(spark, sf_dir), "NPX")
 
 
 @register("sigma_bounds_abundance", _sigma_sql("PeptideAbundance"), rounded=_S)
 def sigma_bounds_abundance(spark, sf_dir):
+    """Mean +/- 3 std bounds of PeptideAbundance."""
     return O.sigma_bounds(_nonnull(spark, sf_dir), "PeptideAbundance")
 
 

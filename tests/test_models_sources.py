@@ -104,3 +104,12 @@ def test_params_json_scan_and_sinks(spark):
     FS.write_metrics_csv(m, f"{out}/metrics/a")
     assert FS.read_metrics_csv(spark, f"{out}/metrics/a").count() == 1
     assert os.path.isdir(f"{out}/trials")
+
+
+def test_learning_curve_shape(spark):
+    vec = MD.vectorize(_learnable(spark, 300), ["a", "b", "c"])
+    lc = MD.learning_curve(vec, "random_forest", "updrs_1", {"n_estimators": 5, "max_depth": 3},
+                           sizes=(0.5, 1.0), k=3).collect()
+    assert len(lc) == 4   # 2 sizes x (train, val)
+    full = [r for r in lc if r["fraction"] == 1.0 and r["kind"] == "val"][0]
+    assert full["score_mean"] > 0.5 and full["score_std"] >= 0

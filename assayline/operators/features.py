@@ -58,11 +58,11 @@ def npx_columns(df: DataFrame, cum: DataFrame, global_q: dict, to_log: bool = Tr
     col = "NPX_log" if to_log else "NPX"
     ranks = R.rank_table(cum.where(F.col("column") == F.lit(col)), "value", pct=pct, out="_r")
     df = R.attach_rank(df, ranks, col, rank_value="value", out="_r")
-    df = df.withColumnRenamed("_r", f"{col}_percentile_in_{properties_on}")
-    for s in stats:
-        v = global_q[(col, "median")] if s == "median" else simple[f"{col}__{s}"]
-        df = df.withColumn(f"{col}_{s}_in_{properties_on}", F.lit(v).cast("double"))
-    return df
+    consts = [F.lit(global_q[(col, "median")] if s == "median" else simple[f"{col}__{s}"])
+              .cast("double").alias(f"{col}_{s}_in_{properties_on}") for s in stats]
+    # One projection (chained withColumn re-analyses the whole plan each time).
+    return df.select(*[c for c in df.columns if c != "_r"],
+                     F.col("_r").alias(f"{col}_percentile_in_{properties_on}"), *consts)
 
 
 # W3/W4 + A3 -------------------------------------------------------------------------------
@@ -97,16 +97,16 @@ def abundance_columns(df: DataFrame, cum: DataFrame, to_log: bool = True,
 # A4/A5 ---------------------------------------------------------------------------------------
 def target_columns(df: DataFrame, global_q: dict, simple: dict,
                    stats: Sequence[str] = S.DEFAULT_STATS, targets=TARGETS) -> DataFrame:
+    cols = []
     for t in targets:
         for s in stats:
             if s == "percentile":
-                for p in S.PERCENTILES:
-                    df = df.withColumn(f"{t}_percentile_p{p}",
-                                       F.lit(global_q[(t, f"p{p}")]).cast("double"))
+                cols += [F.lit(global_q[(t, f"p{p}")]).cast("double").alias(f"{t}_percentile_p{p}")
+                         for p in S.PERCENTILES]
             else:
                 v = global_q[(t, "median")] if s == "median" else simple[f"{t}__{s}"]
-                df = df.withColumn(f"{t}_{s}", F.lit(v).cast("double"))
-    return df
+                cols.append(F.lit(v).cast("double").alias(f"{t}_{s}"))
+    return df.select("*", *cols)
 
 
 def _global_values(df: DataFrame, cum: DataFrame, columns: Sequence[str],
@@ -167,9 +167,7 @@ def row_target_stats(df: DataFrame, targets=TARGETS,
     var = F.when(n > 1, ss / (n - 1))
     exprs = {"mean": mean, "median": med, "min": F.array_min(arr), "max": F.array_max(arr),
              "std": F.sqrt(var), "var": var}
-    for s in stats:
-        df = df.withColumn(f"updrs_total_{s}", exprs[s])
-    return df
+    return df.select("*", *[exprs[s].alias(f"updrs_total_{s}") for s in stats])
 
 
 # A1, J3, J4, J5 (L3) ------------------------------------------------------------------------------

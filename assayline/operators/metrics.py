@@ -119,9 +119,7 @@ def error_histogram(pred: DataFrame, value: str = "error", bins: int = 25,
 
 def round3(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Python-style (half-even) rounding to 3 places."""
-    for c in cols:
-        df = df.withColumn(c, round_half_even(c, 3))
-    return df
+    return df.withColumns({c: round_half_even(c, 3) for c in cols})
 
 
 # Fixed predictors: group means of the label on train rows --------------------------

@@ -64,10 +64,11 @@ def clip_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
     another column's quartiles, so all fences come from one job."""
     fences = {r["column"]: (r["lower"], r["upper"])
               for r in iqr_fences_by_column(df, columns, factor, max_rows).collect()}
+    new = {}
     for c in columns:
         lo, hi = fences.get(c, (None, None))
-        df = df.withColumn(c, clip(c, F.lit(lo).cast("double"), F.lit(hi).cast("double")))
-    return df
+        new[c] = clip(c, F.lit(lo).cast("double"), F.lit(hi).cast("double"))
+    return df.withColumns(new)
 
 
 def filter_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
@@ -90,10 +91,11 @@ def null_outliers_sigma(df: DataFrame, columns: Sequence[str] = MEASURES,
         m, s = F.avg(c), F.stddev_samp(c)
         aggs += [(m - k * s).alias(f"lo{i}"), (m + k * s).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
+    new = {}
     for i, c in enumerate(columns):
         lo, hi = F.lit(row[f"lo{i}"]).cast("double"), F.lit(row[f"hi{i}"]).cast("double")
-        df = df.withColumn(c, F.when(F.col(c).between(lo, hi), F.col(c)))
-    return df
+        new[c] = F.when(F.col(c).between(lo, hi), F.col(c))
+    return df.withColumns(new)
 
 
 def filter_sigma(df: DataFrame, columns: Sequence[str] = MEASURES,
@@ -107,6 +109,4 @@ def filter_sigma(df: DataFrame, columns: Sequence[str] = MEASURES,
 
 def add_log_columns(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
     """``{c}_log`` = natural log with numpy's edge values."""
-    for c in columns:
-        df = df.withColumn(f"{c}_log", safe_ln(c))
-    return df
+    return df.withColumns({f"{c}_log": safe_ln(c) for c in columns})

@@ -67,11 +67,17 @@ def npx_columns(df: DataFrame, cum: DataFrame, global_q: dict, to_log: bool = Tr
 
 # W3/W4 + A3 -------------------------------------------------------------------------------
 def protein_stats_table(df: DataFrame, cum: DataFrame, column: str,
-                        stats: Sequence[str] = S.DEFAULT_STATS) -> DataFrame:
+                        stats: Sequence[str] = S.DEFAULT_STATS,
+                        max_rows: int | None = None) -> DataFrame:
     """(UniProt, {column}_{stat}_in_UniProt ...): one row per protein."""
     name = lambda s: f"{column}_{s}_in_UniProt"
-    plain = df.where(F.col("UniProt").isNotNull()).groupBy("UniProt").agg(
-        *S.simple_aggs(column, stats, name))
+    aggs = S.simple_aggs(column, stats, name)
+    src = df.where(F.col("UniProt").isNotNull())
+    if "median" in stats and R.small_exact(df.sparkSession, max_rows):
+        # Proven small input: the exact median joins the same aggregate.
+        aggs.append(F.percentile(column, F.lit(0.5)).alias(name("median")))
+        return src.groupBy("UniProt").agg(*aggs)
+    plain = src.groupBy("UniProt").agg(*aggs)
     if "median" not in stats:
         return plain
     med = (_medians(cum.where(F.col("column") == F.lit(column)))
@@ -81,7 +87,8 @@ def protein_stats_table(df: DataFrame, cum: DataFrame, column: str,
 
 def abundance_columns(df: DataFrame, cum: DataFrame, to_log: bool = True,
                       properties_on: str = "local", pct: bool = True,
-                      stats: Sequence[str] = S.DEFAULT_STATS) -> DataFrame:
+                      stats: Sequence[str] = S.DEFAULT_STATS,
+                      max_rows: int | None = None) -> DataFrame:
     col = "PeptideAbundance_log" if to_log else "PeptideAbundance"
     ranks = (R.rank_table(cum.where(F.col("column") == F.lit(col)), "value", ["grp"],
                           pct=pct, out="_r")
@@ -89,7 +96,7 @@ def abundance_columns(df: DataFrame, cum: DataFrame, to_log: bool = True,
     df = R.attach_rank(df, ranks, col, ["UniProt"], rank_value="value", out="_r")
     df = df.withColumnRenamed("_r", f"{col}_percentile_in_{properties_on}")
     # One row per protein: AQE broadcasts it when the runtime size allows.
-    per_protein = protein_stats_table(df, cum, col, stats)
+    per_protein = protein_stats_table(df, cum, col, stats, max_rows)
     out_cols = [f"{col}_{s}_in_UniProt" for s in stats]
     return df.join(per_protein, "UniProt", "left").select(*df.columns, *out_cols)
 
@@ -110,18 +117,29 @@ def target_columns(df: DataFrame, global_q: dict, simple: dict,
 
 
 def _global_values(df: DataFrame, cum: DataFrame, columns: Sequence[str],
-                   stats: Sequence[str], percentiles: bool) -> tuple[dict, dict]:
+                   stats: Sequence[str], percentiles: bool,
+                   max_rows: int | None = None) -> tuple[dict, dict]:
     """Whole-table statistics as Python floats: one aggregate row plus the
-    medians/percentiles read off ``cum`` (rows = number of columns)."""
+    medians/percentiles (in the same aggregate under a small proven row
+    bound, else read off ``cum``)."""
     aggs = []
     for c in columns:
         aggs += S.simple_aggs(c, stats, lambda s, c=c: f"{c}__{s}")
-    simple = df.agg(*aggs).first().asDict() if aggs else {}
     probs, names = [0.5], ["median"]
     if percentiles:
         probs += [p / 100 for p in S.PERCENTILES]
         names += [f"p{p}" for p in S.PERCENTILES]
     q = {}
+    if R.small_exact(df.sparkSession, max_rows):
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        aggs += [F.percentile(c, arr).alias(f"{c}__q") for c in columns]
+        row = df.agg(*aggs).first().asDict()
+        for c in columns:
+            vals = row.pop(f"{c}__q")
+            for i, n in enumerate(names):
+                q[(c, n)] = None if vals is None else vals[i]
+        return row, q
+    simple = df.agg(*aggs).first().asDict() if aggs else {}
     glob = cum.where((F.col("grp") == F.lit(GLOBAL)) & F.col("column").isin(list(columns)))
     for r in _medians(glob, probs, names).collect():
         for n in names:
@@ -137,7 +155,7 @@ def global_stats_row(df: DataFrame, columns: Sequence[str], stats: Sequence[str]
     """A2/A4/A5 as a one-row DataFrame ({column}_{stat} by default)."""
     name = name or (lambda c, s: f"{c}_{s}")
     cum = order_statistics(df, [(c, None) for c in columns], max_rows)
-    simple, q = _global_values(df, cum, columns, stats, "percentile" in stats)
+    simple, q = _global_values(df, cum, columns, stats, "percentile" in stats, max_rows)
     cols = []
     for c in columns:
         for s in stats:
@@ -214,9 +232,9 @@ def build_features(df: DataFrame, max_rows: int | None = None, to_log: bool = Tr
     cum = order_statistics(df, specs, max_rows)
     # One aggregate job and one order-statistic job serve every global value.
     every = list(dict.fromkeys([*stats, *tstats]))
-    simple, q = _global_values(df, cum, [npx, *targets], every, "percentile" in tstats)
+    simple, q = _global_values(df, cum, [npx, *targets], every, "percentile" in tstats, max_rows)
     df = npx_columns(df, cum, q, to_log, pct=percentile_option, stats=stats, simple=simple)
-    df = abundance_columns(df, cum, to_log, pct=percentile_option, stats=stats)
+    df = abundance_columns(df, cum, to_log, pct=percentile_option, stats=stats, max_rows=max_rows)
     df = target_columns(df, q, simple, tstats, targets)
     if drop_ids:
         df = df.drop("patient_id", "PeptideAbundance", "NPX", "UniProt", "Peptide")

@@ -33,6 +33,10 @@ from assayline.session import cut_lineage
 
 MAX_GROUP_DISTINCT_CONF = "assayline.rank.maxGroupDistinct"
 DEFAULT_MAX_GROUP_DISTINCT = 2_000_000
+# Inputs with at most this many rows (a proven bound) may use Spark's exact
+# ``percentile`` aggregate, whose buffer holds the distinct values of a group.
+SMALL_EXACT_CONF = "assayline.quantile.smallExactRows"
+DEFAULT_SMALL_EXACT = 1_000_000
 
 _C, _BEFORE, _N, _B = "_vc", "_before", "_n", "_slice"
 
@@ -154,13 +158,36 @@ def quantiles_from_cumulative(cum: DataFrame, value: str, probs: Sequence[float]
     return hit.groupBy(*by).agg(*picks) if by else hit.agg(*picks)
 
 
+def small_exact(spark, max_rows: int | None) -> bool:
+    """True when a proven row bound allows the single-buffer exact aggregate."""
+    limit = int(spark.conf.get(SMALL_EXACT_CONF, str(DEFAULT_SMALL_EXACT)))
+    return max_rows is not None and max_rows <= limit
+
+
+def percentile_exprs(value: str, probs: Sequence[float], names: Sequence[str]):
+    """Exact interpolated quantiles as one aggregate (size-checked use only)."""
+    arr = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
+    return arr, [F.col("_pq")[i].alias(n) for i, n in enumerate(names)]
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None,
                     max_rows: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas/numpy default), exact.
 
     Returns (by..., name_1, ...). Without ``by`` there is always one row
-    (nulls when no value exists)."""
+    (nulls when no value exists). Under a small proven row bound this is one
+    aggregate; otherwise positions are read off distributed cumulative counts."""
+    by = list(by)
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if small_exact(df.sparkSession, max_rows):
+        cond = F.lit(True)
+        for k in by:
+            cond = cond & F.col(k).isNotNull()
+        arr, picks = percentile_exprs(value, probs, names)
+        src = df.where(cond)
+        agg = (src.groupBy(*by) if by else src).agg(arr.alias("_pq"))
+        return agg.select(*by, *picks)
     cum = cumulative_counts(df, value, list(by), max_rows=max_rows)
     return quantiles_from_cumulative(cum, value, probs, by, names)
 

@@ -77,3 +77,15 @@ def test_empty_input_quantile_is_one_null_row(spark):
     df = spark.createDataFrame([], "v double")
     row = R.exact_quantiles(df, "v", [0.5], names=["m"]).collect()
     assert len(row) == 1 and row[0]["m"] is None
+
+
+def test_small_path_equals_distributed_path(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("ab"), float(rnd.randint(0, 30)) / 4) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.25, 0.5, 0.75]
+    small = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"], max_rows=400).collect()}
+    big = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in "ab":
+        assert [small[g][f"q{int(p * 100)}"] for p in probs] == \
+            pytest.approx([big[g][f"q{int(p * 100)}"] for p in probs])

@@ -41,6 +41,10 @@ LIBRARY_DEFAULTS = {
     "lightgbm": {"n_estimators": 100, "max_depth": -1, "learning_rate": 0.1},
 }
 IGNORED = ("min_samples_split", "num_leaves", "max_leaf_nodes", "reg_alpha", "reg_lambda")
+# Execution settings (the fitted model is the same): more node statistics per
+# pass over the data, and node ids cached (checkpointed to the shared folder
+# every 10 iterations) instead of re-deriving them from the trees each pass.
+EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
 @dataclass
@@ -101,7 +105,8 @@ def estimator(family: str, label: str, params: dict | None = None, seed: int = S
     merged.update(params or {})
     sp, ignored, clamped = to_spark_params(family, merged)
     cls = RandomForestRegressor if family == "random_forest" else GBTRegressor
-    est = cls(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed, **sp)
+    est = cls(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed,
+              **EXECUTION, **sp)
     return est, FitReport(family, label, sp, ignored, clamped, family in APPROXIMATE)
 
 

@@ -108,7 +108,10 @@ def peptides(items: DataFrame) -> DataFrame:
 def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> DataFrame:
     od = _orders(spark, sf_dir, month).select(
         "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    status = F.min("o_orderstatus")
+    # o_orderstatus is a one-letter code (CHAR(1)): the smallest character
+    # code is the smallest status, and an integer minimum keeps the aggregate
+    # hash-based (a string minimum forces a sort-based aggregate).
+    status = F.min(F.ascii("o_orderstatus"))
     return (od.select(*_visit_cols("o_custkey", "o_orderdate"),
                       "o_totalprice", "o_orderstatus", "o_orderpriority")
               .groupBy(*_visit_keys())
@@ -118,8 +121,8 @@ def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> Data
                     .cast("double").alias("updrs_3"),
                    F.sum(F.when(F.col("o_orderpriority") == F.lit(URGENT), 1).otherwise(0))
                     .cast("double").alias("updrs_4"),
-                   F.when(status == F.lit("O"), F.lit("On"))
-                    .when(status == F.lit("F"), F.lit("Off")).alias(MEDICATION_COL)))
+                   F.when(status == F.lit(ord("O")), F.lit("On"))
+                    .when(status == F.lit(ord("F")), F.lit("Off")).alias(MEDICATION_COL)))
 
 
 def load_tables(spark: SparkSession, sf_dir: str, month: int | None = None) -> AssayTables:

@@ -161,3 +161,26 @@ def minmax_fit(spark, sf_dir):
 def standard_fit(spark, sf_dir):
     """Mean and population std of each feature on train rows."""
     return SC.standard_fit(_features_with_split(spark, sf_dir), Q.FEATURE_DOUBLES)
+
+
+_STD_SCALED = [c for c in Q.FEATURE_DOUBLES if c not in SP.statistic_columns(Q.FEATURE_DOUBLES)]
+_STD_PASS = SP.statistic_columns(Q.FEATURE_DOUBLES)
+
+
+def _standard_sql():
+    st = ", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in _STD_SCALED)
+    sc = ", ".join(f"(sp.{c} - st.{c}__m) / (CASE WHEN st.{c}__s = 0 THEN 1.0 ELSE st.{c}__s END) "
+                   f"AS {c}" for c in _STD_SCALED)
+    return (Q.with_(Q.features(MONTH, keep_keys=True))
+            + f",\nsp AS (SELECT *, {Q.split_case(2000, 0)} AS split FROM feat),\n"
+            + f"st AS (SELECT {st} FROM sp WHERE split = 'train')\n"
+            + f"SELECT {sc}, " + ", ".join(f"sp.{c}" for c in _STD_PASS)
+            + ", sp.visit_id, sp.visit_month, sp.UniProt, sp.Peptide, sp.split, "
+              "sp.updrs_1, sp.updrs_2, sp.updrs_3, sp.updrs_4 FROM sp CROSS JOIN st")
+
+
+@register("standard_scale_month_24", _standard_sql(), rounded=tuple(Q.FEATURE_DOUBLES))
+def standard_scale_month_24(spark, sf_dir):
+    """M9: measure columns standardised on train rows (population std),
+    statistic columns passed through; scaled columns first."""
+    return flows.prepare(load_tables(spark, sf_dir), MONTH, scale="standard")

@@ -42,7 +42,7 @@ def r2_expr(y="y", p="p") -> Column:
     """1 - SSE / SST, SST = n * population variance of y."""
     sse = F.sum(F.pow(F.col(y) - F.col(p), 2))
     sst = F.count(F.col(y)) * F.var_pop(F.col(y))
-    return F.lit(1.0) - sse / sst
+    return F.when(sst != 0, F.lit(1.0) - sse / sst)
 
 
 # Metric chosen by name.
@@ -133,3 +133,50 @@ def group_mean_predictor(long: DataFrame, group: Sequence[str], split_col: str =
 def apply_group_mean(long: DataFrame, model: DataFrame, group: Sequence[str]) -> DataFrame:
     """Predict: join the group means (one row per target and group)."""
     return long.join(model, ["target", *group], "left")
+
+
+def learning_curve_group_mean(long: DataFrame, group: Sequence[str], fold: str = "fold",
+                              sub: str = "sub", sizes: Sequence[float] = (0.1, 0.325, 0.55,
+                                                                          0.775, 1.0),
+                              k: int = 5) -> DataFrame:
+    """M23 with the group-mean predictor, without multiplying rows.
+
+    Each row lies in one fold and one nested size bucket (the smallest size
+    whose subset holds it), so ONE row-level aggregate of (n, sum y, sum y^2)
+    per (fold, bucket, target, group) carries everything: the 25 fits and
+    their r2 (SSE = Syy - 2 p Sy + n p^2, SST = Syy - Sy^2 / n) are computed on
+    that small table. Returns (size_index, fraction, target, kind, score_mean,
+    score_std)."""
+    group = list(group)
+    cuts = [int(round(f * 10000)) for f in sizes]
+    bucket = F.lit(None).cast("int")
+    for i in reversed(range(len(cuts))):
+        bucket = F.when(F.col(sub) < F.lit(cuts[i]), F.lit(i)).otherwise(bucket)
+    stats = (long.groupBy(F.col(fold).alias("_f"), bucket.alias("_b"), "target", *group)
+                 .agg(F.count("y").alias("_n"), F.sum("y").alias("_sy"),
+                      F.sum(F.col("y") * F.col("y")).alias("_syy")))
+    combos = F.array(*[F.struct(F.lit(i).alias("size_index"), F.lit(float(f)).alias("fraction"),
+                                F.lit(j).alias("k"))
+                       for i, f in enumerate(sizes) for j in range(k)])
+    per = stats.select("*", F.inline(combos))
+    in_train = (F.col("_f") != F.col("k")) & F.col("_b").isNotNull() & \
+        (F.col("_b") <= F.col("size_index"))
+    roles = per.withColumn("kind", F.when(F.col("_f") == F.col("k"), F.lit("val"))
+                                    .when(in_train, F.lit("train")))
+    keys = ["size_index", "k", "target", *group]
+    model = (roles.where(F.col("kind") == "train").groupBy(*keys)
+                  .agg((F.sum("_sy") / F.sum("_n")).alias("p")))
+    cell = (roles.where(F.col("kind").isNotNull())
+                 .groupBy("size_index", "fraction", "k", "target", "kind", *group)
+                 .agg(F.sum("_n").alias("n"), F.sum("_sy").alias("sy"), F.sum("_syy").alias("syy"))
+                 .join(model, keys, "left"))
+    p = F.col("p")
+    sse = F.when(p.isNotNull(), F.col("syy") - F.lit(2.0) * p * F.col("sy") + F.col("n") * p * p)
+    fit = (cell.groupBy("size_index", "fraction", "k", "target", "kind")
+               .agg(F.sum(sse).alias("sse"), F.sum("n").alias("n"), F.sum("sy").alias("sy"),
+                    F.sum("syy").alias("syy")))
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    scores = fit.select("size_index", "fraction", "k", "target", "kind",
+                        F.when(sst != 0, F.lit(1.0) - F.col("sse") / sst).alias("score"))
+    return (scores.groupBy("size_index", "fraction", "target", "kind")
+                  .agg(F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std")))

@@ -90,7 +90,8 @@ def metric_summary(spark, sf_dir):
 
 
 @register("r2_fixed", _long_sql() + """
-SELECT dataset, target, 1.0 - sum(pow(y - p, 2)) / (count(y) * var_pop(y)) AS r2
+SELECT dataset, target, CASE WHEN count(y) * var_pop(y) <> 0
+                             THEN 1.0 - sum(pow(y - p, 2)) / (count(y) * var_pop(y)) END AS r2
 FROM pr GROUP BY dataset, target""", rounded=("r2",))
 def r2_fixed(spark, sf_dir):
     """A22."""
@@ -186,7 +187,8 @@ roles AS (SELECT c.size_index, c.fraction, c.k, lg.*,
 mdl AS (SELECT size_index, k, target, UniProt, avg(y) AS p FROM roles WHERE role = 'train'
         GROUP BY size_index, k, target, UniProt),
 sc AS (SELECT r.size_index, r.fraction, r.k, r.target, r.role AS kind,
-              1.0 - sum(pow(r.y - m.p, 2)) / (count(r.y) * var_pop(r.y)) AS score
+              CASE WHEN count(r.y) * var_pop(r.y) <> 0
+                   THEN 1.0 - sum(pow(r.y - m.p, 2)) / (count(r.y) * var_pop(r.y)) END AS score
        FROM roles r LEFT JOIN mdl m ON r.size_index = m.size_index AND r.k = m.k
             AND r.target = m.target AND r.UniProt = m.UniProt
        WHERE r.role IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
@@ -197,26 +199,12 @@ FROM sc GROUP BY size_index, fraction, target, kind"""
 
 @register("learning_curve_fixed", _lc_sql(), rounded=("score_mean", "score_std"))
 def learning_curve_fixed(spark, sf_dir):
-    """M23 shape with the fixed predictor + A23: 5 folds x 5 train sizes in one
-    job (rows carry their (size, fold) roles), r2 per fit, mean and population
-    std over folds."""
+    """M23 shape with the fixed predictor + A23: 5 folds x 5 train sizes from
+    one row-level aggregate (no row is copied per fit), r2 per fit, mean and
+    population std over folds."""
     df = flows.clean(load_tables(spark, sf_dir), MONTH, keep_visit_keys=True)
     tr = SP.assign_split(df.select(*_KEYS, *_T), "80_20").where(F.col("split") == "train")
     lg = (M.long_labels(tr, keep=_KEYS)
           .withColumn("fold", F.pmod(hash_bucket(42, *_KEYS), F.lit(5)))
           .withColumn("sub", hash_bucket(43, *_KEYS)))
-    combos = F.array(*[F.struct(F.lit(i).alias("size_index"), F.lit(float(f)).alias("fraction"),
-                                F.lit(k).alias("k"))
-                       for i, f in enumerate(SP.TRAIN_SIZES) for k in range(5)])
-    roles = (lg.select("*", F.inline(combos))
-               .withColumn("role", F.when(F.col("fold") == F.col("k"), F.lit("val"))
-                                    .when(F.col("sub") < F.round(F.col("fraction") * 10000)
-                                          .cast("bigint"), F.lit("train")))
-               .where(F.col("role").isNotNull()))
-    keys = ["size_index", "k", "target", "UniProt"]
-    mdl = roles.where(F.col("role") == "train").groupBy(*keys).agg(F.avg("y").alias("p"))
-    scored = roles.join(mdl, keys, "left")
-    scores = (scored.groupBy("size_index", "fraction", "k", "target", F.col("role").alias("kind"))
-                    .agg(M.r2_expr().alias("score")))
-    return (scores.groupBy("size_index", "fraction", "target", "kind")
-                  .agg(F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std")))
+    return M.learning_curve_group_mean(lg, ["UniProt"], sizes=SP.TRAIN_SIZES)

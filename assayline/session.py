@@ -20,6 +20,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # Let AQE coalesce partitions inside persisted plans too.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
 }
 
 
@@ -30,9 +32,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     for k, v in _LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    scratch = tempfile.mkdtemp(prefix="assayline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    # Only a default: an existing session keeps its own folder.
-    builder = builder.config("spark.checkpoint.dir", scratch)
+    # spark.checkpoint.dir is not set here: a configured folder (cluster or
+    # spark-defaults) wins; ensure_checkpoint_dir makes one only if unset.
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -14,24 +14,30 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.operators.ranks import stack_columns
+
+
+def _wide_fit(df: DataFrame, features: Sequence[str], aggs: dict, split_col, fit_on):
+    """One aggregate row with every (feature, statistic), turned into one row
+    per feature: a single pass, no row copies."""
+    src = df.where(F.col(split_col) == fit_on) if split_col else df
+    wide = src.agg(*[fn(F.col(c).cast("double")).alias(f"{i}__{a}")
+                     for i, c in enumerate(features) for a, fn in aggs.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"),
+                              *[F.col(f"{i}__{a}").alias(a) for a in aggs])
+                     for i, c in enumerate(features)])
+    return wide.select(F.inline(rows))
 
 
 def minmax_fit(df: DataFrame, features: Sequence[str], split_col: str | None = "split",
                fit_on: str = "train") -> DataFrame:
     """(feature, min, max) over the fit rows, one aggregate."""
-    src = df.where(F.col(split_col) == fit_on) if split_col else df
-    return (stack_columns(src, features, name="feature")
-            .groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max")))
+    return _wide_fit(df, features, {"min": F.min, "max": F.max}, split_col, fit_on)
 
 
 def standard_fit(df: DataFrame, features: Sequence[str], split_col: str | None = "split",
                  fit_on: str = "train") -> DataFrame:
-    """(feature, mean, population std) over the fit rows."""
-    src = df.where(F.col(split_col) == fit_on) if split_col else df
-    return (stack_columns(src, features, name="feature")
-            .groupBy("feature").agg(F.avg("value").alias("mean"),
-                                    F.stddev_pop("value").alias("std")))
+    """(feature, mean, population std) over the fit rows, one aggregate."""
+    return _wide_fit(df, features, {"mean": F.avg, "std": F.stddev_pop}, split_col, fit_on)
 
 
 def _params(fit: DataFrame, a: str, b: str) -> dict:

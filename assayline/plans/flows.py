@@ -66,7 +66,9 @@ def prepare(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_2
     df, rows = clean_with_bound(tables, month, keep_visit_keys=True)
     feat = F.build_features(df, max_rows=rows, drop_ids=False)
     feat = SP.assign_split(feat, scheme, seed, by_patient=by_patient)
-    feat = feat.drop("patient_id", "PeptideAbundance", "NPX")
+    # Persisted once: the scaler fit and the scaled projection (and then every
+    # target) read it instead of re-running the rank joins.
+    feat = feat.drop("patient_id", "PeptideAbundance", "NPX").persist(StorageLevel.MEMORY_AND_DISK)
     feats = model_features(feat.columns)
     if scale == "minmax":
         return SC.minmax_scale(feat, feats)

@@ -91,11 +91,18 @@ def model_features(columns) -> list:
 
 # Model flows (L4, L6-L9) ----------------------------------------------------------------
 def prepared_vectors(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_20",
-                     seed: int = 42):
-    """L4: prepared month table with the 41 features as one vector (cached)."""
+                     seed: int = 42, drop_constant: bool = False):
+    """L4: prepared month table with the 41 features as one vector (cached).
+
+    ``drop_constant`` leaves out features that are constant on the train rows
+    (most statistic columns are one value per month): less work per fit, the
+    same trees. Off by default for parity of columns with the reference."""
     from assayline.operators import models as MD
     prep = prepare(tables, month, scheme, seed)
     feats = model_features(prep.columns)
+    if drop_constant:
+        feats = [r["feature"] for r in SC.minmax_fit(prep, feats).collect()
+                 if r["min"] is None or r["min"] != r["max"]]
     return MD.vectorize(prep, feats), feats
 
 

@@ -113,3 +113,12 @@ def test_learning_curve_shape(spark):
     assert len(lc) == 4   # 2 sizes x (train, val)
     full = [r for r in lc if r["fraction"] == 1.0 and r["kind"] == "val"][0]
     assert full["score_mean"] > 0.5 and full["score_std"] >= 0
+
+
+def test_drop_constant_features(spark):
+    from assayline.plans import flows
+    from assayline.sources.adapter import load_tables
+    vec, feats = flows.prepared_vectors(load_tables(spark, "/root/testdata/sf0.001"), 24,
+                                        drop_constant=True)
+    assert 0 < len(feats) < 41
+    assert "updrs_1_mean" not in feats and "NPX_log" in feats

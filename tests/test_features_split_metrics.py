@@ -97,3 +97,28 @@ def test_error_histogram_last_bin_closed(spark):
     assert sum(bins.values()) == 26 and max(bins) == 24
     counts, _ = np.histogram(np.arange(26.0), bins=25)
     assert [bins.get(i, 0) for i in range(25)] == counts.tolist()
+
+
+def test_scaled_train_columns_in_unit_interval(spark):
+    prep = flows.prepare(load_tables(spark, SF001), 24)
+    feats = flows.model_features(prep.columns)
+    tr = prep.where("split = 'train'")
+    row = tr.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(feats)],
+                 *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(feats)]).first()
+    for i, c in enumerate(feats):
+        lo, hi = row[f"lo_{i}"], row[f"hi_{i}"]
+        assert lo is None or (lo >= 0.0 and hi <= 1.0 + 1e-12), c
+    # four target tables share one shape (P16 is a projection)
+    assert len({len(SP.project_target(prep, t).columns) for t in
+                ("updrs_1", "updrs_2", "updrs_3", "updrs_4")}) == 1
+
+
+def test_sigma_rule_data_loss_limits(spark):
+    """The reference's limits: at most 10 % rows removed, 20 % new nulls."""
+    from assayline.operators import outliers as O
+    from assayline.operators import reports as RP
+    before = flows.deduped_non_null(load_tables(spark, SF001), 24)
+    r = RP.stage_change_report(before, O.null_outliers_sigma(before)).first()
+    assert r["proportion_removed"] <= 0.1
+    assert r["proportion_additional_nulls"] <= 0.2
+    assert r["additional_nulls"] > 0

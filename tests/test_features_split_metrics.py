@@ -122,3 +122,21 @@ def test_sigma_rule_data_loss_limits(spark):
     assert r["proportion_removed"] <= 0.1
     assert r["proportion_additional_nulls"] <= 0.2
     assert r["additional_nulls"] > 0
+
+
+def test_keyword_options(spark):
+    """to_log off, plain ranks, a statistic subset, percentile stats."""
+    df, rows = flows.clean_with_bound(load_tables(spark, SF001), 24)
+    out = FE.build_features(df, max_rows=rows, to_log=False, percentile_option=False,
+                            stats=["mean", "max"], target_stats=["median", "percentile"])
+    cols = set(out.columns)
+    assert {"NPX_percentile_in_all", "NPX_mean_in_all", "NPX_max_in_all",
+            "PeptideAbundance_percentile_in_local", "PeptideAbundance_mean_in_UniProt",
+            "updrs_1_median", "updrs_4_percentile_p90"} <= cols
+    assert "NPX_log_mean_in_all" not in cols and "NPX_std_in_all" not in cols
+    # pct off gives plain average ranks (>= 1)
+    assert out.agg(F.min("NPX_percentile_in_all")).first()[0] >= 1.0
+    from assayline.operators import outliers as O
+    wide = O.clip_iqr(df, ["NPX"], factor=0.5).agg(F.max("NPX")).first()[0]
+    narrow = O.clip_iqr(df, ["NPX"], factor=3.0).agg(F.max("NPX")).first()[0]
+    assert wide <= narrow

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.scalar import clip, safe_ln
-from assayline.operators.ranks import column_quantiles, exact_quantiles
+from assayline.operators.ranks import (column_quantiles, exact_quantiles, interpolate,
+                                       quantile_brackets, stack_columns)
 
 # Fixed defaults of the reference.
 MEASURES = ("NPX", "PeptideAbundance")
@@ -71,6 +72,47 @@ def clip_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
     return df.withColumns(new)
 
 
+def iqr_fence_chain(df: DataFrame, columns: Sequence[str] = MEASURES, passes: int = 2,
+                    factor: float = IQR_FACTOR, max_rows: int | None = None) -> list[dict]:
+    """Fences of ``passes`` successive IQR clips, from ONE pass over the data.
+
+    Pass k+1's quartiles are those of the clipped column; clipping is monotone
+    and keeps the row count, so they follow from pass 1's bracketing order
+    statistics with the clip applied to the two brackets (bit-identical to
+    re-reading the clipped data). Returns one {column: (lower, upper)} per pass."""
+    stacked = stack_columns(df, columns)
+    bound = None if max_rows is None else max_rows * len(columns)
+    rows = quantile_brackets(stacked, "value", [0.25, 0.75], ["column"], bound).collect()
+    br = {(r["column"], r["i"]): (r["lo"], r["hi"], r["frac"]) for r in rows}  # 2 per column
+    chain, clips = [], {c: (None, None) for c in columns}
+    k = float(factor)
+    for _ in range(passes):
+        fences = {}
+        for c in columns:
+            if (c, 0) not in br:
+                fences[c] = (None, None)
+                continue
+            a, b = clips[c]
+
+            def g(x, a=a, b=b):
+                return x if a is None else min(max(x, a), b)
+            q1 = interpolate(g(br[(c, 0)][0]), g(br[(c, 0)][1]), br[(c, 0)][2])
+            q3 = interpolate(g(br[(c, 1)][0]), g(br[(c, 1)][1]), br[(c, 1)][2])
+            iqr = q3 - q1
+            lo, hi = q1 - k * iqr, q3 + k * iqr
+            fences[c] = (lo, hi)
+            # the next pass sees the composition of both clips
+            clips[c] = (lo, hi) if a is None else (min(max(lo, a), b), min(max(hi, a), b))
+        chain.append(fences)
+    return chain
+
+
+def apply_clip(df: DataFrame, fences: dict) -> DataFrame:
+    """P12 with known fences (literals)."""
+    return df.withColumns({c: clip(c, F.lit(lo).cast("double"), F.lit(hi).cast("double"))
+                           for c, (lo, hi) in fences.items()})
+
+
 def filter_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
                factor: float = IQR_FACTOR, max_rows: int | None = None) -> DataFrame:
     """Drop rows outside the fences; each column's fences come from the

@@ -170,6 +170,29 @@ def percentile_exprs(value: str, probs: Sequence[float], names: Sequence[str]):
     return arr, [F.col("_pq")[i].alias(n) for i, n in enumerate(names)]
 
 
+def quantile_brackets(df: DataFrame, value: str, probs: Sequence[float],
+                      by: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+    """(by..., i, lo, hi, frac): the two order statistics around each
+    quantile position and the interpolation weight, from one job. A monotone
+    map g (a clip) keeps positions, so the quantile of g(x) is
+    g(lo) + frac * (g(hi) - g(lo)) without another pass over the data."""
+    by = list(by)
+    cum = cumulative_counts(df, value, by, max_rows=max_rows)
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                        for i, p in enumerate(probs)])
+    h = (F.col(_N) - F.lit(1)) * F.col("_q.p")
+    return (cum.select("*", F.explode(targets).alias("_q"))
+               .where((F.col(_BEFORE) <= F.ceil(h)) & (F.floor(h) < F.col(_BEFORE) + F.col(_C)))
+               .groupBy(*by, F.col("_q.i").alias("i"))
+               .agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
+                    F.first(h - F.floor(h)).alias("frac")))
+
+
+def interpolate(lo: float, hi: float, frac: float) -> float:
+    """Same arithmetic as the Spark expressions above (IEEE doubles)."""
+    return lo if lo == hi else lo + frac * (hi - lo)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None,
                     max_rows: int | None = None) -> DataFrame:

@@ -43,9 +43,12 @@ def clean_with_bound(tables: AssayTables, month: int = DEFAULT_MONTH,
     if persist:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         rows = base.count()  # materialises the cache; a proven row bound below
-    df = O.clip_iqr(base, max_rows=rows)
+    # Both IQR passes' fences from one pass over the month table (the second
+    # pass's quartiles follow from the first pass's bracketing order statistics).
+    first, second = O.iqr_fence_chain(base, O.MEASURES, passes=2, max_rows=rows)
+    df = O.apply_clip(base, first)
     df = O.add_log_columns(df)
-    df = O.clip_iqr(df, max_rows=rows)
+    df = O.apply_clip(df, second)
     df = O.null_outliers_sigma(df)
     df = C.drop_medication(C.drop_null_count(df))
     return (df if keep_visit_keys else C.drop_visit_keys(df)), rows

@@ -96,3 +96,14 @@ def test_fence_chain_equals_sequential_passes(spark):
     assert two[0]["x"] == (3.75, 13.75)
     once = O.apply_clip(skew, two[0])
     assert two[1]["x"] == O.iqr_fences_by_column(once, ["x"]).select("lower", "upper").first()[:]
+
+
+def test_month_pruning_never_changes_results(spark):
+    from assayline.tables import AssayTables
+    t = load_tables(spark, SF001)
+    plain = AssayTables(t.proteins, t.peptides, t.clinical)   # no source pruning
+    for month in (0, 36, 72):
+        a = flows.joined_month(t, month)
+        b = flows.joined_month(plain, month)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0, month
+    assert flows.joined_month(t, 3).count() == 0 == flows.joined_month(plain, 3).count()

@@ -37,10 +37,16 @@ _DEC = "decimal(18,2)"
 _SCANS: dict = {}
 
 
+def _alive(df: DataFrame | None, spark: SparkSession) -> bool:
+    """A memoised handle is used only by its own, still running session."""
+    return (df is not None and df.sparkSession is spark
+            and spark.sparkContext._jsc is not None)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), f"{sf_dir}/{name}.parquet")
     df = _SCANS.get(key)
-    if df is None:
+    if not _alive(df, spark):
         df = _SCANS[key] = spark.read.parquet(key[1])
     return df
 
@@ -130,7 +136,7 @@ def load_tables(spark: SparkSession, sf_dir: str, month: int | None = None) -> A
     filter (P1) calls back here to prune the scans to one order year.
     Handles are memoised per session (they hold plans, not data)."""
     key = (id(spark), sf_dir, month)
-    if key not in _TABLES:
+    if key not in _TABLES or not _alive(_TABLES[key].clinical, spark):
         items = visit_items(spark, sf_dir, month)
         _TABLES[key] = AssayTables(proteins(items), peptides(items),
                                    clinical(spark, sf_dir, month),

@@ -47,7 +47,11 @@ _CACHED: list[DataFrame] = []
 def release_cached() -> None:
     """Unpersist the distinct-value tables made by earlier calls."""
     while _CACHED:
-        _CACHED.pop().unpersist()
+        df = _CACHED.pop()
+        try:
+            df.unpersist()
+        except Exception:  # noqa: BLE001 - its session may be gone already
+            pass
 
 
 def _limit(spark) -> int:

@@ -140,3 +140,33 @@ def test_keyword_options(spark):
     wide = O.clip_iqr(df, ["NPX"], factor=0.5).agg(F.max("NPX")).first()[0]
     narrow = O.clip_iqr(df, ["NPX"], factor=3.0).agg(F.max("NPX")).first()[0]
     assert wide <= narrow
+
+
+def test_learning_curve_decomposition_matches_brute_force(spark):
+    """The one-aggregate learning curve equals explicit per-fit computation."""
+    rng = np.random.default_rng(1)
+    n = 600
+    pdf = pd.DataFrame({"target": rng.choice(["t1", "t2"], n), "UniProt": rng.choice(list("abcd"), n),
+                        "y": rng.integers(0, 20, n).astype(float),
+                        "fold": rng.integers(0, 5, n), "sub": rng.integers(0, 10000, n)})
+    sizes = (0.1, 0.325, 0.55, 0.775, 1.0)
+    got = M.learning_curve_group_mean(spark.createDataFrame(pdf), ["UniProt"], sizes=sizes).toPandas()
+    exp = []
+    for i, f in enumerate(sizes):
+        for t in ("t1", "t2"):
+            for kind in ("train", "val"):
+                scores = []
+                for k in range(5):
+                    d = pdf[pdf.target == t]
+                    tr = d[(d.fold != k) & (d["sub"] < round(f * 10000))]
+                    part = tr if kind == "train" else d[d.fold == k]
+                    p = part.UniProt.map(tr.groupby("UniProt").y.mean())
+                    sse = ((part.y - p) ** 2).sum()          # rows without a prediction skipped
+                    sst = len(part) * part.y.var(ddof=0)
+                    scores.append(1 - sse / sst if sst else np.nan)
+                s = pd.Series(scores).dropna()
+                exp.append((i, t, kind, s.mean(), s.std(ddof=0)))
+    e = pd.DataFrame(exp, columns=["size_index", "target", "kind", "m", "s"])
+    j = got.merge(e, on=["size_index", "target", "kind"])
+    assert len(j) == len(e) == 20
+    assert np.allclose(j.score_mean, j.m) and np.allclose(j.score_std, j.s)

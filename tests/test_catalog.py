@@ -45,3 +45,13 @@ def test_query_matches_duckdb(spark, duck, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 698
+
+
+def test_all_oracles_run_in_duckdb(duck):
+    bad = {}
+    for name, sql in E.oracle_sql().items():
+        try:
+            duck.execute(sql).fetchall()
+        except Exception as e:  # noqa: BLE001
+            bad[name] = str(e)[:120]
+    assert not bad, bad

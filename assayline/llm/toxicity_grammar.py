@@ -60,6 +60,9 @@ NEGATION = frozenset("not no never nor neither without isn't aren't don't doesn'
 REPORT = frozenset("said says say saying wrote writes quote quoted quoting reported claims "
                    "claimed called sagte sagt dit disait dijo dice".split())
 THREAT = frozenset("kill hurt destroy murder die töten sterben tuer mourir matar morir".split())
+INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb "
+                    "jerk fool imbecile".split())
+SEED_WEIGHT = 3.0
 QUOTES = frozenset("\"“”«»„")
 
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
@@ -87,6 +90,8 @@ class Grammar:
         got = self.read.get(token)
         if got is None:
             weight = max((self.lexicon.get(e, 0.0) for e in entries(token)), default=0.0)
+            if token in INSULTS:
+                weight = max(weight, SEED_WEIGHT)
             if token in QUOTES:
                 got = QUOTE, 0.0
             elif token in NEGATION:
@@ -230,7 +235,7 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
              train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         bad, good = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
         if not bad or not good:
-            return Grammar({}, (-2.0, 0.5, 0.0, 0.0))
+            return Grammar({}, (-2.5, 1.0, 0.0, 0.0))
         bare = Grammar(learn_lexicon(train, bad, good), (0.0, 0.0, 0.0, 0.0))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,3 +113,23 @@ def extended(df: DataFrame, **types: str) -> T.StructType:
     """Schema of ``df`` with columns added (name="type")."""
     more = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in types.items()))
     return T.StructType([*df.schema.fields, *more.fields])
+
+
+def without_ids(df: DataFrame, drop: DataFrame, id_col: str, max_bits: int = 1 << 26) -> DataFrame:
+    """``df`` without the rows whose id is in ``drop``. A bitmap filter of
+    bounded size (broadcast) lets rows whose id is surely not there pass
+    unshuffled; the others are joined exactly."""
+    drop = stored(drop.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_wo_id")),
+                  "dropped")
+    bits = power_of_two(16 * drop.count(), 1 << 15, max_bits)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    filt = F.broadcast(stored(bitmaps(drop.select(place("_wo_id").alias("p"))), "filter")
+                       .select(F.col("block").alias("_wo_block"), F.col("bits").alias("_wo_bits")))
+    marked = (df.withColumn("_wo_p", place(F.col(id_col)))
+                .withColumn("_wo_block", F.shiftright("_wo_p", 15))
+                .join(filt, "_wo_block", "left")
+                .withColumn("_wo_maybe", bit_is_set(F.col("_wo_bits"),
+                                                    F.col("_wo_p").bitwiseAND(32767))))
+    passed = marked.where(~F.col("_wo_maybe")).select(*df.columns)
+    tested = marked.where("_wo_maybe").select(*df.columns)
+    return passed.union(tested.join(drop, tested[id_col] == drop["_wo_id"], "left_anti"))

@@ -260,17 +260,18 @@ def _by_document(t: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tie) != 0), True])
     pairs = list(zip(cut, cut[1:]))
     cols = [lo, hi, *rest]
-    names = ["_sa_doc", "_sa_tie", "lo", "hi", *more]
+    names = ["_sa_doc", "_sa_tie", "_sa_lo", "_sa_hi", *[f"_sa_{c}" for c in more]]
     arrays = [pa.array(doc[cut[:-1]]), pa.array(tie[cut[:-1]]),
               *[pa.array([c[i:j].tobytes() for i, j in pairs], pa.binary()) for c in cols]]
     for c in ("a", "fp", "ctx"):
-        if c not in names:
+        if c not in more:
             arrays.append(pa.nulls(len(pairs), pa.binary()))
-            names.append(c)
+            names.append(f"_sa_{c}")
     return pa.table(arrays, names=names)
 
 
-_PER_DOC = ("_sa_doc long, _sa_tie long, lo binary, hi binary, a binary, fp binary, ctx binary")
+_PER_DOC = ("_sa_doc long, _sa_tie long, _sa_lo binary, _sa_hi binary, _sa_a binary, "
+            "_sa_fp binary, _sa_ctx binary")
 
 
 def per_document(rows: DataFrame, label: str) -> DataFrame:
@@ -303,7 +304,7 @@ _CONTEXT_NAMES = ["part", "doc", "tie", "lo", "hi", "size", "text"]
 def _contexts(asked: DataFrame, parts: int) -> DataFrame:
     """Bytes of the contexts to fetch, dealt by anchor, or by window where the
     anchor is hot."""
-    cols = ["_sa_doc", "_sa_tie", "_sa_text", "lo", "hi", "fp", "ctx"]
+    cols = [f"_sa_{c}" for c in ("doc", "tie", "text", "lo", "hi", "fp", "ctx")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,18 +398,18 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def repeated_spans(own: DataFrame, parts: int, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """(_sa_doc, _sa_tie, lo, hi): removed spans of every document that has
+    """(_sa_doc, _sa_tie, _sa_lo, _sa_hi): removed spans of every document that has
     any, as blobs of int64, from rows made by :func:`keyed`."""
     met = stored(_occurrences(own, parts), "met")
     judged = stored(met.where("kind = 1").groupBy("part").applyInArrow(
         lambda t: _first_contexts(t, parts, hot), _ROWS), "judged")
     asked = per_document(judged.where("kind = 2"), "asked")
     here, _ = with_rows(own.select("_sa_doc", "_sa_tie", "_sa_text"), asked)
-    contexts = _contexts(here.where("lo is not null"), parts)
+    contexts = _contexts(here.where("_sa_lo is not null"), parts)
     edges = stored(contexts.groupBy("part").applyInArrow(lambda t: _scan_family(t, parts), _ROWS),
                    "edges")
     spans = (met.where("kind = 0").union(judged.where("kind = 0")).union(edges))
-    return per_document(spans, "spans").select("_sa_doc", "_sa_tie", "lo", "hi")
+    return per_document(spans, "spans").select("_sa_doc", "_sa_tie", "_sa_lo", "_sa_hi")
 
 
 def _cut(raw: bytes, lo, hi) -> tuple[list[bytes], int, int]:
@@ -421,18 +422,18 @@ def _cut(raw: bytes, lo, hi) -> tuple[list[bytes], int, int]:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` plus lo and hi (null: nothing to cut)."""
+    """``docs`` plus _sa_lo and _sa_hi (null: nothing to cut)."""
     own = keyed(docs, id_col, text)
     spans = repeated_spans(own, partitions(docs.sparkSession))
     cut, clean = with_rows(own, spans)
     none = F.lit(None).cast("binary")
-    return cut.select(*own.columns, "lo", "hi").union(
-        clean.select(*own.columns, none.alias("lo"), none.alias("hi")))
+    return cut.select(*own.columns, "_sa_lo", "_sa_hi").union(
+        clean.select(*own.columns, none.alias("_sa_lo"), none.alias("_sa_hi")))
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = deduplicated(docs).select("doc_id", "_sa_text", "lo", "hi")
+    rows = deduplicated(docs).select("doc_id", "_sa_text", "_sa_lo", "_sa_hi")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -463,7 +464,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     columns = docs.columns
     rows = deduplicated(docs, id_col, text)
     at, lo_at, hi_at = columns.index(text), len(columns), len(columns) + 1
-    rows = rows.select(*columns, "lo", "hi")
+    rows = rows.select(*columns, "_sa_lo", "_sa_hi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

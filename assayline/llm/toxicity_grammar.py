@@ -51,6 +51,8 @@ SCOPE, REACH = 3, 4
 NEGATED, REPORTED, AIMED, THREAT_WEIGHT = 0.4, 0.7, 0.5, 1.0
 STEMS = (4, 5, 6)
 LONG_WORD = 40
+#: Prose without punctuation is cut into clauses of so many tokens.
+CLAUSE_TOKENS = 64
 
 #: Seed words of the grammar's closed classes (fixed values).
 TARGET = frozenset("you your yours yourself u ya he she they them him her his their du dich dir "
@@ -59,7 +61,7 @@ NEGATION = frozenset("not no never nor neither without isn't aren't don't doesn'
                      "kein keine nie pas jamais sans nunca jamás sin tampoco".split())
 REPORT = frozenset("said says say saying wrote writes quote quoted quoting reported claims "
                    "claimed called sagte sagt dit disait dijo dice".split())
-THREAT = frozenset("kill hurt destroy murder die töten sterben tuer mourir matar morir".split())
+THREAT = frozenset("kill hurt destroy murder töten sterben tuer mourir matar morir".split())
 INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb "
                     "jerk fool imbecile".split())
 SEED_WEIGHT = 3.0
@@ -139,10 +141,10 @@ class Grammar:
         top = total = 0.0
         n = hits = 0
         for c in _CLAUSE.split((text or "").lower()):
-            words = tokens(c)
-            if words:
+            found = tokens(c)
+            for k in range(0, len(found), CLAUSE_TOKENS):
                 n += 1
-                s = self.clause(words)
+                s = self.clause(found[k:k + CLAUSE_TOKENS])
                 if s > 0:
                     hits += 1
                     total += s

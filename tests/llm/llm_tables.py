@@ -13,7 +13,7 @@ CLASH = ["n", "size", "node", "part", "block", "bits", "kind", "component", "sco
 
 def words(seed: int, n: int) -> list[str]:
     r = random.Random(seed)
-    return ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(n)]
+    return ["".join(r.choice("aeioulnrt") for _ in range(r.randint(2, 7))) for _ in range(n)]
 
 
 def edge_rows():

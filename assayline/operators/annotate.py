@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,7 @@ from assayline.functions.scalar import peptide_position
 # Texts of the reference's annotation helpers.
 NAME_NOT_FOUND = "Nombre no encontrado"
 GO_NO_DESCRIPTION = "Descripción no disponible"
-FOUND_PREFIX = "El péptido '"
-FOUND_MIDDLE = "' se encuentra en la posición "
-FOUND_SUFFIX = " de la proteína."
+FOUND = "El péptido '%s' se encuentra en la posición %d de la proteína."
 NOT_FOUND = "El péptido no se encontró en la secuencia de la proteína."
 NO_SEQUENCE = "No se pudo obtener la secuencia de la proteína."
 
@@ -44,8 +42,7 @@ def peptide_message(sequence, peptide, shown) -> Column:
     pos = peptide_position(seq, peptide)
     shown = F.col(shown) if isinstance(shown, str) else shown
     return (F.when(seq.isNull() | (seq == ""), F.lit(NO_SEQUENCE))
-             .when(pos >= 0, F.concat(F.lit(FOUND_PREFIX), shown, F.lit(FOUND_MIDDLE),
-                                      pos.cast("string"), F.lit(FOUND_SUFFIX)))
+             .when(pos >= 0, F.format_string(FOUND, shown, pos))
              .otherwise(F.lit(NOT_FOUND)))
 
 
@@ -85,36 +82,49 @@ def go_map(terms: DataFrame, uniprot: str = "UniProt") -> DataFrame:
         .alias("go_terms"))
 
 
-def _lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-common-subsequence length of each (a, b) pair; the DP runs over
-    character positions with the whole batch as a vector."""
-    n = len(a)
-    out = np.zeros(n, dtype=np.int64)
-    ok = (~a.isna() & ~b.isna()).to_numpy()
-    if not ok.any():
-        return pd.Series(np.where(ok, out, None), dtype="object").astype("Int64")
-    aa, bb = a[ok].tolist(), b[ok].tolist()
-    la = max(len(s) for s in aa) if aa else 0
-    lb = max(len(s) for s in bb) if bb else 0
-    A = np.full((len(aa), max(la, 1)), -1, dtype=np.int32)
-    B = np.full((len(bb), max(lb, 1)), -2, dtype=np.int32)
-    for i, s in enumerate(aa):
-        A[i, :len(s)] = [ord(ch) for ch in s]
-    for i, s in enumerate(bb):
-        B[i, :len(s)] = [ord(ch) for ch in s]
-    prev = np.zeros((len(aa), lb + 1), dtype=np.int32)
+#: Cells (rows x letters) of one block of the alignment programme.
+BLOCK_CELLS = 1 << 20
+
+
+def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
+    out = np.full((len(texts), width), fill, np.int64)
+    for i, s in enumerate(texts):
+        out[i, :len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _lcs_block(aa: list[str], bb: list[str]) -> np.ndarray:
+    """LCS lengths of a block of pairs. A row of the programme is the running
+    maximum of its candidates, so one step per letter of the longest a."""
+    la, lb = max(map(len, aa)), max(map(len, bb))
+    a, b = _codes(aa, la, -1), _codes(bb, lb, -2)
+    row = np.zeros((len(aa), lb + 1), np.int32)
     for i in range(la):
-        cur = np.zeros_like(prev)
-        ai = A[:, i][:, None]
-        match = (B == ai)
-        for j in range(lb):
-            cur[:, j + 1] = np.where(match[:, j], prev[:, j] + 1,
-                                     np.maximum(prev[:, j + 1], cur[:, j]))
-        prev = cur
-    lens_b = np.array([len(s) for s in bb])
-    out_ok = prev[np.arange(len(bb)), lens_b]
-    res = pd.array([None] * n, dtype="Int64")
-    res[np.flatnonzero(ok)] = out_ok
+        step = np.where(b == a[:, i:i + 1], row[:, :-1] + 1, row[:, 1:])
+        row[:, 1:] = np.maximum.accumulate(step, axis=1)
+    return row[:, -1]
+
+
+def _lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest-common-subsequence length of each (a, b) pair, null where one
+    is null. Pairs of like length share a block of bounded size, so one long
+    text does not widen the others."""
+    res = pd.array([None] * len(a), dtype="Int64")
+    rows = np.flatnonzero((~a.isna() & ~b.isna()).to_numpy())
+    aa, bb = a.to_numpy(), b.to_numpy()
+    rows = rows[np.argsort([len(aa[i]) + len(bb[i]) for i in rows], kind="stable")] if len(rows) \
+        else rows
+    lo = 0
+    while lo < len(rows):
+        hi, width = lo, 1
+        while hi < len(rows):
+            wider = max(width, len(aa[rows[hi]]), len(bb[rows[hi]]))
+            if hi > lo and wider * (hi - lo + 1) > BLOCK_CELLS:
+                break
+            hi, width = hi + 1, wider
+        own = rows[lo:hi]
+        res[own] = _lcs_block([aa[i] for i in own], [bb[i] for i in own])
+        lo = hi
     return pd.Series(res)
 
 
@@ -125,8 +135,13 @@ def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return _lcs_lengths(a, b)
 
 
-def peptide_pairs(left: DataFrame, right: DataFrame, on, a: str = "peptide_a",
-                  b: str = "peptide_b") -> DataFrame:
-    """J9 (re-aimed): each row meets exactly one partner through an equi-join
-    (no all-pairs block), then F12 scores the pair."""
-    return left.join(right, on).withColumn("score", alignment_score(F.col(a), F.col(b)))
+def next_pairs(df: DataFrame, by: list[str], order: list[str], peptide: str) -> DataFrame:
+    """J9 (re-aimed): each row with the next row of its group (one shuffle, no
+    self-join), scored by F12. Only distinct pairs are scored; rows without a
+    next row are left out."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = df.select("*", F.col(peptide).alias("peptide_a"),
+                     F.lead(peptide).over(w).alias("peptide_b")).where("peptide_b is not null")
+    pairs = rows.select("peptide_a", "peptide_b").distinct()
+    scores = pairs.withColumn("score", alignment_score("peptide_a", "peptide_b"))
+    return rows.join(scores, ["peptide_a", "peptide_b"])

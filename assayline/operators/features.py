@@ -2,7 +2,7 @@
 
 All order statistics of one feature build (the global NPX rank, the
 per-protein abundance rank, every median) come from ONE stacked
-cumulative-count table (see ``ranks``), computed once and cached; the plain
+cumulative-count table (see ``ranks``), computed once and stored; the plain
 statistics are one aggregate per grouping.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions import stats as S
 from assayline.functions.scalar import safe_div
 from assayline.operators import ranks as R
+from assayline.session import store
 from assayline.tables import TARGETS
 
 RATIO = "Peptide_per_Protein"
@@ -30,21 +30,16 @@ def add_ratio(df: DataFrame) -> DataFrame:
 
 
 # Shared order statistics -------------------------------------------------------------
-def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str | None]],
-                     max_rows: int | None = None) -> DataFrame:
+def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str | None]]) -> DataFrame:
     """Cumulative counts for several (column, group column or None) specs in
-    one job: (column, grp, value, _vc, _before, _n). Cached, since ranks and
+    one job: (column, grp, value, _vc, _before, _n). Stored, since ranks and
     medians both read it."""
     items = F.array(*[F.struct(F.lit(c).alias("column"),
                                (F.col(g).cast("string") if g else F.lit(GLOBAL)).alias("grp"),
                                F.col(c).cast("double").alias("value"))
                       for c, g in specs])
     stacked = df.select(F.inline(items))
-    bound = None if max_rows is None else max_rows * len(specs)
-    cum = R.cumulative_counts(stacked, "value", ["column", "grp"], max_rows=bound)
-    cum = cum.persist(StorageLevel.MEMORY_AND_DISK)
-    R._CACHED.append(cum)
-    return cum
+    return store(R.cumulative_counts(stacked, "value", ["column", "grp"]), "cumulative")
 
 
 def _medians(cum: DataFrame, probs=(0.5,), names=("median",)) -> DataFrame:
@@ -67,16 +62,11 @@ def npx_columns(df: DataFrame, cum: DataFrame, global_q: dict, to_log: bool = Tr
 
 # W3/W4 + A3 -------------------------------------------------------------------------------
 def protein_stats_table(df: DataFrame, cum: DataFrame, column: str,
-                        stats: Sequence[str] = S.DEFAULT_STATS,
-                        max_rows: int | None = None) -> DataFrame:
+                        stats: Sequence[str] = S.DEFAULT_STATS) -> DataFrame:
     """(UniProt, {column}_{stat}_in_UniProt ...): one row per protein."""
     name = lambda s: f"{column}_{s}_in_UniProt"
     aggs = S.simple_aggs(column, stats, name)
     src = df.where(F.col("UniProt").isNotNull())
-    if "median" in stats and R.small_exact(df.sparkSession, max_rows):
-        # Proven small input: the exact median joins the same aggregate.
-        aggs.append(F.percentile(column, F.lit(0.5)).alias(name("median")))
-        return src.groupBy("UniProt").agg(*aggs)
     plain = src.groupBy("UniProt").agg(*aggs)
     if "median" not in stats:
         return plain
@@ -88,15 +78,18 @@ def protein_stats_table(df: DataFrame, cum: DataFrame, column: str,
 def abundance_columns(df: DataFrame, cum: DataFrame, to_log: bool = True,
                       properties_on: str = "local", pct: bool = True,
                       stats: Sequence[str] = S.DEFAULT_STATS,
-                      max_rows: int | None = None) -> DataFrame:
+                      source: DataFrame | None = None) -> DataFrame:
+    """``source``: the rows without joined columns, when ``df`` already has
+    some (the per-protein statistics then do not run those joins again)."""
     col = "PeptideAbundance_log" if to_log else "PeptideAbundance"
     ranks = (R.rank_table(cum.where(F.col("column") == F.lit(col)), "value", ["grp"],
                           pct=pct, out="_r")
               .withColumnRenamed("grp", "UniProt"))
     df = R.attach_rank(df, ranks, col, ["UniProt"], rank_value="value", out="_r")
     df = df.withColumnRenamed("_r", f"{col}_percentile_in_{properties_on}")
-    # One row per protein: AQE broadcasts it when the runtime size allows.
-    per_protein = protein_stats_table(df, cum, col, stats, max_rows)
+    # One row per protein, stored: its size is known when the join is planned,
+    # so a small one is broadcast and a large one is shuffled.
+    per_protein = store(protein_stats_table(source or df, cum, col, stats), "per-protein")
     out_cols = [f"{col}_{s}_in_UniProt" for s in stats]
     return df.join(per_protein, "UniProt", "left").select(*df.columns, *out_cols)
 
@@ -117,11 +110,9 @@ def target_columns(df: DataFrame, global_q: dict, simple: dict,
 
 
 def _global_values(df: DataFrame, cum: DataFrame, columns: Sequence[str],
-                   stats: Sequence[str], percentiles: bool,
-                   max_rows: int | None = None) -> tuple[dict, dict]:
+                   stats: Sequence[str], percentiles: bool) -> tuple[dict, dict]:
     """Whole-table statistics as Python floats: one aggregate row plus the
-    medians/percentiles (in the same aggregate under a small proven row
-    bound, else read off ``cum``)."""
+    medians/percentiles read off ``cum``."""
     aggs = []
     for c in columns:
         aggs += S.simple_aggs(c, stats, lambda s, c=c: f"{c}__{s}")
@@ -130,15 +121,6 @@ def _global_values(df: DataFrame, cum: DataFrame, columns: Sequence[str],
         probs += [p / 100 for p in S.PERCENTILES]
         names += [f"p{p}" for p in S.PERCENTILES]
     q = {}
-    if R.small_exact(df.sparkSession, max_rows):
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        aggs += [F.percentile(c, arr).alias(f"{c}__q") for c in columns]
-        row = df.agg(*aggs).first().asDict()
-        for c in columns:
-            vals = row.pop(f"{c}__q")
-            for i, n in enumerate(names):
-                q[(c, n)] = None if vals is None else vals[i]
-        return row, q
     simple = df.agg(*aggs).first().asDict() if aggs else {}
     glob = cum.where((F.col("grp") == F.lit(GLOBAL)) & F.col("column").isin(list(columns)))
     for r in _medians(glob, probs, names).collect():
@@ -151,11 +133,11 @@ def _global_values(df: DataFrame, cum: DataFrame, columns: Sequence[str],
 
 
 def global_stats_row(df: DataFrame, columns: Sequence[str], stats: Sequence[str],
-                     max_rows: int | None = None, name=None) -> DataFrame:
+                     name=None) -> DataFrame:
     """A2/A4/A5 as a one-row DataFrame ({column}_{stat} by default)."""
     name = name or (lambda c, s: f"{c}_{s}")
-    cum = order_statistics(df, [(c, None) for c in columns], max_rows)
-    simple, q = _global_values(df, cum, columns, stats, "percentile" in stats, max_rows)
+    cum = order_statistics(df, [(c, None) for c in columns])
+    simple, q = _global_values(df, cum, columns, stats, "percentile" in stats)
     cols = []
     for c in columns:
         for s in stats:
@@ -219,7 +201,7 @@ def grain_check(df: DataFrame) -> DataFrame:
 
 
 # L2 ---------------------------------------------------------------------------------------------------
-def build_features(df: DataFrame, max_rows: int | None = None, to_log: bool = True,
+def build_features(df: DataFrame, to_log: bool = True,
                    percentile_option: bool = True, stats: Sequence[str] = S.DEFAULT_STATS,
                    target_stats: Sequence[str] | None = None, drop_ids: bool = True) -> DataFrame:
     """L2: F2, W1 + A2, W3 + A3, A4, P6 on the cleaned month table."""
@@ -229,12 +211,13 @@ def build_features(df: DataFrame, max_rows: int | None = None, to_log: bool = Tr
     targets = [t for t in TARGETS if t in df.columns]
     df = add_ratio(df)
     specs = [(npx, None), (pa, "UniProt")] + [(t, None) for t in targets]
-    cum = order_statistics(df, specs, max_rows)
+    cum = order_statistics(df, specs)
     # One aggregate job and one order-statistic job serve every global value.
     every = list(dict.fromkeys([*stats, *tstats]))
-    simple, q = _global_values(df, cum, [npx, *targets], every, "percentile" in tstats, max_rows)
+    simple, q = _global_values(df, cum, [npx, *targets], every, "percentile" in tstats)
+    base = df
     df = npx_columns(df, cum, q, to_log, pct=percentile_option, stats=stats, simple=simple)
-    df = abundance_columns(df, cum, to_log, pct=percentile_option, stats=stats, max_rows=max_rows)
+    df = abundance_columns(df, cum, to_log, pct=percentile_option, stats=stats, source=base)
     df = target_columns(df, q, simple, tstats, targets)
     if drop_ids:
         df = df.drop("patient_id", "PeptideAbundance", "NPX", "UniProt", "Peptide")

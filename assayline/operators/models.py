@@ -13,13 +13,13 @@ import math
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor,
                                    RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators import split as SP
+from assayline.session import ensure_checkpoint_dir, store
 from assayline.tables import TARGETS
 
 SEED = 42
@@ -117,11 +117,11 @@ MISSING = -1.0
 
 
 def vectorize(prepared: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    """P18 on the shared table; persisted because four targets (and every
-    trial) read it."""
+    """P18 on the shared table; stored because four targets (and every trial)
+    read it."""
     filled = prepared.select(*[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c)
                                if c in features else F.col(c) for c in prepared.columns])
-    return SP.split_xy(filled, TARGETS[0], features, out).persist(StorageLevel.MEMORY_AND_DISK)
+    return store(SP.split_xy(filled, TARGETS[0], features, out), "vectors")
 
 
 def fit(train: DataFrame, family: str, label: str, params: dict | None = None,
@@ -131,6 +131,7 @@ def fit(train: DataFrame, family: str, label: str, params: dict | None = None,
     data = train.where(F.col(label).isNotNull())
     if data.isEmpty():
         return None, report
+    ensure_checkpoint_dir(train.sparkSession)  # cached node ids are checkpointed there
     return est.fit(data), report
 
 

@@ -29,17 +29,15 @@ def _fence_cols(factor: float, *keep: str):
             (F.col("q3") + F.lit(float(factor)) * iqr).alias("upper")]
 
 
-def iqr_fences(df: DataFrame, column: str, factor: float = IQR_FACTOR,
-               max_rows: int | None = None) -> DataFrame:
+def iqr_fences(df: DataFrame, column: str, factor: float = IQR_FACTOR) -> DataFrame:
     """One row (q1, q3, iqr, lower, upper), exact interpolated quartiles."""
-    q = exact_quantiles(df, column, [0.25, 0.75], names=["q1", "q3"], max_rows=max_rows)
+    q = exact_quantiles(df, column, [0.25, 0.75], names=["q1", "q3"])
     return q.select(*_fence_cols(factor))
 
 
-def iqr_fences_by_column(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR,
-                         max_rows: int | None = None) -> DataFrame:
+def iqr_fences_by_column(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR) -> DataFrame:
     """A11 for several columns in one job: (column, q1, q3, iqr, lower, upper)."""
-    q = column_quantiles(df, columns, [0.25, 0.75], names=["q1", "q3"], max_rows=max_rows)
+    q = column_quantiles(df, columns, [0.25, 0.75], names=["q1", "q3"])
     return q.select(*_fence_cols(factor, "column"))
 
 
@@ -58,13 +56,13 @@ def _bounds(bounds: DataFrame):
 
 
 def clip_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
-             factor: float = IQR_FACTOR, max_rows: int | None = None) -> DataFrame:
+             factor: float = IQR_FACTOR) -> DataFrame:
     """Values below the low fence become the fence, likewise above.
 
     The reference clips column after column; clipping one column never moves
     another column's quartiles, so all fences come from one job."""
     fences = {r["column"]: (r["lower"], r["upper"])
-              for r in iqr_fences_by_column(df, columns, factor, max_rows).collect()}
+              for r in iqr_fences_by_column(df, columns, factor).collect()}
     new = {}
     for c in columns:
         lo, hi = fences.get(c, (None, None))
@@ -73,7 +71,7 @@ def clip_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
 
 
 def iqr_fence_chain(df: DataFrame, columns: Sequence[str] = MEASURES, passes: int = 2,
-                    factor: float = IQR_FACTOR, max_rows: int | None = None) -> list[dict]:
+                    factor: float = IQR_FACTOR) -> list[dict]:
     """Fences of ``passes`` successive IQR clips, from ONE pass over the data.
 
     Pass k+1's quartiles are those of the clipped column; clipping is monotone
@@ -81,8 +79,7 @@ def iqr_fence_chain(df: DataFrame, columns: Sequence[str] = MEASURES, passes: in
     statistics with the clip applied to the two brackets (bit-identical to
     re-reading the clipped data). Returns one {column: (lower, upper)} per pass."""
     stacked = stack_columns(df, columns)
-    bound = None if max_rows is None else max_rows * len(columns)
-    rows = quantile_brackets(stacked, "value", [0.25, 0.75], ["column"], bound).collect()
+    rows = quantile_brackets(stacked, "value", [0.25, 0.75], ["column"]).collect()
     br = {(r["column"], r["i"]): (r["lo"], r["hi"], r["frac"]) for r in rows}  # 2 per column
     chain, clips = [], {c: (None, None) for c in columns}
     k = float(factor)
@@ -114,11 +111,11 @@ def apply_clip(df: DataFrame, fences: dict) -> DataFrame:
 
 
 def filter_iqr(df: DataFrame, columns: Sequence[str] = MEASURES,
-               factor: float = IQR_FACTOR, max_rows: int | None = None) -> DataFrame:
+               factor: float = IQR_FACTOR) -> DataFrame:
     """Drop rows outside the fences; each column's fences come from the
-    rows the previous column left (filters only shrink the row bound)."""
+    rows the previous column left."""
     for c in columns:
-        lo, hi = _bounds(iqr_fences(df, c, factor, max_rows))
+        lo, hi = _bounds(iqr_fences(df, c, factor))
         df = df.where(F.col(c).between(lo, hi))
     return df
 

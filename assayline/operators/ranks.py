@@ -4,17 +4,16 @@ The reference ranks with pandas (average rank over ties, divided by the
 non-null count) and takes linearly interpolated quantiles. A plain
 ``Window.orderBy`` or the built-in exact ``percentile`` would hold a whole
 group (or the whole table) in one task. Here both are built on one
-primitive, a cumulative count over the *distinct values*:
-
-1. ``counts``: rows per (group, value); partial aggregation map-side, so a
-   hot value costs one row per map task.
-2. ``before``: rows of the group with a smaller value. When the largest
-   group has at most ``assayline.rank.maxGroupDistinct`` distinct values
-   (checked with one aggregate) a window per group does it. Beyond that the
-   distinct table is range-partitioned on (group, value), the partition id
-   is pinned by a checkpoint to the shared folder, a window runs per
-   (group, partition), and per-partition totals (at most P + groups rows)
-   give the offsets. No task ever holds more than one range slice.
+primitive, a cumulative count over the *distinct values*, at every size:
+
+1. ``value_counts``: rows per (group, value); partial aggregation map-side,
+   so a hot value costs one row per map task.
+2. ``_before``, the rows of the group with a smaller value: the distinct
+   table is range-partitioned on (group, value) into as many slices as the
+   session has shuffle partitions and stored with its slice number in the
+   shared folder; a window runs per (group, slice), and per-slice totals (at
+   most slices + groups rows) give the offsets. No task ever holds more than
+   one slice, whatever the size of a group.
 
 Average rank = before + (count + 1) / 2; percentile = that / non-null count.
 Quantile p reads positions floor(h), ceil(h) with h = (n - 1) p.
@@ -22,41 +21,15 @@ Quantile p reads positions floor(h), ceil(h) with h = (n - 1) p.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.session import cut_lineage
-
-MAX_GROUP_DISTINCT_CONF = "assayline.rank.maxGroupDistinct"
-DEFAULT_MAX_GROUP_DISTINCT = 2_000_000
-# Inputs with at most this many rows (a proven bound) may use Spark's exact
-# ``percentile`` aggregate, whose buffer holds the distinct values of a group.
-SMALL_EXACT_CONF = "assayline.quantile.smallExactRows"
-DEFAULT_SMALL_EXACT = 1_000_000
+from assayline.session import store
 
 _C, _BEFORE, _N, _B = "_vc", "_before", "_n", "_slice"
 
-# Distinct-value tables kept for the life of the query that uses them.
-_CACHED: list[DataFrame] = []
-
-
-def release_cached() -> None:
-    """Unpersist the distinct-value tables made by earlier calls."""
-    while _CACHED:
-        df = _CACHED.pop()
-        try:
-            df.unpersist()
-        except Exception:  # noqa: BLE001 - its session may be gone already
-            pass
-
-
-def _limit(spark) -> int:
-    return int(spark.conf.get(MAX_GROUP_DISTINCT_CONF, str(DEFAULT_MAX_GROUP_DISTINCT)))
-
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, _vc): non-null values only; rows with a null group key
@@ -67,41 +40,18 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.where(cond).groupBy(*by, value).agg(F.count(F.lit(1)).alias(_C))
 
 
-def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
-                      max_group_distinct: int | None = None,
-                      max_rows: int | None = None) -> DataFrame:
-    """(by..., value, _vc, _before, _n) over the distinct values of ``value``.
-
-    ``max_rows`` is a proven upper bound on the rows of ``df`` (for example
-    an exact count of a persisted input); under the limit it skips the size
-    check, since a group never has more distinct values than rows."""
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value, _vc, _before, _n) over the distinct values of ``value``."""
     by = list(by)
-    limit = max_group_distinct or _limit(df.sparkSession)
-    counts = value_counts(df, value, by)
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
-    if max_rows is not None and max_rows <= limit:
-        biggest = total = max_rows
-    else:
-        # The size check is an action; keeping its input (one row per
-        # distinct value) means the query that follows does not recompute it.
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHED.append(counts)
-        sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("d"))
-        row = sizes.agg(F.max("d").alias("m"), F.sum("d").alias("t")).first()
-        biggest, total = (row["m"] or 0), (row["t"] or 0)
-    if biggest <= limit:
-        # Size checked: one task holds at most `limit` distinct values.
-        w = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return (counts.withColumn(_BEFORE, F.coalesce(F.sum(_C).over(w), F.lit(0)))
-                      .withColumn(_N, F.sum(_C).over(group)))
-    slices = max(2, math.ceil(total / limit) * 2)
-    ranged = cut_lineage(counts.repartitionByRange(slices, *by, value)
-                               .withColumn(_B, F.spark_partition_id()))
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store(value_counts(df, value, by).repartitionByRange(slices, *by, value)
+                   .withColumn(_B, F.spark_partition_id()), "slices")
     inner = (Window.partitionBy(*by, _B).orderBy(value)
                    .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn("_local", F.coalesce(F.sum(_C).over(inner), F.lit(0)))
     totals = ranged.groupBy(*by, _B).agg(F.sum(_C).alias("_bt"))
     # At most slices + groups rows; per group at most `slices` rows.
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     prior = group.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(prior), F.lit(0)))
                      .withColumn(_N, F.sum("_bt").over(group))
@@ -132,12 +82,12 @@ def attach_rank(df: DataFrame, ranks: DataFrame, value: str, by: Sequence[str] =
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: bool = True,
-                 out: str | None = None, max_rows: int | None = None) -> DataFrame:
+                 out: str | None = None) -> DataFrame:
     """pandas ``rank(method='average', pct=pct)``, optionally per group; a
     null value (or null group key) gets a null rank."""
     by = list(by)
     out = out or f"{value}_rank"
-    cum = cumulative_counts(df, value, by, max_rows=max_rows)
+    cum = cumulative_counts(df, value, by)
     return attach_rank(df, rank_table(cum, value, by, pct, out), value, by, out=out)
 
 
@@ -162,26 +112,14 @@ def quantiles_from_cumulative(cum: DataFrame, value: str, probs: Sequence[float]
     return hit.groupBy(*by).agg(*picks) if by else hit.agg(*picks)
 
 
-def small_exact(spark, max_rows: int | None) -> bool:
-    """True when a proven row bound allows the single-buffer exact aggregate."""
-    limit = int(spark.conf.get(SMALL_EXACT_CONF, str(DEFAULT_SMALL_EXACT)))
-    return max_rows is not None and max_rows <= limit
-
-
-def percentile_exprs(value: str, probs: Sequence[float], names: Sequence[str]):
-    """Exact interpolated quantiles as one aggregate (size-checked use only)."""
-    arr = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-    return arr, [F.col("_pq")[i].alias(n) for i, n in enumerate(names)]
-
-
 def quantile_brackets(df: DataFrame, value: str, probs: Sequence[float],
-                      by: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+                      by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, lo, hi, frac): the two order statistics around each
     quantile position and the interpolation weight, from one job. A monotone
     map g (a clip) keeps positions, so the quantile of g(x) is
     g(lo) + frac * (g(hi) - g(lo)) without another pass over the data."""
     by = list(by)
-    cum = cumulative_counts(df, value, by, max_rows=max_rows)
+    cum = cumulative_counts(df, value, by)
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                         for i, p in enumerate(probs)])
     h = (F.col(_N) - F.lit(1)) * F.col("_q.p")
@@ -198,25 +136,14 @@ def interpolate(lo: float, hi: float, frac: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    max_rows: int | None = None) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas/numpy default), exact.
 
     Returns (by..., name_1, ...). Without ``by`` there is always one row
-    (nulls when no value exists). Under a small proven row bound this is one
-    aggregate; otherwise positions are read off distributed cumulative counts."""
-    by = list(by)
+    (nulls when no value exists)."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    if small_exact(df.sparkSession, max_rows):
-        cond = F.lit(True)
-        for k in by:
-            cond = cond & F.col(k).isNotNull()
-        arr, picks = percentile_exprs(value, probs, names)
-        src = df.where(cond)
-        agg = (src.groupBy(*by) if by else src).agg(arr.alias("_pq"))
-        return agg.select(*by, *picks)
-    cum = cumulative_counts(df, value, list(by), max_rows=max_rows)
-    return quantiles_from_cumulative(cum, value, probs, by, names)
+    return quantiles_from_cumulative(cumulative_counts(df, value, list(by)), value, probs, by,
+                                     names)
 
 
 def stack_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -229,10 +156,7 @@ def stack_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     names: Sequence[str] | None = None, by: Sequence[str] = (),
-                     max_rows: int | None = None) -> DataFrame:
+                     names: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles of several columns in one job: (by..., column, names...)."""
-    stacked = stack_columns(df, columns, by)
-    bound = None if max_rows is None else max_rows * len(columns)
-    return exact_quantiles(stacked, "value", probs, by=[*by, "column"], names=names,
-                           max_rows=bound)
+    return exact_quantiles(stack_columns(df, columns, by), "value", probs, by=[*by, "column"],
+                           names=names)

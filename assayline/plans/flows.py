@@ -3,7 +3,6 @@ prepare (L4/L5). Each is lazy up to the bounds' size checks."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F_
 
@@ -12,6 +11,7 @@ from assayline.operators import features as F
 from assayline.operators import scale as SC
 from assayline.operators import split as SP
 from assayline.operators import outliers as O
+from assayline.session import store
 from assayline.tables import AssayTables, DEFAULT_MONTH, TARGETS
 
 
@@ -25,40 +25,29 @@ def deduped_non_null(tables: AssayTables, month: int = DEFAULT_MONTH) -> DataFra
     return C.drop_null_rows(C.drop_duplicates(joined_month(tables, month)))
 
 
-def clean(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool = False,
-          persist: bool = True) -> DataFrame:
-    return clean_with_bound(tables, month, keep_visit_keys, persist)[0]
+def clean(tables: AssayTables, month: int = DEFAULT_MONTH,
+          keep_visit_keys: bool = False) -> DataFrame:
+    """L1: P1 x3, J1, J2, U1, P10, P12, F1, P12, P14, P4, P2, P5.
 
-
-def clean_with_bound(tables: AssayTables, month: int = DEFAULT_MONTH,
-                     keep_visit_keys: bool = False, persist: bool = True):
-    """(L1 table, proven row bound). L1: P1 x3, J1, J2, U1, P10, P12, F1, P12, P14, P4, P2, P5.
-
-    The null-dropped month table feeds six bound aggregates, so it is
-    persisted once (memory, then local disk) instead of re-running the joins
-    for each bound. ``keep_visit_keys`` delays P5 so a split key can use
-    visit_id."""
-    base = deduped_non_null(tables, month)
-    rows = None
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-        rows = base.count()  # materialises the cache; a proven row bound below
+    The null-dropped month table feeds several bound aggregates, so it is
+    stored once instead of re-running the joins for each bound.
+    ``keep_visit_keys`` delays P5 so a split key can use visit_id."""
+    base = store(deduped_non_null(tables, month), "month")
     # Both IQR passes' fences from one pass over the month table (the second
     # pass's quartiles follow from the first pass's bracketing order statistics).
-    first, second = O.iqr_fence_chain(base, O.MEASURES, passes=2, max_rows=rows)
+    first, second = O.iqr_fence_chain(base, O.MEASURES, passes=2)
     df = O.apply_clip(base, first)
     df = O.add_log_columns(df)
     df = O.apply_clip(df, second)
     df = O.null_outliers_sigma(df)
     df = C.drop_medication(C.drop_null_count(df))
-    return (df if keep_visit_keys else C.drop_visit_keys(df)), rows
+    return df if keep_visit_keys else C.drop_visit_keys(df)
 
 
 def features(tables: AssayTables, month: int = DEFAULT_MONTH, keep_visit_keys: bool = False,
              **options) -> DataFrame:
     """L1 then L2: the 45-column month feature table (visit keys optional)."""
-    df, rows = clean_with_bound(tables, month, keep_visit_keys=keep_visit_keys)
-    return F.build_features(df, max_rows=rows, **options)
+    return F.build_features(clean(tables, month, keep_visit_keys=keep_visit_keys), **options)
 
 
 def prepare(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_20",
@@ -66,12 +55,11 @@ def prepare(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_2
     """L1, L2, split, scaling fitted on train rows. One table serves all
     four targets (P16 is a projection of it): keys, split, four labels and
     the 41 scaled features."""
-    df, rows = clean_with_bound(tables, month, keep_visit_keys=True)
-    feat = F.build_features(df, max_rows=rows, drop_ids=False)
+    feat = F.build_features(clean(tables, month, keep_visit_keys=True), drop_ids=False)
     feat = SP.assign_split(feat, scheme, seed, by_patient=by_patient)
-    # Persisted once: the scaler fit and the scaled projection (and then every
+    # Stored once: the scaler fit and the scaled projection (and then every
     # target) read it instead of re-running the rank joins.
-    feat = feat.drop("patient_id", "PeptideAbundance", "NPX").persist(StorageLevel.MEMORY_AND_DISK)
+    feat = store(feat.drop("patient_id", "PeptideAbundance", "NPX"), "features")
     feats = model_features(feat.columns)
     if scale == "minmax":
         return SC.minmax_scale(feat, feats)

@@ -22,13 +22,13 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_FOUND_SQL = _lit(AN.FOUND.replace("%s", "{}").replace("%d", "{}"))
 _RES = "upper(replace({c}, ' ', ''))"
 _REC_SQL = """,
 rec AS (SELECT p_brand AS uniprot,
-          coalesce(string_agg(DISTINCT CASE WHEN p_size <= 40 THEN upper(replace(p_name, ' ', '')) END,
-                              '' ORDER BY CASE WHEN p_size <= 40 THEN upper(replace(p_name, ' ', '')) END), '') AS seq,
-          min(CASE WHEN p_size = 50 THEN p_type END) AS name
-        FROM part WHERE p_brand <> 'Brand#13' GROUP BY p_brand)"""
+          coalesce(min(upper(replace(p_name, ' ', ''))) || max(upper(replace(p_name, ' ', ''))), '') AS seq,
+          min(p_type) AS name
+        FROM part GROUP BY p_brand)"""
 
 
 @register("protein_record_fields", Q.with_() + _REC_SQL + f"""
@@ -49,8 +49,8 @@ j AS (SELECT pp.UniProt, pp.Peptide, rec.seq AS sequence,
 SELECT UniProt, Peptide, sequence, protein_name,
        CASE WHEN sequence <> '' THEN CAST(instr(sequence, pseq) - 1 AS INTEGER) END AS position,
        CASE WHEN sequence IS NULL OR sequence = '' THEN '{AN.NO_SEQUENCE}'
-            WHEN instr(sequence, pseq) > 0 THEN {_lit(AN.FOUND_PREFIX)} || Peptide || {_lit(AN.FOUND_MIDDLE)}
-                 || CAST(instr(sequence, pseq) - 1 AS VARCHAR) || {_lit(AN.FOUND_SUFFIX)}
+            WHEN instr(sequence, pseq) > 0 THEN format({_FOUND_SQL}, Peptide,
+                 CAST(instr(sequence, pseq) - 1 AS VARCHAR))
             ELSE '{AN.NOT_FOUND}' END AS message
 FROM j""")
 def peptide_positions(spark, sf_dir):
@@ -63,7 +63,7 @@ def peptide_positions(spark, sf_dir):
 _GO_SQL = Q.with_() + f""",
 ann AS (SELECT DISTINCT p_brand AS uniprot, 'GO:' || lpad(CAST(p_size AS VARCHAR), 7, '0') AS go_id FROM part),
 nm AS (SELECT DISTINCT 'GO:' || lpad(CAST(p_size AS VARCHAR), 7, '0') AS go_id,
-              'size term ' || CAST(p_size AS VARCHAR) AS name FROM part WHERE p_size <= 45),
+              'size term ' || CAST(p_size AS VARCHAR) AS name FROM part),
 pr AS (SELECT DISTINCT UniProt FROM proteins)
 SELECT pr.UniProt, ann.go_id, coalesce(nm.name, '{AN.GO_NO_DESCRIPTION}') AS go_name
 FROM pr JOIN ann ON pr.UniProt = ann.uniprot LEFT JOIN nm ON ann.go_id = nm.go_id"""
@@ -76,23 +76,44 @@ def go_terms(spark, sf_dir):
                             SA.go_annotations(spark, sf_dir), SA.go_names(spark, sf_dir))
 
 
-@register("annotation_go_map", None)
+@register("annotation_go_map", _GO_SQL.replace("SELECT pr.UniProt,", "SELECT UniProt, "
+          "string_agg(go_id || '=' || go_name, '; ' ORDER BY go_id) AS go_terms FROM (\n"
+          "SELECT pr.UniProt,") + ") GROUP BY UniProt")
 def annotation_go_map(spark, sf_dir):
-    """one GO id -> name map per protein."""
-    return AN.go_map(go_terms(spark, sf_dir))
-
-
-@register("peptide_pair_scores", None)
+    """one GO id -> name map per protein, shown as its entries in order."""
+    entries = F.transform(F.map_entries("go_terms"),
+                          lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return AN.go_map(go_terms(spark, sf_dir)).withColumn("go_terms", F.array_join(entries, "; "))
+
+
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+# Longest common subsequence in list functions: one step per letter of a; the
+# new row is the running maximum of (match: left-above + 1, else above).
+_LCS_SQL = """list_reduce(
+    list_prepend([0 for x in range(len(b) + 1)], [[ascii(x)] for x in string_split(a, '')]),
+    lambda row, ch: list_prepend(0, [list_max(
+      [CASE WHEN ascii(b[k]) = ch[1] THEN row[k] + 1 ELSE row[k + 1] END
+       for k in range(1, j + 1)]) for j in range(1, len(b) + 1)]))[-1]"""
+
+
+@register("peptide_pair_scores", f"""
+WITH named AS (
+  SELECT l_orderkey, l_linenumber, {_RES.format(c='p_name')} AS peptide_a,
+         lead({_RES.format(c='p_name')}) OVER (PARTITION BY l_orderkey
+              ORDER BY {", ".join(_LINE_ORDER)}) AS peptide_b
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+pairs AS (SELECT DISTINCT peptide_a AS a, peptide_b AS b FROM named WHERE peptide_b IS NOT NULL),
+scored AS (SELECT a, b, {_LCS_SQL} AS score FROM pairs)
+SELECT l_orderkey, l_linenumber, peptide_a, peptide_b, CAST(score AS BIGINT) AS score
+FROM named JOIN scored ON a = peptide_a AND b = peptide_b""")
 def peptide_pair_scores(spark, sf_dir):
-    """J9 + F12: the peptides of consecutive lines of one order, aligned
-    (one partner per line: an equi-join on (order, line + 1))."""
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    """J9 + F12: each line of an order with the next one, aligned; every
+    distinct pair of peptides is scored once."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE_ORDER)
     pt = _read(spark, sf_dir, "part").select("p_partkey", SA.residues("p_name").alias("pep"))
-    named = li.join(pt, li.l_partkey == pt.p_partkey).select("l_orderkey", "l_linenumber", "pep")
-    left = named.select("l_orderkey", "l_linenumber", F.col("pep").alias("peptide_a"))
-    right = named.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"),
-                         F.col("pep").alias("peptide_b"))
-    return AN.peptide_pairs(left, right, ["l_orderkey", "l_linenumber"])
+    named = li.join(pt, li.l_partkey == pt.p_partkey)
+    return AN.next_pairs(named, ["l_orderkey"], list(_LINE_ORDER), "pep").select(
+        "l_orderkey", "l_linenumber", "peptide_a", "peptide_b", "score")
 
 
 # F14 / F15 -------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ def features_month_24(spark, sf_dir):
 
 
 def _clean(spark, sf_dir, keep=False):
-    return flows.clean_with_bound(load_tables(spark, sf_dir), MONTH, keep_visit_keys=keep)
+    return flows.clean(load_tables(spark, sf_dir), MONTH, keep_visit_keys=keep)
 
 
 _CLEAN_SQL = Q.with_(Q.clean(MONTH))
@@ -31,7 +31,7 @@ SELECT visit_id, UniProt, Peptide, {Q._ratio()} AS Peptide_per_Protein FROM clea
           rounded=("Peptide_per_Protein",))
 def ratio_peptide_per_protein(spark, sf_dir):
     """F2 on the cleaned month."""
-    df, _ = _clean(spark, sf_dir, keep=True)
+    df = _clean(spark, sf_dir, keep=True)
     return F.add_ratio(df).select("visit_id", "UniProt", "Peptide", F.RATIO)
 
 
@@ -41,9 +41,9 @@ SELECT visit_id, UniProt, Peptide, NPX_log,
 FROM cleaned""", rounded=("NPX_log", "NPX_log_percentile"))
 def global_percentile_rank(spark, sf_dir):
     """Average-rank percentile over all rows (distributed prefix sums)."""
-    df, rows = _clean(spark, sf_dir, keep=True)
+    df = _clean(spark, sf_dir, keep=True)
     df = df.select("visit_id", "UniProt", "Peptide", "NPX_log")
-    return R.average_rank(df, "NPX_log", out="NPX_log_percentile", max_rows=rows)
+    return R.average_rank(df, "NPX_log", out="NPX_log_percentile")
 
 
 @register("global_rank", _CLEAN_SQL + f"""
@@ -52,10 +52,9 @@ SELECT visit_id, UniProt, Peptide, PeptideAbundance,
 FROM cleaned""", rounded=("PeptideAbundance", "PeptideAbundance_rank"))
 def global_rank(spark, sf_dir):
     """Plain average rank (pct off); PeptideAbundance has many ties."""
-    df, rows = _clean(spark, sf_dir, keep=True)
+    df = _clean(spark, sf_dir, keep=True)
     df = df.select("visit_id", "UniProt", "Peptide", "PeptideAbundance")
-    return R.average_rank(df, "PeptideAbundance", pct=False, out="PeptideAbundance_rank",
-                          max_rows=rows)
+    return R.average_rank(df, "PeptideAbundance", pct=False, out="PeptideAbundance_rank")
 
 
 @register("protein_percentile_rank", _CLEAN_SQL + f"""
@@ -65,10 +64,10 @@ SELECT visit_id, UniProt, Peptide, PeptideAbundance_log,
 FROM cleaned""", rounded=("PeptideAbundance_log", "pa_percentile_in_protein"))
 def protein_percentile_rank(spark, sf_dir):
     """Average-rank percentile within UniProt."""
-    df, rows = _clean(spark, sf_dir, keep=True)
+    df = _clean(spark, sf_dir, keep=True)
     df = df.select("visit_id", "UniProt", "Peptide", "PeptideAbundance_log")
     return R.average_rank(df, "PeptideAbundance_log", ["UniProt"],
-                          out="pa_percentile_in_protein", max_rows=rows)
+                          out="pa_percentile_in_protein")
 
 
 _PSTATS = [f"PeptideAbundance_log_{s}_in_UniProt" for s in Q.STATS]
@@ -80,8 +79,8 @@ _PSTATS = [f"PeptideAbundance_log_{s}_in_UniProt" for s in Q.STATS]
           + " FROM cleaned GROUP BY UniProt", rounded=_PSTATS)
 def protein_abundance_stats(spark, sf_dir):
     """A3 (and W4's table): six statistics per UniProt, exact medians."""
-    df, rows = _clean(spark, sf_dir)
-    cum = F.order_statistics(df, [("PeptideAbundance_log", "UniProt")], rows)
+    df = _clean(spark, sf_dir)
+    cum = F.order_statistics(df, [("PeptideAbundance_log", "UniProt")])
     return F.protein_stats_table(df, cum, "PeptideAbundance_log")
 
 
@@ -94,8 +93,8 @@ _PCOLS = [f"{t}_percentile_p{p}" for t in Q.TARGETS for p in (10, 25, 50, 75, 90
           + " FROM cleaned", rounded=[f"NPX_log_{s}_in_all" for s in Q.STATS])
 def global_npx_stats(spark, sf_dir):
     """A2: six statistics of NPX_log as one row."""
-    df, rows = _clean(spark, sf_dir)
-    return F.global_stats_row(df, ["NPX_log"], Q.STATS, rows,
+    df = _clean(spark, sf_dir)
+    return F.global_stats_row(df, ["NPX_log"], Q.STATS,
                               name=lambda c, s: f"{c}_{s}_in_all")
 
 
@@ -104,8 +103,8 @@ def global_npx_stats(spark, sf_dir):
           + " FROM cleaned", rounded=_TCOLS)
 def target_stats(spark, sf_dir):
     """A4: 24 statistics of the four targets as one row."""
-    df, rows = _clean(spark, sf_dir)
-    return F.global_stats_row(df, list(Q.TARGETS), Q.STATS, rows)
+    df = _clean(spark, sf_dir)
+    return F.global_stats_row(df, list(Q.TARGETS), Q.STATS)
 
 
 @register("target_percentiles", _CLEAN_SQL + "\nSELECT "
@@ -114,8 +113,8 @@ def target_stats(spark, sf_dir):
           + " FROM cleaned", rounded=_PCOLS)
 def target_percentiles(spark, sf_dir):
     """A5: p10, p25, p50, p75, p90 of each target."""
-    df, rows = _clean(spark, sf_dir)
-    return F.global_stats_row(df, list(Q.TARGETS), ["percentile"], rows)
+    df = _clean(spark, sf_dir)
+    return F.global_stats_row(df, list(Q.TARGETS), ["percentile"])
 
 
 def _row_stats_sql():
@@ -134,7 +133,7 @@ FROM a"""
           rounded=[f"updrs_total_{s}" for s in Q.STATS])
 def row_target_stats(spark, sf_dir):
     """Statistics across the four targets of each row."""
-    df, _ = _clean(spark, sf_dir, keep=True)
+    df = _clean(spark, sf_dir, keep=True)
     return F.row_target_stats(df.select("visit_id", "UniProt", "Peptide", *Q.TARGETS)).drop(
         *Q.TARGETS)
 
@@ -182,5 +181,5 @@ SELECT count(*) AS n_rows, count(DISTINCT patient_id) AS n_patients,
        count(*) = count(DISTINCT patient_id) AS one_row_per_patient FROM cleaned""")
 def grain_check(spark, sf_dir):
     """A13."""
-    df, _ = _clean(spark, sf_dir)
+    df = _clean(spark, sf_dir)
     return F.grain_check(df)

@@ -145,9 +145,9 @@ def _fit_sql(kind):
 
 
 def _features_with_split(spark, sf_dir):
-    df, rows = flows.clean_with_bound(load_tables(spark, sf_dir), MONTH, keep_visit_keys=True)
+    df = flows.clean(load_tables(spark, sf_dir), MONTH, keep_visit_keys=True)
     from assayline.operators.features import build_features
-    feat = build_features(df, max_rows=rows, drop_ids=False)
+    feat = build_features(df, drop_ids=False)
     return SP.assign_split(feat, "80_20")
 
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -28,10 +30,16 @@ _LOCAL_DEFAULTS = {
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "assayline") -> SparkSession:
     """Local session for tests, bench and smoke runs."""
+    live = SparkSession.getActiveSession()
+    if live is not None:  # a running session keeps its own settings
+        ensure_checkpoint_dir(live)
+        return live
+    given = SparkConf()
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in {**_LOCAL_DEFAULTS,
+                 "spark.sql.shuffle.partitions": str(shuffle_partitions)}.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     # spark.checkpoint.dir is not set here: a configured folder (cluster or
     # spark-defaults) wins; ensure_checkpoint_dir makes one only if unset.
     spark = builder.getOrCreate()
@@ -62,7 +70,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df, label: str = "table"):
+    """``df`` written once as Parquet under the shared checkpoint folder and
+    read back: its lineage ends there, it survives lost executors, later
+    readers prune its columns, and nothing stays pinned in executor memory."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,10 @@ Mapping (one deterministic rule both Spark and the SQL oracle follow):
   ``visit_month = 12 * (year(o_orderdate) - 1995)``,
   ``visit_id = patient_id || '_' || visit_month``;
 * ``UniProt = p_brand`` and ``Peptide = p_name`` of the ordered part;
-* proteins: ``NPX`` = sum of extended price per (visit, UniProt), brand 13
-  left out so the left join has unmatched rows;
 * peptides: ``PeptideAbundance`` = sum of quantity per (visit, UniProt, Peptide);
+* proteins: ``NPX`` = sum of extended price per (visit, UniProt), rolled up
+  from the peptide grain, so both tables come from one aggregate of the line
+  items; a month's aggregate is stored once, so line items are read once;
 * clinical, per visit from ``orders``: updrs_1 = orders, updrs_2 =
   floor(max price / 10000), updrs_3 = floor(sum price / 10000),
   updrs_4 = urgent orders, medication 'On'/'Off'/NULL from the smallest status.
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.session import store
 from assayline.tables import AssayTables, MEDICATION_COL
 
 # Fixed values of the mapping.
-EXCLUDED_BRAND = "Brand#13"
 BASE_YEAR = 1995
 URGENT = "1-URGENT"
 SCORE_SCALE = 10000
@@ -99,25 +100,27 @@ def _visit_keys():
     return ["visit_id", "visit_month", "patient_id"]
 
 
-def proteins(items: DataFrame) -> DataFrame:
-    return (items.where(F.col("UniProt") != F.lit(EXCLUDED_BRAND))
-                 .groupBy(*_visit_keys(), "UniProt")
-                 .agg(F.sum(F.col("l_extendedprice").cast(_DEC)).cast("double").alias("NPX")))
+def assay_items(items: DataFrame) -> DataFrame:
+    """(visit, UniProt, Peptide, qty, price): the finer grain of both tables."""
+    return (items.groupBy(*_visit_keys(), "UniProt", "Peptide")
+                 .agg(F.sum(F.col("l_quantity").cast(_DEC)).alias("qty"),
+                      F.sum(F.col("l_extendedprice").cast(_DEC)).alias("price")))
 
 
-def peptides(items: DataFrame) -> DataFrame:
-    return (items.groupBy(*_visit_keys(), "UniProt", "Peptide")
-                 .agg(F.sum(F.col("l_quantity").cast(_DEC)).cast("double")
-                      .alias("PeptideAbundance")))
+def proteins(assay: DataFrame) -> DataFrame:
+    return (assay.groupBy(*_visit_keys(), "UniProt")
+                 .agg(F.sum("price").cast("double").alias("NPX")))
+
+
+def peptides(assay: DataFrame) -> DataFrame:
+    return assay.select(*_visit_keys(), "UniProt", "Peptide",
+                        F.col("qty").cast("double").alias("PeptideAbundance"))
 
 
 def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> DataFrame:
     od = _orders(spark, sf_dir, month).select(
         "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    # o_orderstatus is a one-letter code (CHAR(1)): the smallest character
-    # code is the smallest status, and an integer minimum keeps the aggregate
-    # hash-based (a string minimum forces a sort-based aggregate).
-    status = F.min(F.ascii("o_orderstatus"))
+    status = F.min("o_orderstatus")
     return (od.select(*_visit_cols("o_custkey", "o_orderdate"),
                       "o_totalprice", "o_orderstatus", "o_orderpriority")
               .groupBy(*_visit_keys())
@@ -127,20 +130,25 @@ def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> Data
                     .cast("double").alias("updrs_3"),
                    F.sum(F.when(F.col("o_orderpriority") == F.lit(URGENT), 1).otherwise(0))
                     .cast("double").alias("updrs_4"),
-                   F.when(status == F.lit(ord("O")), F.lit("On"))
-                    .when(status == F.lit(ord("F")), F.lit("Off")).alias(MEDICATION_COL)))
+                   F.when(status == F.lit("O"), F.lit("On"))
+                    .when(status == F.lit("F"), F.lit("Off")).alias(MEDICATION_COL)))
 
 
 def load_tables(spark: SparkSession, sf_dir: str, month: int | None = None) -> AssayTables:
     """S1 on the driver tables: the three assay tables, lazily. The month
-    filter (P1) calls back here to prune the scans to one order year.
-    Handles are memoised per session (they hold plans, not data)."""
+    filter (P1) calls back here to prune the scans to one order year; that
+    month's aggregate is stored, since both tables read it. Handles of whole
+    tables are memoised per session (they hold plans, not data)."""
     key = (id(spark), sf_dir, month)
-    if key not in _TABLES or not _alive(_TABLES[key].clinical, spark):
-        items = visit_items(spark, sf_dir, month)
-        _TABLES[key] = AssayTables(proteins(items), peptides(items),
-                                   clinical(spark, sf_dir, month),
-                                   month_pruner=lambda m: load_tables(spark, sf_dir, m))
+    if month is not None or key not in _TABLES or not _alive(_TABLES[key].clinical, spark):
+        assay = assay_items(visit_items(spark, sf_dir, month))
+        if month is not None:
+            assay = store(assay, "assay")
+        made = AssayTables(proteins(assay), peptides(assay), clinical(spark, sf_dir, month),
+                           month_pruner=lambda m: load_tables(spark, sf_dir, m))
+        if month is not None:
+            return made
+        _TABLES[key] = made
     return _TABLES[key]
 
 
@@ -158,7 +166,7 @@ visit_items AS (
 proteins AS (
   SELECT visit_id, visit_month, patient_id, UniProt,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS NPX
-  FROM visit_items WHERE UniProt <> '{EXCLUDED_BRAND}'
+  FROM visit_items
   GROUP BY visit_id, visit_month, patient_id, UniProt),
 peptides AS (
   SELECT visit_id, visit_month, patient_id, UniProt, Peptide,

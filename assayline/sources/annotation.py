@@ -3,13 +3,13 @@ to snapshot tables. On the driver's tables the snapshots are derived from
 ``part`` (no service is called):
 
 * protein record per UniProt (= p_brand), JSON like the service's record:
-  ``sequence.value`` = the brand's distinct part names of size <= 40,
-  upper-cased without spaces, sorted and concatenated;
+  ``sequence.value`` = the brand's first and last part name in order,
+  upper-cased without spaces and joined, so a sequence has a bounded length
+  however many parts a brand has;
   ``proteinDescription.recommendedName.fullName.value`` = the brand's
-  smallest part type among its size-50 parts (absent when it has none).
-  The excluded brand (no proteins rows) has no record.
+  smallest part type.
 * GO annotations: one (UniProt, GO id) row per part, GO id from the part
-  size (ids repeat); GO names for sizes up to 45 only.
+  size (ids repeat); a GO name per size.
 """
 
 from __future__ import annotations
@@ -17,11 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.sources.adapter import EXCLUDED_BRAND, _read
-
-SEQUENCE_MAX_SIZE = 40
-NAMED_SIZE = 50
-GO_NAMED_MAX_SIZE = 45
+from assayline.sources.adapter import _read
 
 
 def residues(name) -> Column:
@@ -35,14 +31,11 @@ def go_id(size) -> Column:
 
 
 def protein_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uniprot, json). One row per brand; the sequence is built from
-    the distinct names (bounded by the name vocabulary), not from every part."""
-    pt = _read(spark, sf_dir, "part").where(F.col("p_brand") != F.lit(EXCLUDED_BRAND))
+    """(uniprot, json). One row per brand, from mergeable minima and maxima."""
+    pt = _read(spark, sf_dir, "part")
     rec = pt.groupBy(F.col("p_brand").alias("uniprot")).agg(
-        F.array_join(F.array_sort(F.collect_set(
-            F.when(F.col("p_size") <= SEQUENCE_MAX_SIZE, residues("p_name")))), "")
-        .alias("seq"),
-        F.min(F.when(F.col("p_size") == NAMED_SIZE, F.col("p_type"))).alias("name"))
+        F.concat(F.min(residues("p_name")), F.max(residues("p_name"))).alias("seq"),
+        F.min("p_type").alias("name"))
     doc = F.struct(
         F.col("uniprot").alias("primaryAccession"),
         F.struct(F.col("seq").alias("value")).alias("sequence"),
@@ -58,8 +51,8 @@ def go_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def go_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(go_id, name) for the named sizes."""
-    pt = _read(spark, sf_dir, "part").where(F.col("p_size") <= GO_NAMED_MAX_SIZE)
+    """(go_id, name) of every size."""
+    pt = _read(spark, sf_dir, "part")
     return pt.select(go_id("p_size").alias("go_id"),
                      F.concat(F.lit("size term "), F.col("p_size").cast("string")).alias("name")
                      ).distinct()

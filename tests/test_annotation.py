@@ -35,8 +35,7 @@ def test_peptide_messages_and_defaults(spark):
     out = {(r["UniProt"], r["Peptide"]): r for r in
            AN.join_protein_record(pep, rec, F.col("Peptide")).collect()}
     assert out[("P1", "PEP")]["position"] == 0
-    assert out[("P1", "TIDE")]["message"] == (AN.FOUND_PREFIX + "TIDE" + AN.FOUND_MIDDLE + "3"
-                                              + AN.FOUND_SUFFIX)
+    assert out[("P1", "TIDE")]["message"] == AN.FOUND % ("TIDE", 3)
     assert out[("P1", "ZZZ")]["message"] == AN.NOT_FOUND
     assert out[("P2", "PEP")]["message"] == AN.NO_SEQUENCE
     assert out[("P2", "PEP")]["protein_name"] == AN.NAME_NOT_FOUND

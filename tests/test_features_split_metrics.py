@@ -126,8 +126,8 @@ def test_sigma_rule_data_loss_limits(spark):
 
 def test_keyword_options(spark):
     """to_log off, plain ranks, a statistic subset, percentile stats."""
-    df, rows = flows.clean_with_bound(load_tables(spark, SF001), 24)
-    out = FE.build_features(df, max_rows=rows, to_log=False, percentile_option=False,
+    df = flows.clean(load_tables(spark, SF001), 24)
+    out = FE.build_features(df, to_log=False, percentile_option=False,
                             stats=["mean", "max"], target_stats=["median", "percentile"])
     cols = set(out.columns)
     assert {"NPX_percentile_in_all", "NPX_mean_in_all", "NPX_max_in_all",

@@ -35,21 +35,14 @@ def test_no_cross_or_row_udf_in_any_sql_query(spark):
     assert not bad, bad
 
 
-def test_features_has_no_single_partition_window_beyond_limit(spark):
-    """With a group limit below the data size, ranks take the range-slice path:
-    no window runs over an unpartitioned (single-task) frame."""
+def test_ranks_run_per_slice(spark):
+    """Ranks have one path at every size: no window over values runs in a
+    frame that is not divided by the slice number."""
     from assayline.operators import ranks as R
     from assayline.plans import flows
     from assayline.sources.adapter import load_tables
-    spark.conf.set(R.MAX_GROUP_DISTINCT_CONF, "100")
-    spark.conf.set(R.SMALL_EXACT_CONF, "0")
-    try:
-        df, _ = flows.clean_with_bound(load_tables(spark, SF001), 24)
-        ranked = R.average_rank(df, "NPX_log", out="r")
-        text = ranked._jdf.queryExecution().optimizedPlan().toString()
-        assert ranked.where("r is null and NPX_log is not null").count() == 0
-    finally:
-        spark.conf.unset(R.MAX_GROUP_DISTINCT_CONF)
-        spark.conf.unset(R.SMALL_EXACT_CONF)
-    # the window specs of the slice path are partitioned by the slice id
-    assert "_slice" in text
+    ranked = R.average_rank(flows.clean(load_tables(spark, SF001), 24), "NPX_log", out="r")
+    text = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.where("r is null and NPX_log is not null").count() == 0
+    windows = [x for x in text.split("\n") if "Window [" in x and "NPX_log" in x]
+    assert windows and all("_slice" in x for x in windows)

@@ -17,16 +17,10 @@ def _pandas_rank(rows, by):
     return pdf.assign(r=pdf["v"].rank(pct=True))
 
 
-@pytest.mark.parametrize("limit", [None, 2])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_average_rank_matches_pandas(spark, by, limit):
-    if limit:
-        spark.conf.set(R.MAX_GROUP_DISTINCT_CONF, str(limit))   # force the range-slice path
-    try:
-        df = spark.createDataFrame(EDGE, "g string, v double")
-        got = R.average_rank(df, "v", by, out="r").toPandas()
-    finally:
-        spark.conf.unset(R.MAX_GROUP_DISTINCT_CONF)
+def test_average_rank_matches_pandas(spark, by):
+    df = spark.createDataFrame(EDGE, "g string, v double")
+    got = R.average_rank(df, "v", by, out="r").toPandas()
     exp = _pandas_rank(EDGE, by)
     key = lambda d: d.sort_values(["g", "v"], na_position="last").reset_index(drop=True)  # noqa
     g, e = key(got), key(exp)
@@ -39,20 +33,14 @@ def test_pandas_example_from_survey(spark):
     assert got == [0.2, 0.5, 0.5, 0.8, 1.0]
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_exact_quantiles_match_numpy(spark, limit):
+def test_exact_quantiles_match_numpy(spark):
     rnd = random.Random(7)
     vals = [float(rnd.randint(0, 40)) for _ in range(300)] + [None]
     grp = [rnd.choice("xyz") for _ in vals]
-    if limit:
-        spark.conf.set(R.MAX_GROUP_DISTINCT_CONF, str(limit))
-    try:
-        df = spark.createDataFrame(list(zip(grp, vals)), "g string, v double")
-        probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-        got = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"]).collect()}
-        one = R.exact_quantiles(df, "v", probs).first()
-    finally:
-        spark.conf.unset(R.MAX_GROUP_DISTINCT_CONF)
+    df = spark.createDataFrame(list(zip(grp, vals)), "g string, v double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    one = R.exact_quantiles(df, "v", probs).first()
     pdf = pd.DataFrame({"g": grp, "v": vals})
     for g, sub in pdf.groupby("g"):
         exp = sub["v"].quantile(probs).tolist()
@@ -61,14 +49,10 @@ def test_exact_quantiles_match_numpy(spark, limit):
 
 
 def test_hot_group_third_of_rows(spark):
-    """One group holds a third of all rows: the range-slice path splits it."""
+    """One group holds a third of all rows: several slices share it."""
     rows = [("hot", float(i)) for i in range(300)] + [(f"g{i % 50}", float(i)) for i in range(600)]
-    spark.conf.set(R.MAX_GROUP_DISTINCT_CONF, "40")
-    try:
-        df = spark.createDataFrame(rows, "g string, v double")
-        got = R.average_rank(df, "v", ["g"], out="r").where("g = 'hot'").toPandas()
-    finally:
-        spark.conf.unset(R.MAX_GROUP_DISTINCT_CONF)
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = R.average_rank(df, "v", ["g"], out="r").where("g = 'hot'").toPandas()
     got = got.sort_values("v")
     assert np.allclose(got["r"].to_numpy(), (np.arange(300) + 1) / 300)
 
@@ -77,15 +61,3 @@ def test_empty_input_quantile_is_one_null_row(spark):
     df = spark.createDataFrame([], "v double")
     row = R.exact_quantiles(df, "v", [0.5], names=["m"]).collect()
     assert len(row) == 1 and row[0]["m"] is None
-
-
-def test_small_path_equals_distributed_path(spark):
-    rnd = random.Random(11)
-    rows = [(rnd.choice("ab"), float(rnd.randint(0, 30)) / 4) for _ in range(400)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    probs = [0.25, 0.5, 0.75]
-    small = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"], max_rows=400).collect()}
-    big = {r["g"]: r for r in R.exact_quantiles(df, "v", probs, ["g"]).collect()}
-    for g in "ab":
-        assert [small[g][f"q{int(p * 100)}"] for p in probs] == \
-            pytest.approx([big[g][f"q{int(p * 100)}"] for p in probs])

@@ -40,14 +40,13 @@ def tree(node, depth=0, out=None):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     import bench
-    from assayline.operators.ranks import release_cached
     from assayline.plans import catalog
     from assayline.session import local_session
     spark = local_session(shuffle_partitions=16)
     qs = catalog.queries()
     print(f"# Final physical plans of the headline queries ({sf_dir})\n")
     print("Generated by `tools/plan_shapes.py`. Each plan is the adaptive plan after "
-          "execution; cached inputs appear as `InMemoryTableScan` leaves. The jobs that "
+          "execution; stored inputs appear as Parquet scans. The jobs that "
           "compute bounds run before it and are not shown.\n")
     for n in bench.HEADLINE:
         df = qs[n](spark, sf_dir)
@@ -57,7 +56,6 @@ def main():
         print(f"## `{n}` (final job {dt:.2f} s)\n\n```")
         print("\n".join(tree(df._jdf.queryExecution().executedPlan())))
         print("```\n")
-        release_cached()
         spark.catalog.clearCache()
 
 

@@ -25,23 +25,8 @@ SIMPLE: dict[str, Callable[[str], Column]] = {
     "sum": F.sum,
     "count": F.count,
 }
-ORDER = {"median": (0.5,), "percentile": tuple(p / 100 for p in PERCENTILES)}
-
-SQL: dict[str, str] = {
-    "mean": "avg({c})", "min": "min({c})", "max": "max({c})", "std": "stddev_samp({c})",
-    "var": "var_samp({c})", "median": "quantile_cont({c}, 0.5)", "sum": "sum({c})",
-    "count": "count({c})",
-}
-
-
-def is_order_statistic(stat: str) -> bool:
-    return stat in ORDER
 
 
 def simple_aggs(column: str, stats: Sequence[str], name: Callable[[str], str]) -> list[Column]:
     """Aggregate expressions for the non-order statistics, aliased by ``name``."""
     return [SIMPLE[s](column).alias(name(s)) for s in stats if s in SIMPLE]
-
-
-def sql_expr(stat: str, column: str) -> str:
-    return SQL[stat].format(c=column)

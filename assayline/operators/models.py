@@ -40,6 +40,7 @@ LIBRARY_DEFAULTS = {
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
     "lightgbm": {"n_estimators": 100, "max_depth": -1, "learning_rate": 0.1},
 }
+#: Parameters without a counterpart in Spark ML: reported, and never drawn in a search.
 IGNORED = ("min_samples_split", "num_leaves", "max_leaf_nodes", "reg_alpha", "reg_lambda")
 # Execution settings (the fitted model is the same): more node statistics per
 # pass over the data, and node ids cached (checkpointed to the shared folder
@@ -168,13 +169,23 @@ def long_predictions(vec: DataFrame, models: dict, keys: Sequence[str] = SP.ROW_
     return out
 
 
-def feature_importance(spark, model, features: Sequence[str]) -> DataFrame:
-    """(feature, importance); one row per feature (bounded by the schema)."""
-    imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
+def feature_importance(spark, model, features: Sequence[str],
+                       every: Sequence[str] | None = None) -> DataFrame:
+    """(feature, importance); one row per feature (bounded by the schema).
+    A column of ``every`` that was left out of the fit has importance 0."""
+    imp = dict(zip(features, model.featureImportances.toArray().tolist()))
+    return spark.createDataFrame([(f, float(imp.get(f, 0.0))) for f in every or features],
                                  "feature string, importance double")
 
 
+def report_rows(spark, models: dict) -> DataFrame:
+    """(family, target, approximate, ignored, clamped) of fitted models."""
+    rows = [(r.family, t, r.approximate, ", ".join(sorted(r.ignored)), ", ".join(r.clamped))
+            for t, (_, r) in models.items()]
+    return spark.createDataFrame(rows, "family string, target string, approximate boolean, "
+                                       "ignored string, clamped string")
+
+
 def importance_ranked(imp: DataFrame, limit: int | None = None) -> DataFrame:
     """T1 (T2 with limit 11): features by importance, descending."""
     out = imp.orderBy(F.desc("importance"), "feature")

@@ -128,13 +128,23 @@ def _source_name(dt) -> str:
 def downcast_plan(df: DataFrame) -> DataFrame:
     """P20: per column the narrowest type by the strict min/max rule.
 
-    One aggregate gives min, max (numeric) or distinct count (text) of every
-    column; the decision is a CASE per column, evaluated in Spark."""
+    One aggregate gives min and max of every numeric column, one grouping the
+    distinct counts of the text columns; the decision is a CASE per column,
+    evaluated in Spark."""
+    text = [f.name for f in df.schema.fields if _kind(f.dataType) == "object"]
+    distinct = {}
+    if text:
+        # One combined grouping of all text columns; one row a column comes back.
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            for c in text])).alias("v")).select("v.*").where("value is not null")
+        distinct = {r["column"]: r["n"] for r in stacked.groupBy("column", "value").agg(
+            F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     aggs = []
     for f in df.schema.fields:
-        if _kind(f.dataType) == "object":
-            aggs.append(F.count_distinct(F.col(f.name)).cast("double").alias(f"{f.name}__lo"))
-            aggs.append(F.lit(None).cast("double").alias(f"{f.name}__hi"))
+        if f.name in text:
+            aggs += [F.lit(float(distinct.get(f.name, 0))).alias(f"{f.name}__lo"),
+                     F.lit(None).cast("double").alias(f"{f.name}__hi")]
         else:
             aggs += [F.min(f.name).cast("double").alias(f"{f.name}__lo"),
                      F.max(f.name).cast("double").alias(f"{f.name}__hi")]
@@ -192,13 +202,15 @@ def apply_downcast(df: DataFrame, plan_rows) -> DataFrame:
 
 
 def encode_category(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """String to category code, alphabetical (StringIndexer 'alphabetAsc').
-    The label list is one row per distinct value (category cardinality)."""
-    from pyspark.ml.feature import StringIndexer
+    """String to category code in alphabetical order, null stays null.
+    Labels are numbered by distributed cumulative counts, so they never meet
+    in one task or on the driver."""
+    from assayline.operators import ranks as R
     out = out or f"{column}_code"
-    model = StringIndexer(inputCol=column, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    return model.transform(df).withColumn(out, F.col(out).cast("int"))
+    codes = R.cumulative_counts(df.select(column).distinct(), column).select(
+        F.col(column).alias("_label"), F.col("_before").cast("int").alias("_code"))
+    return (df.join(codes, df[column] == codes["_label"], "left")
+              .select(*df.columns, F.col("_code").alias(out)))
 
 
 def head(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:

@@ -58,6 +58,17 @@ def train_size_subset(df: DataFrame, fraction: float, seed: int = SEED + 1,
     return df.where(split_bucket(seed, keys) < F.lit(int(round(fraction * 10000))))
 
 
+def train_size_counts(df: DataFrame, fractions: Sequence[float], seed: int = SEED + 1,
+                      keys: Sequence[str] = ROW_KEYS) -> DataFrame:
+    """(size_index, fraction, n_rows) of all nested subsets in one pass."""
+    bucket = df.select(split_bucket(seed, keys).alias("_b"))
+    wide = bucket.agg(*[F.count_if(F.col("_b") < F.lit(int(round(f * 10000)))).alias(f"n{i}")
+                        for i, f in enumerate(fractions)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("size_index"), F.lit(float(f)).alias("fraction"),
+                 F.col(f"n{i}").alias("n_rows")) for i, f in enumerate(fractions)])))
+
+
 def union_train_val(df: DataFrame, col: str = "split") -> DataFrame:
     """U4: train and validation rows for the refit."""
     return df.where(F.col(col).isin("train", "val"))
@@ -81,9 +92,9 @@ def sample_keys(frames: Sequence[DataFrame], key: str, n: int, seed: int = SEED)
 
 
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Keep rows whose key is in ``keys`` (left semi join). The key
-    set here is a top-n of proven size n, so it is broadcast."""
-    return df.join(F.broadcast(keys), key, "left_semi")
+    """Keep rows whose key is in ``keys`` (left semi join; Spark
+    broadcasts the keys when their size allows)."""
+    return df.join(keys, key, "left_semi")
 
 
 def sample_tables(tables, key: str = "patient_id", n: int = 50, seed: int = SEED):

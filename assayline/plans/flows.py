@@ -82,12 +82,13 @@ def model_features(columns) -> list:
 
 # Model flows (L4, L6-L9) ----------------------------------------------------------------
 def prepared_vectors(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: str = "80_20",
-                     seed: int = 42, drop_constant: bool = False):
-    """L4: prepared month table with the 41 features as one vector (cached).
+                     seed: int = 42, drop_constant: bool = True):
+    """L4: (prepared month table with its features as one vector, their names).
 
-    ``drop_constant`` leaves out features that are constant on the train rows
-    (most statistic columns are one value per month): less work per fit, the
-    same trees. Off by default for parity of columns with the reference."""
+    Features that are constant on the train rows (most statistic columns are
+    one value per month) are left out unless ``drop_constant`` is off: Spark
+    draws a node's feature subset once, so constants among the drawn ones
+    starve the trees, while the reference's learner looks on for a usable one."""
     from assayline.operators import models as MD
     prep = prepare(tables, month, scheme, seed)
     feats = model_features(prep.columns)
@@ -99,10 +100,13 @@ def prepared_vectors(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: st
 
 def train_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
                  params_by_target: dict | None = None, scheme: str = "80_20", seed: int = 42,
-                 save_to: str | None = None):
-    """Parameters given per target, else defaults; fit (and save) each target."""
+                 save_to: str | None = None, params_folder: str | None = None):
+    """Parameters given per target, else those saved in ``params_folder``
+    (S7), else defaults; fit (and save) each target."""
     from assayline.operators import models as MD
     vec, feats = prepared_vectors(tables, month, scheme, seed)
+    params_by_target = {**saved_params(vec.sparkSession, params_folder, family),
+                        **(params_by_target or {})}
     models = MD.fit_all_targets(vec, family, params_by_target, seed=seed)
     if save_to:
         for t, (m, _) in models.items():
@@ -111,6 +115,32 @@ def train_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
     return vec, feats, models
 
 
+def saved_params(spark, folder: str | None, family: str) -> dict:
+    """{target: params} of one family from a folder of saved parameters; a
+    folder that is not there, or holds none of the family, gives none. At most
+    one row a target."""
+    from pyspark.errors import AnalysisException
+    from assayline.sources import files as FS
+    if folder is None:
+        return {}
+    try:
+        rows = FS.read_params(spark, folder).where(F_.col("family") == family).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+    return {r["target"]: dict(r["params"]) for r in rows}
+
+
+def month_table(reports: dict) -> DataFrame:
+    """Month reports (month -> (target, smape)) stacked under their month label."""
+    out = None
+    for month, df in reports.items():
+        part = df.select(F_.lit(f"month_{month}").alias("month"), "target", "smape")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def month_report(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
                  models: dict | None = None, params_by_target: dict | None = None,
                  seed: int = 42) -> DataFrame:
@@ -127,14 +157,21 @@ def month_report(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
     return ev.unionByName(mean.select("target", "smape"))
 
 
-def evaluate_unseen_month(tables: AssayTables, models: dict, month: int,
+def unseen_predictions(tables: AssayTables, models: dict, features_used, month: int,
+                       scope: str = "test", seed: int = 42) -> DataFrame:
+    """Another month prepared with its own scaling, its vectors built from the
+    columns that the models were trained on, scored; ``scope`` 'test'
+    (published) or 'all'."""
+    from assayline.operators import models as MD
+    vec = MD.vectorize(prepare(tables, month, "80_20", seed), features_used)
+    return MD.long_predictions(vec, models, datasets=None if scope == "all" else ["test"])
+
+
+def evaluate_unseen_month(tables: AssayTables, models: dict, features_used, month: int,
                           scope: str = "test", seed: int = 42) -> DataFrame:
-    """Another month prepared with its own scaling, scored by models
-    trained elsewhere; ``scope`` 'test' (published) or 'all'."""
+    """Metrics of :func:`unseen_predictions`."""
     from assayline.operators import metrics as M
-    from assayline.operators import models as MD
-    vec, _ = prepared_vectors(tables, month, "80_20", seed)
-    pred = MD.long_predictions(vec, models, datasets=None if scope == "all" else ["test"])
+    pred = unseen_predictions(tables, models, features_used, month, scope, seed)
     return M.evaluate(pred.withColumn("dataset", F_.lit(f"month_{month}")))
 
 
@@ -151,7 +188,7 @@ def tune_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
     for t in targets:
         hist = TU.run_trials(vec, family, t, trials, seed=seed)
         tables_.append(TU.trial_table(spark, family, t, hist))
-        best = min(hist, key=lambda h: h[2]) if hist else None
+        best = TU.best_of(hist)
         if best is not None:
             models[t] = TU.refit_best(vec, family, t, best[1], seed)
             best_rows.append((family, t, {k: float(v) for k, v in best[1].items()}))

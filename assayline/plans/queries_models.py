@@ -1,6 +1,8 @@
 """Registered queries: tree models, tuning, persistence.
 
-Tree ensembles have no SQL twin: these are rows-only checks.
+Trees have no SQL twin: fitted models are checked by invariants that have one
+(rows scored, ranges, reloading, importances), and the search, its early stop
+and the sinks by running them on the fixed predictor, which SQL can follow.
 """
 
 from __future__ import annotations
@@ -9,10 +11,14 @@ from pyspark.sql import functions as F
 
 from assayline.operators import metrics as M
 from assayline.operators import models as MD
+from assayline.operators import split as SP
 from assayline.operators import tuning as TU
 from assayline.plans import flows
+from assayline.plans import oracle as Q
+from assayline.plans import queries_metrics as QM
 from assayline.plans.catalog import register
 from assayline.sources import files as FS
+from assayline.session import store
 from assayline.sources.adapter import load_tables
 
 MONTH = 24
@@ -28,12 +34,260 @@ def _fit_one(family):
         model, _ = MD.fit(vec.where(F.col("split") == "train"), family, "updrs_1")
         return MD.predict(model, vec.where(F.col("split") == "test")).select(
             "visit_id", "UniProt", "Peptide", F.col("updrs_1").alias("y"), "p")
-    q.__doc__ = f"M11-M14 + M17: {family} for updrs_1, test predictions."
+    q.__doc__ = f"M11, M12 + M17: {family} parameters for updrs_1, test predictions."
     return q
 
 
-for _fam in MD.FAMILIES:
-    register(f"fit_{_fam}_updrs_1", None)(_fit_one(_fam))
+register("fit_random_forest_updrs_1", None)(_fit_one("random_forest"))
+register("fit_gradient_boosting_updrs_1", None)(_fit_one("gradient_boosting"))
+# M13 / M14 are not hand-built: Spark's boosting under their parameter names.
+register("gbt_xgboost_params", None)(_fit_one("xgboost"))
+register("gbt_lightgbm_params", None)(_fit_one("lightgbm"))
+
+
+# Invariants of fitted models: what must hold whatever the trees are, with an SQL twin.
+_SMALL = {"random_forest": {"n_estimators": 8, "max_depth": 6},
+          "gradient_boosting": {"n_estimators": 3, "max_depth": 3},
+          "xgboost": {"n_estimators": 3, "max_depth": 3},
+          "lightgbm": {"n_estimators": 3, "max_depth": 3, "num_leaves": 8}}
+
+
+def _small(family):
+    return {t: _SMALL[family] for t in Q.TARGETS}
+
+
+def _checked(vec, models, loaded):
+    """Per dataset and target: rows scored, null predictions, predictions
+    outside the train labels' range, rows where a reloaded model differs."""
+    bounds = vec.where(F.col("split") == "train").agg(
+        *[f(t).alias(f"{n}_{t}") for t in Q.TARGETS for n, f in (("lo", F.min), ("hi", F.max))]
+    ).first()
+    out = None
+    for t, (m, _) in models.items():
+        again = loaded[t].setPredictionCol("p2")
+        pred = again.transform(MD.predict(m, vec)).groupBy(F.col("split").alias("dataset")).agg(
+            F.lit(t).alias("target"), F.count(F.lit(1)).alias("rows_scored"),
+            F.count_if(F.col("p").isNull()).alias("null_predictions"),
+            F.count_if((F.col("p") < bounds[f"lo_{t}"] - 1e-9)
+                       | (F.col("p") > bounds[f"hi_{t}"] + 1e-9)).alias("outside_range"),
+            F.count_if(F.col("p") != F.col("p2")).alias("reload_differs"))
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+_ROWS_SQL = Q.with_(Q.clean(MONTH)) + f""",
+sp AS (SELECT {Q.split_case(2000, 0)} AS dataset FROM cleaned),
+tg AS (SELECT unnest({list(Q.TARGETS)}) AS target)"""
+
+
+@register("forest_invariants", _ROWS_SQL + """
+SELECT dataset, target, count(*) AS rows_scored, 0 AS null_predictions, 0 AS outside_range,
+       0 AS reload_differs FROM sp, tg GROUP BY dataset, target""")
+def forest_invariants(spark, sf_dir):
+    """Four forests fitted, saved and loaded; every
+    row scored, inside the train labels' range, alike after loading."""
+    root = FS.output_root(spark, "models")
+    vec, _, models = flows.train_family(load_tables(spark, sf_dir), "random_forest", MONTH,
+                                        params_by_target=_small("random_forest"), save_to=root)
+    loaded = {t: MD.load_model("random_forest", f"{root}/random_forest/{t}") for t in models}
+    return _checked(vec, models, loaded)
+
+
+@register("boosting_invariants", _ROWS_SQL + """,
+fm AS (SELECT unnest(['gradient_boosting', 'xgboost', 'lightgbm']) AS family)
+SELECT family, dataset, count(*) AS rows_scored, 0 AS null_predictions, true AS better_than_worst,
+       CASE WHEN family = 'lightgbm' THEN 'num_leaves' ELSE '' END AS ignored
+FROM sp, fm GROUP BY family, dataset""")
+def boosting_invariants(spark, sf_dir):
+    """M12 (and Spark's boosting under the other families' parameter names):
+    every row scored; the error is under that of the farthest constant in the
+    label's range; what each family ignores."""
+    vec, _ = _vec(spark, sf_dir)
+    out = None
+    for fam in ("gradient_boosting", "xgboost", "lightgbm"):
+        model, report = MD.fit(vec.where(F.col("split") == "train"), fam, "updrs_1", _SMALL[fam])
+        y, p = F.col("updrs_1"), F.col("p")
+        got = MD.predict(model, vec).groupBy(F.col("split").alias("dataset")).agg(
+            F.lit(fam).alias("family"), F.count(F.lit(1)).alias("rows_scored"),
+            F.count_if(p.isNull()).alias("null_predictions"),
+            (F.avg((y - p) * (y - p)) <= F.pow(F.max(y) - F.min(y), F.lit(2.0)))
+            .alias("better_than_worst"),
+            F.lit(", ".join(sorted(report.ignored))).alias("ignored"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("importance_invariants", _ROWS_SQL + """
+SELECT target, 41 AS n_features, 0 AS negative, 1.0::DOUBLE AS total,
+       count_if(dataset = 'train') AS train_rows FROM sp, tg GROUP BY target""",
+          rounded=("total",))
+def importance_invariants(spark, sf_dir):
+    """Importances of each target's forest: one row a feature (constants
+    have 0), none negative, sum 1."""
+    tables = load_tables(spark, sf_dir)
+    prep = flows.prepare(tables, MONTH)
+    every = flows.model_features(prep.columns)
+    vec, feats, models = flows.train_family(tables, "random_forest", MONTH,
+                                            params_by_target=_small("random_forest"))
+    n = vec.where(F.col("split") == "train").count()
+    out = None
+    for t, (m, _) in models.items():
+        got = MD.feature_importance(spark, m, feats, every).agg(
+            F.lit(t).alias("target"), F.count(F.lit(1)).cast("int").alias("n_features"),
+            F.count_if(F.col("importance") < 0).alias("negative"),
+            F.sum("importance").alias("total"), F.lit(n).cast("long").alias("train_rows"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("unseen_month_invariants", Q.with_(Q.clean(36)) + f""",
+sp AS (SELECT {Q.split_case(2000, 0)} AS dataset FROM cleaned),
+tg AS (SELECT unnest({list(Q.TARGETS)}) AS target),
+sc AS (SELECT unnest(['test', 'all']) AS scope)
+SELECT scope, target, count_if(scope = 'all' OR dataset = 'test') AS rows_scored,
+       0 AS null_predictions FROM sp, tg, sc GROUP BY scope, target""")
+def unseen_month_invariants(spark, sf_dir):
+    """Forests of month 24 on month 36, published scope and all rows."""
+    tables = load_tables(spark, sf_dir)
+    vec, feats, models = flows.train_family(tables, "random_forest", MONTH,
+                                            params_by_target=_small("random_forest"))
+    out = None
+    for scope in ("test", "all"):
+        pred = flows.unseen_predictions(tables, models, feats, 36, scope)
+        got = pred.groupBy("target").agg(
+            F.lit(scope).alias("scope"), F.count(F.lit(1)).alias("rows_scored"),
+            F.count_if(F.col("p").isNull()).alias("null_predictions"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("tree_learning_curve", f"""
+SELECT i AS size_index, [{", ".join(map(str, SP.TRAIN_SIZES))}][i + 1]::DOUBLE AS fraction, kind,
+       true AS score_at_most_one, true AS spread_known
+FROM (SELECT unnest(range({len(SP.TRAIN_SIZES)}))::INTEGER AS i),
+     (SELECT unnest(['train', 'val']) AS kind)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def tree_learning_curve(spark, sf_dir):
+    """M23 with a forest: 2 folds x 5 nested train sizes, r2 on both sides."""
+    vec, _ = _vec(spark, sf_dir)
+    lc = MD.learning_curve(vec.where(F.col("split") == "train"), "random_forest", "updrs_1",
+                           {"n_estimators": 2, "max_depth": 3}, k=2)
+    return lc.select("size_index", "fraction", "kind",
+                     (F.col("score_mean") <= 1).alias("score_at_most_one"),
+                     F.col("score_std").isNotNull().alias("spread_known"))
+
+
+@register("best_tree_family", """
+SELECT 2 AS families, true AS chosen_is_least FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0""")
+def best_tree_family(spark, sf_dir):
+    """A21 with trained models: two families, four targets each; the one with
+    the least mean test rmse is chosen."""
+    vec, _ = _vec(spark, sf_dir)
+    out = None
+    for fam in ("random_forest", "gradient_boosting"):
+        models = MD.fit_all_targets(vec, fam, {t: {"n_estimators": 2, "max_depth": 3}
+                                               for t in Q.TARGETS})
+        pred = MD.long_predictions(vec, models, datasets=["test"]).withColumn("family", F.lit(fam))
+        out = pred if out is None else out.unionByName(pred)
+    ev = store(M.evaluate(out, by=["family", "target"], metrics=["rmse"]), "rmse")
+    best = M.best_family(ev, "rmse")
+    means = ev.groupBy("family").agg(F.avg("rmse").alias("m"))
+    return means.agg(F.count(F.lit(1)).cast("int").alias("families"), F.min("m").alias("m"),
+                     F.min_by("family", "m").alias("f")).join(
+        best, F.col("f") == F.col("family")).select(
+        "families", (F.col("m") == F.col("mean_rmse")).alias("chosen_is_least"))
+
+
+# Search on the fixed predictor: the same draws, early stop and choice in SQL.
+_N_TRIALS = 12
+_U = "(('0x' || substr(md5('42|group_mean|' || trial || '|weight'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+_SEARCH_SQL = QM._long_sql("UniProt").replace(Q.split_case(2000, 0), Q.split_case(2000, 1600)) + f""",
+ov AS (SELECT target, avg(y) AS overall FROM lg WHERE split = 'train' GROUP BY target),
+tr AS (SELECT i::INTEGER AS trial, i::VARCHAR AS t_ FROM range({_N_TRIALS}) AS r(i)),
+dr AS (SELECT trial, {_U.replace("trial", "t_")} AS weight FROM tr),
+vl AS (SELECT pr.target, dr.trial, dr.weight, pr.y,
+              dr.weight * coalesce(pr.p, ov.overall) + (1.0 - dr.weight) * ov.overall AS p
+       FROM pr JOIN ov USING (target), dr WHERE pr.dataset = 'val'),
+sm AS (SELECT target, trial, any_value(weight) AS weight, {QM._SMAPE} AS value
+       FROM vl GROUP BY target, trial)"""
+_STOP_SQL = f""",
+st AS (
+  WITH RECURSIVE s(target, trial, weight, value, best, k) AS (
+    SELECT target, trial, weight, value, value, 0 FROM sm WHERE trial = 0
+    UNION ALL
+    SELECT sm.target, sm.trial, sm.weight, sm.value,
+           CASE WHEN sm.value < s.best - {TU.TOLERANCE} THEN sm.value ELSE s.best END,
+           CASE WHEN sm.value < s.best - {TU.TOLERANCE} THEN 0 ELSE s.k + 1 END
+    FROM s JOIN sm ON sm.target = s.target AND sm.trial = s.trial + 1
+    WHERE s.k < {TU.EARLY_STOP_ROUNDS})
+  SELECT * FROM s)"""
+
+
+def _search(spark, sf_dir):
+    """Trial table of the fixed predictor's search."""
+    df = flows.clean(load_tables(spark, sf_dir), MONTH, keep_visit_keys=True)
+    keys = ["visit_id", "UniProt", "Peptide"]
+    long = M.long_labels(SP.assign_split(df.select(*keys, *Q.TARGETS), "64_16_20"),
+                         keep=[*keys, "split"])
+    hist = TU.shrinkage_history(store(long, "long"), ["UniProt"],
+                                TU.sample_trials(spark, "group_mean", _N_TRIALS))
+    out = None
+    for t in sorted(hist):
+        part = TU.trial_table(spark, "group_mean", t, hist[t])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("shrinkage_search", _SEARCH_SQL + _STOP_SQL + """
+SELECT 'group_mean' AS family, target, trial, weight, value FROM st""",
+          rounded=("weight", "value"))
+def shrinkage_search(spark, sf_dir):
+    """Seeded draws, validation SMAPE, early stop, per target."""
+    return _search(spark, sf_dir).select("family", "target", "trial",
+                                         F.col("params")["weight"].alias("weight"), "value")
+
+
+@register("trial_round_trip", _SEARCH_SQL + _STOP_SQL + """
+SELECT 'run_a' AS run, target, count(*) AS trials, arg_min(trial, (value, trial)) AS best_trial,
+       min(value) AS best_value FROM st GROUP BY target
+UNION ALL SELECT 'run_b', target, count(*), arg_min(trial, (value, trial)), min(value)
+FROM st GROUP BY target""", rounded=("best_value",))
+def trial_round_trip(spark, sf_dir):
+    """S11 + T5: trials stored under two run ids, one of them twice, read back."""
+    trials, root = _search(spark, sf_dir), FS.output_root(spark, "trials")
+    for run in ("run_a", "run_b", "run_a"):
+        FS.append_trials(trials, root, run)
+    return FS.read_trials(spark, root).groupBy("run", "target").agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.min_by("trial", F.struct("value", "trial")).alias("best_trial"),
+        F.min("value").alias("best_value"))
+
+
+@register("params_round_trip", _SEARCH_SQL + _STOP_SQL + """
+SELECT 'group_mean' AS family, target, 'weight' AS name, arg_min(weight, (value, trial)) AS value
+FROM st GROUP BY target
+UNION ALL SELECT 'overall_mean', target, 'weight', 0.0 FROM st GROUP BY target""",
+          rounded=("value",))
+def params_round_trip(spark, sf_dir):
+    """S7 + S8: two families' best parameters, saved one after the other."""
+    best, root = TU.best_trial(_search(spark, sf_dir)), FS.output_root(spark, "params")
+    FS.write_params(best.select("params", "family", "target"), root)
+    none = F.create_map(F.lit("weight"), F.lit(0.0))
+    FS.write_params(best.select(none.alias("params"), F.lit("overall_mean").alias("family"),
+                                "target"), root)
+    return FS.read_params(spark, root).select("family", "target",
+                                              F.explode("params").alias("name", "value"))
+
+
+@register("metrics_csv_round_trip", QM._long_sql() + f""",
+ev AS (SELECT dataset, target, {QM._METRICS_SQL} FROM pr GROUP BY dataset, target)
+SELECT dataset, target, smape, rmse, mae, mse FROM ev""", rounded=QM._MCOLS)
+def metrics_csv_round_trip(spark, sf_dir):
+    """S5 + S6: the metric table written as CSV and read back."""
+    root = FS.output_root(spark, "metrics")
+    FS.write_metrics_csv(M.evaluate(QM._pred(spark, sf_dir)), root)
+    return FS.read_metrics_csv(spark, root, "dataset string, target string, smape double, "
+                                            "rmse double, mae double, mse double").drop("file")
 
 
 @register("evaluate_random_forest", None)
@@ -58,15 +312,26 @@ def month_report_random_forest(spark, sf_dir):
     return flows.month_report(load_tables(spark, sf_dir), "random_forest", MONTH)
 
 
+@register("month_table_random_forest", None)
+def month_table_random_forest(spark, sf_dir):
+    """L7 over two months, stacked under their labels, written as CSV and read back."""
+    tables, root = load_tables(spark, sf_dir), FS.output_root(spark, "months")
+    small = _small("random_forest")
+    FS.write_metrics_csv(flows.month_table(
+        {m: flows.month_report(tables, "random_forest", m, params_by_target=small)
+         for m in (12, MONTH)}), root)
+    return FS.read_metrics_csv(spark, root, "month string, target string, smape double").drop("file")
+
+
 @register("evaluate_unseen_month_36", None)
 def evaluate_unseen_month_36(spark, sf_dir):
     """L6 + S9/S10: forests trained on month 24, saved, loaded, scored on month 36."""
     tables = load_tables(spark, sf_dir)
     root = FS.output_root(spark, "models")
-    _, _, models = flows.train_family(tables, "random_forest", MONTH, save_to=root)
+    _, feats, models = flows.train_family(tables, "random_forest", MONTH, save_to=root)
     loaded = {t: (MD.load_model("random_forest", f"{root}/random_forest/{t}"), None)
               for t, (m, _) in models.items() if m is not None}
-    return flows.evaluate_unseen_month(tables, loaded, 36)
+    return flows.evaluate_unseen_month(tables, loaded, feats, 36)
 
 
 @register("tune_random_forest", None)
@@ -77,20 +342,6 @@ def tune_random_forest(spark, sf_dir):
     tables = load_tables(spark, sf_dir)
     _, best, trials = flows.tune_family(tables, "random_forest", MONTH, n_trials=5)
     root = FS.output_root(spark, "tuning")
-    FS.append_trials(trials, f"{root}/trials")
+    FS.append_trials(trials, f"{root}/trials", "run_1")
     FS.write_params(best, f"{root}/params")
     return TU.best_trial(FS.read_trials(spark, f"{root}/trials"))
-
-
-@register("trial_sample", None)
-def trial_sample(spark, sf_dir):
-    """The seeded trial draws of every family, next to the month's
-    train-row count they are fitted on."""
-    vec, _ = _vec(spark, sf_dir, "64_16_20")
-    n = vec.where(F.col("split") == "train").count()
-    out = None
-    for fam in MD.FAMILIES:
-        t = TU.sample_trials(spark, fam, 20).select(F.lit(fam).alias("family"), "trial",
-                                                     F.explode("params").alias("name", "value"))
-        out = t if out is None else out.unionByName(t)
-    return out.withColumn("train_rows", F.lit(n))

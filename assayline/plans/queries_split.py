@@ -60,13 +60,7 @@ def train_size_subsets(spark, sf_dir):
     """Rows of each nested train subset (80/20 train part)."""
     tr = SP.assign_split(_clean(spark, sf_dir).select(*_KEYS), "80_20").where(
         F.col("split") == "train")
-    parts = [SP.train_size_subset(tr, f).agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(i).alias("size_index"), F.lit(float(f)).alias("fraction"), "n_rows")
-             for i, f in enumerate(SP.TRAIN_SIZES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return SP.train_size_counts(tr, SP.TRAIN_SIZES)
 
 
 @register("union_train_val", _CLEAN + f"""

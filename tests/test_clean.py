@@ -12,12 +12,12 @@ from conftest import SF001
 def test_minimum_slice_golden_counts(spark):
     t = load_tables(spark, SF001)
     assert flows.joined_month(t, 24).count() == 879
-    assert flows.deduped_non_null(t, 24).count() == 698
+    assert flows.deduped_non_null(t, 24).count() == 738
 
 
 def test_adapter_table_counts(spark):
     t = load_tables(spark, SF001)
-    assert (t.peptides.count(), t.proteins.count(), t.clinical.count()) == (5844, 4639, 798)
+    assert (t.peptides.count(), t.proteins.count(), t.clinical.count()) == (5844, 4926, 798)
 
 
 def test_null_drop_turns_left_joins_inner(spark):
@@ -35,9 +35,9 @@ def test_month_filter_reaches_scan(spark):
 def test_golden_fences_sf0001(spark):
     base = flows.deduped_non_null(load_tables(spark, SF001), 24)
     f = O.iqr_fences(base, "NPX").first()
-    assert f["lower"] == pytest.approx(-56175.42375) and f["upper"] == pytest.approx(195334.18625)
+    assert f["lower"] == pytest.approx(-55107.37125) and f["upper"] == pytest.approx(194017.25875)
     a = O.iqr_fences(base, "PeptideAbundance").first()
-    assert (a["lower"], a["upper"]) == (-24.0, 72.0)
+    assert (a["lower"], a["upper"]) == (-25.5, 74.5)
 
 
 def test_second_iqr_pass_changes_skewed_column(spark):

@@ -20,7 +20,7 @@ def feat(spark):
 
 def test_feature_table_shape(feat):
     assert len(feat.columns) == 45
-    assert feat.count() == 698
+    assert feat.count() == 738
 
 
 def test_percentile_in_unit_interval(feat):

@@ -93,10 +93,10 @@ def test_params_json_scan_and_sinks(spark):
     out = tempfile.mkdtemp(dir="/tmp")
     trials = TU.trial_table(spark, "random_forest", "updrs_1",
                             [(0, {"max_depth": 3}, 50.0), (1, {"max_depth": 5}, 40.0)])
-    FS.append_trials(trials, f"{out}/trials")
-    FS.append_trials(trials, f"{out}/trials")
+    for run in ("a", "b", "a"):  # a rerun replaces its own trials only
+        FS.append_trials(trials, f"{out}/trials", run)
     back = FS.read_trials(spark, f"{out}/trials")
-    assert back.count() == 4
+    assert back.count() == 4 and {r["run"] for r in back.collect()} == {"a", "b"}
     best = TU.best_trial(back).first()
     assert best["trial"] == 1 and best["value"] == 40.0
     m = spark.createDataFrame([("rf", 1.0, 2.0, 4.0, "test")],
@@ -118,7 +118,88 @@ def test_learning_curve_shape(spark):
 def test_drop_constant_features(spark):
     from assayline.plans import flows
     from assayline.sources.adapter import load_tables
-    vec, feats = flows.prepared_vectors(load_tables(spark, "/root/testdata/sf0.001"), 24,
-                                        drop_constant=True)
+    tables = load_tables(spark, "/root/testdata/sf0.001")
+    vec, feats = flows.prepared_vectors(tables, 24)
     assert 0 < len(feats) < 41
     assert "updrs_1_mean" not in feats and "NPX_log" in feats
+    # Constants starve the trees: without them the same forest grows more nodes.
+    wide, every = flows.prepared_vectors(tables, 24, drop_constant=False)
+    params = {"n_estimators": 10, "max_depth": 10, "min_samples_leaf": 2, "max_features": "log2"}
+    few, many = (MD.fit(v.where("split = 'train'"), "random_forest", "updrs_1", params)[0]
+                 for v in (wide, vec))
+    assert many.totalNumNodes > 2 * few.totalNumNodes
+    imp = MD.feature_importance(spark, many, feats, every).collect()
+    assert len(imp) == len(every) == 41 and sum(r["importance"] for r in imp) == pytest.approx(1)
+    assert {r["importance"] for r in imp if r["feature"] not in feats} == {0.0}
+
+
+def test_two_families_of_parameters_survive(spark):
+    out = tempfile.mkdtemp(dir="/tmp")
+    schema = "params map<string,double>, family string, target string"
+    for family, value in (("random_forest", 1.0), ("xgboost", 2.0), ("random_forest", 3.0)):
+        FS.write_params(spark.createDataFrame([({"max_depth": value}, family, "updrs_1")], schema),
+                        out)
+    got = {r["family"]: r["params"]["max_depth"] for r in FS.read_params(spark, out).collect()}
+    assert got == {"random_forest": 3.0, "xgboost": 2.0}
+    from assayline.plans import flows
+    assert flows.saved_params(spark, out, "xgboost") == {"updrs_1": {"max_depth": 2.0}}
+    assert flows.saved_params(spark, out + "/none", "xgboost") == {}
+    assert flows.saved_params(spark, None, "xgboost") == {}
+
+
+def test_search_without_validation_rows(spark):
+    """An empty validation split ends the search and falls back to defaults."""
+    from assayline.plans import flows
+    vec = MD.vectorize(_learnable(spark, 80), ["a", "b", "c"]).where("split <> 'val'")
+    hist = TU.run_trials(vec, "random_forest", "updrs_1",
+                         TU.sample_trials(spark, "random_forest", 3))
+    assert len(hist) == 1 and hist[0][2] is None and TU.best_of(hist) is None
+    assert TU.best_of([(0, {}, 2.0), (1, {}, 1.0), (2, {}, None)])[0] == 1
+    assert flows.month_table({12: spark.createDataFrame([("t", 1.0)], "target string, smape double")
+                              }).first()["month"] == "month_12"
+
+
+def test_ignored_parameters_are_not_drawn(spark):
+    for family in ("random_forest", "xgboost", "lightgbm"):
+        for r in TU.sample_trials(spark, family, 3).collect():
+            assert not set(r["params"]) & set(MD.IGNORED)
+    assert MD.default_params("random_forest")["n_estimators"] == 156
+    assert MD.default_params("lightgbm")["learning_rate"] == 0.1
+    _, report = MD.fit(MD.vectorize(_learnable(spark, 60), ["a", "b", "c"]), "random_forest",
+                       "updrs_1", {"n_estimators": 2, "max_depth": 40})
+    row = MD.report_rows(spark, {"updrs_1": (None, report)}).first()
+    assert "min_samples_split" in row["ignored"] and "max_depth=40->30" in row["clamped"]
+
+
+def test_csv_sources(spark):
+    """S1-S3 as files, and P3 on the test form."""
+    from assayline.operators import clean as C
+    d = tempfile.mkdtemp(dir="/tmp")
+    key = "visit_id,visit_month,patient_id"
+    files = {"train_proteins": f"{key},UniProt,NPX\n1_0,0,1,P,2.5\n",
+             "train_peptides": f"{key},UniProt,Peptide,PeptideAbundance\n1_0,0,1,P,AB,NaN\n",
+             "train_clinical_data": f"{key},updrs_1,updrs_2,updrs_3,updrs_4,"
+                                    "upd23b_clinical_state_on_medication\n1_0,0,1,1,2,3,,On\n",
+             "test_proteins": f"{key},UniProt,NPX,group_key\n1_0,0,1,P,2.5,0\n",
+             "test_peptides": f"{key},UniProt,Peptide,PeptideAbundance,group_key\n1_0,0,1,P,AB,4,0\n",
+             "test": f"{key},updrs_test,row_id,group_key\n1_0,0,1,updrs_1,1_0_updrs_1,0\n"}
+    for name, text in files.items():
+        with open(f"{d}/{name}.csv", "w") as f:
+            f.write(text)
+    t = FS.load_train_csv(spark, d)
+    assert t.proteins.first()["NPX"] == 2.5 and t.clinical.first()["updrs_4"] is None
+    assert t.peptides.first()["PeptideAbundance"] is None
+    caller = FS.load_caller_tables(spark, f"{d}/train_clinical_data.csv",
+                                   f"{d}/train_proteins.csv", f"{d}/train_peptides.csv")
+    assert FS.validate_inputs(caller, 24) == []
+    prot, pep, test = FS.load_test_csv(spark, d)
+    assert "group_key" not in C.drop_group_key(prot).columns
+    assert (pep.first()["group_key"], test.first()["row_id"]) == (0, "1_0_updrs_1")
+
+
+def test_apply_downcast(spark):
+    from assayline.operators import reports as RP
+    df = spark.createDataFrame([(1, 2.0, "a"), (300, 3.0, None)], "i long, d double, s string")
+    plan = RP.downcast_plan(df).collect()
+    assert {r["column"]: r["n_categories"] for r in plan}["s"] == 1.0
+    assert [t for _, t in RP.apply_downcast(df, plan).dtypes] == ["smallint", "float", "string"]

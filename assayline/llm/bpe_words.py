@@ -3,11 +3,13 @@
 The vocabulary's pre-tokenizer makes words that are encoded on their own, so
 a text's ids are those of its words in order. Blocks of documents (up to
 ``BLOCK_BYTES`` of text, as they lie in the input) are split into words; a
-block lists its distinct words once and holds its documents as word numbers.
-The words of all blocks are grouped, each distinct word is encoded once, and
-its ids go back to the blocks that have it, where they are joined by position.
-Decoding joins ids with the id-to-piece table (fixed by the vocabulary, about
-50,000 rows, so it is broadcast) and puts the pieces of a document in order.
+block lists its distinct words once and holds its documents as word numbers
+(frequent words have small ones). The distinct words of all blocks are dealt
+by word; each is encoded once, and its ids go back to the blocks that have it,
+where they are joined by position. Words, numbers and ids travel as compressed
+runs, a row per block and part. Decoding joins ids with the id-to-piece table
+(fixed by the vocabulary, about 50,000 rows, so it is broadcast) and puts the
+pieces of a document in order.
 
 Splitting follows the file's normalizer and pattern. Plain text (characters
 whose treatment is the same in every library) is split by one regular
@@ -15,10 +17,11 @@ expression; anything else goes through the tokenizers library's own
 normalizer and pre-tokenizer. Strings of added tokens in a text are words of
 their own, as in the library.
 
-A very common word is one row per block, not per occurrence. Defined cases:
-null and empty texts have no ids and decode to the empty string; repeated
-rows and null ids give a row each; an empty table gives an empty result;
-other columns are ignored.
+A very common word is one entry per block, not per occurrence. The documents
+are read twice in the same partitions, so the input must be a table of files
+(store a computed one first). Defined cases: null and empty texts have no ids
+and decode to the empty string; repeated rows and null ids give a row each; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,13 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from assayline.llm.common import extended, table
+from assayline.llm.common import extended, partitions, table
 
 BLOCK_BYTES = 24 << 20
+#: Documents whose word numbers share a compressed run.
+RUN_DOCUMENTS = 256
 #: Characters that normalizers and patterns of all libraries treat alike.
 _PLAIN = re.compile(r"[\n\r\t -~¡-¨«»¿À-ÖØ-öø-ÿ‘’“”–—…€]*")
 _LETTERS = "a-zà-öø-ÿß"
@@ -86,91 +92,145 @@ def splitter(path: str) -> Splitter:
     return _SPLITTERS[path]
 
 
-def _blocks(docs: DataFrame, path: str, id_col: str, text: str, documents: bool) -> DataFrame:
-    """Split documents, as they lie, into blocks. With ``documents``: (block,
-    seq, id, nos) with the document's word numbers; else (block, no, word).
-    Both come from the same pass over the same input partitions."""
-    rows = docs.select(id_col, text)
-    schema = (extended(rows.select(id_col), block="long", nos="binary") if documents
-              else "block long, no int, word string")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = splitter(path)
-        packer = zstandard.ZstdCompressor(level=3)
+def _squeeze(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _stretch(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _numbered(batches, path: str, keep_documents: bool):
+    """(block number, its words by falling frequency, ids, words per document,
+    word numbers) of every block of a partition."""
+    words, block, size = splitter(path), 0, 0
+    known, ids, lengths, nos = {}, [], [], []
+
+    def done():
+        flat = np.concatenate(nos) if nos else np.zeros(0, np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.uint32)
+        rank[order] = np.arange(len(known), dtype=np.uint32)
+        names = list(known)
+        return (block, [] if keep_documents else [names[i] for i in order.tolist()], ids,
+                np.array(lengths, np.uint32), rank[flat] if keep_documents else None)
+
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            if size >= BLOCK_BYTES:
+                yield done()
+                block, size, known, ids, lengths, nos = block + 1, 0, {}, [], [], []
+            t = t.as_py() or ""
+            size += len(t)
+            own = words(t)
+            nos.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.uint32,
+                                   len(own)))
+            ids.append(i)
+            lengths.append(len(own))
+    if ids:
+        yield done()
+
+
+def _word_lists(rows: DataFrame, path: str, parts: int) -> DataFrame:
+    """(part, block, sizes, words, nos): each block's distinct words, dealt by word."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        block, size, known = 0, 0, {}
-
-        def listed():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(known), base + block)),
-                 pa.array(np.arange(len(known), dtype=np.int32)),
-                 pa.array(list(known), pa.string())], names=["block", "no", "word"])
-
-        for b in batches:
-            blobs, at = [], []
-            for t in b.column(1):
-                if size >= BLOCK_BYTES:
-                    if not documents:
-                        yield listed()
-                    block, size, known = block + 1, 0, {}
-                t = t.as_py() or ""
-                size += len(t)
-                own = words(t)
-                nos = np.fromiter((known.setdefault(w, len(known)) for w in own), np.uint32,
-                                  len(own))
-                if documents:
-                    blobs.append(packer.compress(nos.tobytes()))
-                    at.append(base + block)
-            if documents:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(at, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=[id_col, "block", "nos"])
-        if not documents:
-            yield listed()
-
-    return rows.mapInArrow(split, schema)
-
-
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): every distinct word encoded once; ids little-endian
-    unsigned 32-bit."""
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = splitter(path)
-        for b in batches:
-            ids = s.encode(b.column(0).to_pylist())
+        for block, words, *_ in _numbered(batches, path, False):
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            part = np.fromiter((zlib.crc32(w) % parts for w in raw), np.int64, len(raw))
+            out = []
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                own = [raw[i] for i in at]
+                out.append((int(k), base + block, _squeeze(np.array([len(w) for w in own])),
+                            zstandard.compress(b"".join(own)), _squeeze(at)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())],
-                names=["word", "ids"])
+                [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5,
+                                                (pa.int64(), pa.int64(), *[pa.binary()] * 3))],
+                names=["part", "block", "sizes", "words", "nos"])
+
+    return rows.mapInArrow(listed, "part long, block long, sizes binary, words binary, nos binary")
+
+
+def _encode_part(path: str):
+    """Words of one part: each distinct one is encoded once; (block, nos,
+    sizes, ids) goes back to every block that has some."""
+    def encode(t: pa.Table) -> pa.Table:
+        lists, known = [], {}
+        for sizes, raw in zip(t.column("sizes"), t.column("words")):
+            raw = zstandard.decompress(raw.as_py())
+            ends = np.cumsum(_stretch(sizes.as_py()), dtype=np.int64).tolist()
+            own = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+            lists.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64,
+                                     len(own)))
+        ids = [np.array(x, np.uint32) for x in splitter(path).encode(list(known))]
+        gather = _Gather([x.astype("<u4").tobytes() for x in ids])
+        return pa.table([t.column("block"), t.column("nos"),
+                         pa.array([_squeeze(gather.lengths[x]) for x in lists], pa.binary()),
+                         pa.array([_squeeze(gather(x)) for x in lists], pa.binary())],
+                        names=["block", "nos", "sizes", "ids"])
+    return encode
+
+
+def _runs(rows: DataFrame, path: str, id_col: str) -> DataFrame:
+    """(block, doc, sizes, nos): documents as word numbers, a row a run of them."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    arrow = pa.list_(to_arrow_type(rows.schema[id_col].dataType))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        for block, _, ids, lengths, nos in _numbered(batches, path, True):
+            ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+            for lo in range(0, len(ids), RUN_DOCUMENTS):
+                hi = min(len(ids), lo + RUN_DOCUMENTS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([base + block], pa.int64()), pa.array([ids[lo:hi]], arrow),
+                     pa.array([_squeeze(lengths[lo:hi])], pa.binary()),
+                     pa.array([_squeeze(nos[ends[lo]:ends[hi]])], pa.binary())],
+                    names=["block", "doc", "sizes", "nos"])
 
-    return words.select("word").distinct().mapInArrow(encode, "word string, ids binary")
+    return rows.mapInArrow(documents, f"block long, doc array<{kind}>, sizes binary, nos binary")
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
                      emit=None, columns: dict[str, str] | None = None) -> DataFrame:
-    """(id, ids) of every document; ``emit(words of ids, numbers)`` may turn a
-    document's words into other ``columns`` instead."""
-    listed = _blocks(docs, path, id_col, text, False)
-    known = encoded_words(listed, path)
-    back = listed.join(known, "word").select("block", "no", "ids")
-    split = _blocks(docs, path, id_col, text, True)
+    """(id, ids) of every document; ``emit`` may turn a document's words into
+    other ``columns`` instead."""
+    rows = docs.select(id_col, text)
+    lists = _word_lists(rows, path, partitions(docs.sparkSession))
+    back = lists.groupBy("part").applyInArrow(
+        _encode_part(path), "block long, nos binary, sizes binary, ids binary")
     columns = columns or {"ids": "binary"}
     make = emit or _ids
 
     def join(d: pa.Table, w: pa.Table) -> pa.Table:
-        no = w.column("no").to_numpy()
-        words: list = [None] * len(no)
-        for k, ids in zip(no.tolist(), w.column("ids").to_pylist()):
-            words[k] = ids
-        unpack = zstandard.ZstdDecompressor()
-        table_ = make.prepare(words)
-        out = [make.row(table_, np.frombuffer(unpack.decompress(x.as_py()), np.uint32))
-               for x in d.column("nos")]
-        cols = list(zip(*out))
-        return pa.table([d.column(id_col), *[pa.array(c, t) for c, t in zip(cols, make.types)]],
+        parts = [[_stretch(x.as_py()) for x in w.column(c)] for c in ("nos", "sizes", "ids")]
+        count = sum(map(len, parts[0]))
+        words: list = [b""] * count
+        for nos, sizes, ids in zip(*parts):
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            raw = ids.tobytes()
+            for k, a, b in zip(nos.tolist(), [0, *ends], ends):
+                words[k] = raw[4 * a:4 * b]
+        prepared = make.prepare(words)
+        out, found = [], []
+        for ids, sizes, nos in zip(d.column("doc").to_pylist(), d.column("sizes"),
+                                   d.column("nos")):
+            nos = _stretch(nos.as_py())
+            ends = np.cumsum(_stretch(sizes.as_py()), dtype=np.int64).tolist()
+            found += ids
+            out += [make.row(prepared, nos[a:b]) for a, b in zip([0, *ends], ends)]
+        cols = list(zip(*out)) or [[]] * len(columns)
+        arrow = d.schema.field("doc").type.value_type
+        return pa.table([pa.array(found, arrow), *[pa.array(c, t) for c, t in
+                                                   zip(cols, make.types)]],
                         names=[id_col, *columns])
 
-    return (split.groupBy("block").cogroup(back.groupBy("block"))
-            .applyInArrow(join, extended(split.select(id_col), **columns)))
+    return (_runs(rows, path, id_col).groupBy("block").cogroup(back.groupBy("block"))
+            .applyInArrow(join, extended(rows.select(id_col), **columns)))
 
 
 class _Gather:

@@ -8,10 +8,12 @@ broadcast; the order only steers the work, so a bucket shared by several
 n-grams never changes a result.
 
 1. Candidates. Two sets with Jaccard >= 0.75 share an n-gram among the first
-   n - ceil(0.75 n) + 1 of each (prefix principle), with sizes and positions
-   that still allow the overlap. Prefix postings are dealt by n-gram. A short
-   posting list gives all its pairs; a longer one gives a star and a chain
-   only, linear in its length, and its postings are kept.
+   n - ceil(0.75 n) + 1 of each (prefix principle), and among the first
+   n - o + 1 once the other's size, and so the least overlap o, is known. Prefix postings are dealt by n-gram. A short
+   posting list gives all its pairs; a longer one gives two stars only, linear
+   in its length, and its postings are kept. Their centres have the n-gram
+   earliest in their order: a text that others were copied from has no rare
+   n-grams of its own, so one star unites its copies.
 2. Verification by fragments. The global order is cut into ``FRAGMENTS``
    fragments of equal mass. The sets of candidate nodes are cut alike; each
    (block of pairs, fragment) counts the partial overlaps of its pairs, and
@@ -23,7 +25,7 @@ n-grams never changes a result.
 
 Skew: an n-gram whose bucket is hot is salted (its list is then kept for step
 3, which joins the whole list); equal sets collapse before anything is
-paired; a component of many candidate pairs is split into several blocks.
+paired; a star of many candidate pairs is split into several blocks.
 
 Defined cases: null text, empty text and text without words have an empty
 set, no links, and are their own component; repeated rows are copies of each
@@ -40,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import (bitmaps, components, extended, partitions, stored, table,
-                                  without_ids)
-from assayline.llm.shingles import mix, shingle_hashes
+from assayline.llm.common import (bitmaps, components, extended, join_hot, partitions,
+                                  stored, table, without_ids)
+from assayline.llm.shingles import mix, shingle_hashes, small_columns
 
 BUCKET_BITS = 20
 FRAGMENTS = 4
@@ -54,6 +56,9 @@ BLOCK_PAIRS = 20_000
 NODE_FILTER_BITS = 1 << 25
 #: Node-to-block rows that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
+#: Nodes a task remembers so as not to send equal sets twice, and entries it
+#: holds before it sends them on; both only bound its memory.
+SEEN_NODES, HELD_POSTINGS = 500_000, 500_000
 _U = np.uint64
 _CHUNK = 1 << 12
 
@@ -68,9 +73,10 @@ def ngram_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            h, _ = shingle_hashes(b.column(0))
-            total += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64),
-                                 minlength=1 << BUCKET_BITS)
+            for _, rows in small_columns(b.column(0)):
+                h, _ = shingle_hashes(rows)
+                total += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64),
+                                     minlength=1 << BUCKET_BITS)
         parts = total.reshape(-1, _CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -114,9 +120,10 @@ def node_id(sets: np.ndarray) -> np.int64:
 
 def node_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of rows that have any."""
-    h, off = shingle_hashes(column)
-    for i in np.flatnonzero(np.diff(off)):
-        yield int(i), np.unique(h[off[i]:off[i + 1]])
+    for first, rows in small_columns(column):
+        h, off = shingle_hashes(rows)
+        for i in np.flatnonzero(np.diff(off)):
+            yield first + int(i), np.unique(h[off[i]:off[i + 1]])
 
 
 def document_nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -137,47 +144,53 @@ def document_nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _postings(docs: DataFrame, text: str, counts, parts: int) -> DataFrame:
     """(part, tok, node, n, pos): blobs of prefix postings, dealt by n-gram."""
+    def dealt(tok, node, size, pos, freq):
+        tok, node, size, pos = map(np.concatenate, (tok, node, size, pos))
+        salts = freq[(tok >> _U(64 - BUCKET_BITS)).astype(np.int64)] // SALT_EVERY + 1
+        salt = node.view(np.uint64) % salts.astype(np.uint64)
+        part = (mix(tok + salt * _U(0x9E3779B97F4A7C15)) % _U(parts)).astype(np.int64)
+        at = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[at]) != 0, True])
+        tok, node, size, pos = (x[at] for x in (tok, node, size, pos))
+        pieces = list(zip(cuts, cuts[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[at][cuts[:-1]], pa.int64()),
+             *[pa.array([x[lo:hi].tobytes() for lo, hi in pieces], pa.binary())
+               for x in (tok, node, size, pos)]],
+            names=["part", "tok", "node", "n", "pos"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
+        freq, seen, held, total = counts.value, set(), ([], [], [], []), 0
         for b in batches:
-            tok, node, size, pos, seen = [], [], [], [], set()
             for _, s in node_sets(b.column(0)):
                 v, n = node_id(s), len(s)
                 if v in seen:
                     continue
-                seen.add(v)
+                if len(seen) < SEEN_NODES:
+                    seen.add(v)
                 p = n - -(-3 * n // 4) + 1
                 own = s[np.argsort(order_key(s, freq), kind="stable")[:p]]
-                tok.append(own)
-                node.append(np.full(p, v, np.int64))
-                size.append(np.full(p, n, np.int32))
-                pos.append(np.arange(p, dtype=np.int32))
-            if not tok:
-                continue
-            tok, node, size, pos = map(np.concatenate, (tok, node, size, pos))
-            salts = freq[(tok >> _U(64 - BUCKET_BITS)).astype(np.int64)] // SALT_EVERY + 1
-            salt = node.view(np.uint64) % salts.astype(np.uint64)
-            part = (mix(tok + salt * _U(0x9E3779B97F4A7C15)) % _U(parts)).astype(np.int64)
-            at = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(part[at]) != 0, True])
-            tok, node, size, pos = (x[at] for x in (tok, node, size, pos))
-            pieces = list(zip(cuts, cuts[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[at][cuts[:-1]], pa.int64()),
-                 *[pa.array([x[lo:hi].tobytes() for lo, hi in pieces], pa.binary())
-                   for x in (tok, node, size, pos)]],
-                names=["part", "tok", "node", "n", "pos"])
+                for c, x in zip(held, (own, np.full(p, v, np.int64), np.full(p, n, np.int32),
+                                       np.arange(p, dtype=np.int32))):
+                    c.append(x)
+                total += p
+                if total >= HELD_POSTINGS:
+                    yield dealt(*held, freq)
+                    held, total = ([], [], [], []), 0
+        if total:
+            yield dealt(*held, freq)
 
     return docs.select(text).mapInArrow(
         emit, "part long, tok binary, node binary, n binary, pos binary")
 
 
 def _fits(n1, n2, p1, p2):
-    """Whether sets of these sizes that share the n-gram at these places can
-    still reach the least overlap."""
+    """Whether a pair of sets of these sizes is a candidate by an n-gram at
+    these places: sets with the least overlap share one among the first
+    n - overlap + 1 of each."""
     need = least_overlap(n1, n2)
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
-    return (most >= need) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2))
+    return ((p1 <= n1 - need) & (p2 <= n2 - need)
+            & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)))
 
 
 def _part_pairs(t: pa.Table, counts) -> pa.Table:
@@ -191,6 +204,10 @@ def _part_pairs(t: pa.Table, counts) -> pa.Table:
     tok, node, n, pos = tok[at], node[at], n[at], pos[at]
     own = np.r_[True, (np.diff(tok) != 0) | (np.diff(node) != 0)]
     tok, node, n, pos = tok[own], node[own], n[own], pos[own]
+    # Each list by position: the text that others were copied from has no rare
+    # n-grams of its own, so its shared ones come early.
+    at = np.lexsort((node, pos, tok))
+    tok, node, n, pos = tok[at], node[at], n[at], pos[at]
     begin = np.flatnonzero(np.r_[True, np.diff(tok) != 0])
     length = np.diff(np.r_[begin, len(tok)])
     salted = counts.value[(tok[begin] >> _U(64 - BUCKET_BITS)).astype(np.int64)] >= SALT_EVERY
@@ -202,15 +219,17 @@ def _part_pairs(t: pa.Table, counts) -> pa.Table:
                 left.append(first + i)
                 right.append(first + j)
     rest = ((length > SHORT_LIST) | salted)
-    some = rest & (length > 1)
-    lists = np.repeat(begin[some], length[some] - 1)
-    inside = np.arange(len(lists)) - np.repeat(np.cumsum(length[some] - 1) - (length[some] - 1),
-                                               length[some] - 1) + 1
-    left += [lists, lists + inside - 1]
-    right += [lists + inside, lists + inside]
+    for centre in range(2):
+        some = rest & (length > centre + 1)
+        k = length[some] - centre - 1
+        first = np.repeat(begin[some] + centre, k)
+        left.append(first)
+        right.append(first + np.arange(len(first)) - np.repeat(np.cumsum(k) - k, k) + 1)
     i, j = np.concatenate(left), np.concatenate(right)
     ok = _fits(n[i], n[j], pos[i], pos[j])
     i, j = i[ok], j[ok]
+    swap = node[i] > node[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
     pair = np.unique(np.rec.fromarrays([node[i], node[j], n[i], n[j]]))
     kept = np.repeat(rest, length)
     cols = [np.r_[pair[f], x[kept].astype(np.int64) if x is not tok else x[kept].view(np.int64)]
@@ -224,12 +243,16 @@ def overlaps(docs: DataFrame, text: str, pairs: DataFrame, counts) -> DataFrame:
     fragment of the global order and summed per pair."""
     spark = docs.sparkSession
     blocks = max(partitions(spark), -(-pairs.count() // BLOCK_PAIRS))
-    cc = components(pairs, "a", "b")
-    sized = (pairs.join(cc.select(F.col("node").alias("a"), "component"), "a"))
-    many = (sized.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-                 .select("component", F.ceil(F.col("k") / BLOCK_PAIRS).alias("k")))
-    dealt = stored(sized.join(many, "component").select(
-        "a", "b", F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("b"), "k")),
+    # Pairs meet in the block of their a's least neighbour: the members of a
+    # star share it, so most sets go to one block only.
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    label = stored(both.groupBy("a").agg(F.min("b").alias("l"))
+                       .select("a", F.least("a", "l").alias("label")), "labels")
+    sized = pairs.select("a", "b").join(label, "a")
+    many = (sized.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+                 .select("label", F.ceil(F.col("k") / BLOCK_PAIRS).alias("k")))
+    dealt = stored(join_hot(sized, many, ["label"], "b").select(
+        "a", "b", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), "k")),
                          F.lit(blocks)).alias("block")), "dealt")
     need = stored(dealt.select(F.col("a").alias("node"), "block").union(
         dealt.select(F.col("b").alias("node"), "block")).distinct(), "need")
@@ -240,38 +263,53 @@ def overlaps(docs: DataFrame, text: str, pairs: DataFrame, counts) -> DataFrame:
     wanted = spark.sparkContext.broadcast(mask)
     cuts = pivots(counts.value)
 
+    def batch(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
+             pa.array(out[2], pa.binary())], names=["node", "fragment", "members"])
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, bit = counts.value, wanted.value
         seen: set[int] = set()
         for b in batches:
-            out = ([], [], [])
+            out, total = ([], [], []), 0
             for _, s in node_sets(b.column(0)):
                 v = int(node_id(s))
                 p = v & (NODE_FILTER_BITS - 1)
                 if not bit[p >> 3] >> (p & 7) & 1 or v in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN_NODES:
                     seen.add(v)
                 f = np.searchsorted(cuts, order_key(s, freq), side="right")
                 for k in np.unique(f).tolist():
                     for c, x in zip(out, (v, k, s[f == k].tobytes())):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
-                 pa.array(out[2], pa.binary())], names=["node", "fragment", "members"])
+                total += len(s)
+                if total >= HELD_POSTINGS:
+                    yield batch(out)
+                    out, total = ([], [], []), 0
+            yield batch(out)
 
     def partial(s: pa.Table, p: pa.Table) -> pa.Table:
-        sets = {}
-        for v, m in zip(s.column("node").to_pylist(), s.column("members")):
-            if v not in sets:
-                sets[v] = frozenset(np.frombuffer(m.as_py(), np.uint64).tolist())
-        none: frozenset = frozenset()
-        a, b = p.column("a"), p.column("b")
-        c = [len(sets.get(x, none) & sets.get(y, none))
-             for x, y in zip(a.to_pylist(), b.to_pylist())]
+        """Overlaps of the pairs (sorted by a) of one block in one fragment."""
+        p = p.sort_by("a")
+        at: dict[int, int] = {}
+        for i, v in enumerate(s.column("node").to_pylist()):
+            at.setdefault(v, i)
+        members = s.column("members")
+
+        def numbers(v):
+            i = at.get(v)
+            return [] if i is None else np.frombuffer(members[i].as_py(), np.uint64).tolist()
+
+        c, last, own = [], None, frozenset()
+        for x, y in zip(p.column("a").to_pylist(), p.column("b").to_pylist()):
+            if x != last:
+                last, own = x, frozenset(numbers(x))
+            c.append(len(own.intersection(numbers(y))) if own else 0)
         got = np.array(c, np.int64)
-        some = pa.array(got > 0)
-        return pa.table([a, b, pa.array(got)], names=["a", "b", "c"]).filter(some)
+        return pa.table([p.column("a"), p.column("b"), pa.array(got)],
+                        names=["a", "b", "c"]).filter(pa.array(got > 0))
 
     small = need.count() <= BROADCAST_ROWS
     segs = docs.select(text).mapInArrow(segments, "node long, fragment int, members binary")
@@ -314,10 +352,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     l, r = (rest.select("tok", *[F.col(c).alias(f"{c}_{k}") for c in
                                  ("node", "n", "pos", "component")]) for k in "lr")
     need = F.ceil(3 * (F.col("n_l") + F.col("n_r")) / 7)
-    most = (F.least("pos_l", "pos_r") + 1
-            + F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r")) - 1)
     across = (l.join(r, (l["tok"] == r["tok"]) & (F.col("node_l") < F.col("node_r"))
-                     & (F.col("component_l") != F.col("component_r")) & (most >= need)
+                     & (F.col("component_l") != F.col("component_r"))
+                     & (F.col("pos_l") <= F.col("n_l") - need)
+                     & (F.col("pos_r") <= F.col("n_r") - need)
                      & (4 * F.least("n_l", "n_r") >= 3 * F.greatest("n_l", "n_r")))
                .select(F.col("node_l").alias("a"), F.col("node_r").alias("b"),
                        F.col("n_l").alias("n"), F.col("n_r").alias("m")).distinct()
@@ -331,7 +369,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     own = (first.join(same, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = own.join(least, "component").select("node", "component_id")
+    member = join_hot(own, least, ["component"], "node").select("node", "component_id")
     return (nodes.join(member, "node", "left")
                  .select(id_col, "n_shingles",
                          F.when(F.col("node").isNull(), F.col(id_col))

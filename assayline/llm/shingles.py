@@ -7,7 +7,9 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes hashed at once; a longer run is cut at white space.
-SLICE = 1 << 21
+SLICE = 1 << 19
+#: Bytes of rows whose words are held at once.
+PIECE = 1 << 22
 _U = np.uint64
 
 
@@ -45,6 +47,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def small_columns(column: pa.Array, size: int = PIECE):
+    """(first row, rows) of a string column in pieces of about ``size`` bytes,
+    so that the arrays made from a piece stay small."""
+    _, off = utf8(column)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
+        yield lo, column.slice(lo, hi - lo)
+        lo = hi
+
+
 def _slice_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``data`` and where they begin; a word also ends
     at each of ``starts``."""

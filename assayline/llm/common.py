@@ -12,6 +12,8 @@ from assayline.session import ensure_checkpoint_dir
 
 #: Bytes that count as white space in the contracts of this package.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Places in which the rows of a hot key meet.
+SALTS = 8
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -65,19 +67,28 @@ def power_of_two(n: int, low: int, high: int) -> int:
     return max(low, min(high, 1 << max(0, int(n) - 1).bit_length()))
 
 
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], spread: str,
+             how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row a key: a hot key's rows
+    (dealt by column ``spread``) meet copies of that row in ``salts`` places."""
+    copies = F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
+    return (rows.withColumn("_jh_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+                .join(one.withColumn("_jh_salt", copies), [*keys, "_jh_salt"], how)
+                .drop("_jh_salt"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = (both.groupBy("u").agg(F.min("v").alias("m"))
                  .select("u", F.least("u", "m").alias("m")))
-    return (both.join(least, "u").where(F.col("v") > F.col("u"))
-                .select(F.col("v").alias("u"), F.col("m").alias("v"))
-                .where("u <> v").distinct())
+    return (join_hot(both, least, ["u"], "v").where(F.col("v") > F.col("u"))
+                .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Edges come as (u, v) with v < u."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    kept = e.join(least, "u")
+    kept = join_hot(e, least, ["u"], "v")
     moved = kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 

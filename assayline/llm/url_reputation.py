@@ -33,6 +33,7 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"),
          ("net", "/fr/", "block"))
 Z, THRESHOLD = 1.645, 0.5
 K_LOW, K_HIGH = 2.0, 10_000.0
+SALTS = 8
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -124,11 +125,14 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z,
     a = F.coalesce("ha", world["kh"] * md)
     b = F.coalesce("hb", world["kh"] * (1 - md))
     low = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    best = best.select("host", low.alias("good_low"))
+    # A hot host's pages meet its one row in SALTS places.
+    best = best.select("host", low.alias("good_low"), F.explode(
+        F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_ur_salt"))
+    salted = pages.withColumn("_ur_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.round("good_low", 9) >= threshold, "allow").otherwise("block")
-    return (pages.join(best, "host").withColumn("rule", rule)
-                 .withColumn("verdict", F.coalesce(verdict, own)))
+    return (salted.join(best, ["host", "_ur_salt"]).drop("_ur_salt").withColumn("rule", rule)
+                  .withColumn("verdict", F.coalesce(verdict, own)))
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:

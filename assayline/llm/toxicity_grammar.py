@@ -14,6 +14,8 @@ one after the other, each reading the previous one's output:
 
 A clause scores the sum of its weights; the document's score is a logistic of
 its strongest clause, its clause total and the share of clauses that matched.
+Prose with few punctuation marks counts as several clauses here, one for each
+``CLAUSE_TOKENS`` tokens; the transducers run on across these cuts.
 
 Insult weights are learned: words and word beginnings (4 to 6 letters, so that
 inflected forms share an entry) that occur significantly more often in toxic
@@ -51,7 +53,7 @@ SCOPE, REACH = 3, 4
 NEGATED, REPORTED, AIMED, THREAT_WEIGHT = 0.4, 0.7, 0.5, 1.0
 STEMS = (4, 5, 6)
 LONG_WORD = 40
-#: Prose without punctuation is cut into clauses of so many tokens.
+#: The weights of a long clause are summed per stride of so many tokens.
 CLAUSE_TOKENS = 64
 
 #: Seed words of the grammar's closed classes (fixed values).
@@ -112,12 +114,19 @@ class Grammar:
             self.read[token] = got
         return got
 
-    def clause(self, words: list[str]) -> float:
+    def clause(self, words: list[str]) -> list[float]:
+        """Weights of a clause, summed per stride of ``CLAUSE_TOKENS`` tokens;
+        the transducers run over the whole clause, in linear time."""
+        sums = [0.0] * -(-len(words) // CLAUSE_TOKENS)
         syms = [self.symbol(w) for w in words]
         if not any(k == INSULT for k, _ in syms):
-            return 0.0
-        total, negated, reported, quoted = 0.0, 0, False, False
-        aims = [i for i, (k, _) in enumerate(syms) if k == AT]
+            return sums
+        negated, reported, quoted = 0, False, False
+        aims = bytearray(len(words) + REACH + 1)  # 1: a target is within reach
+        for i, (k, _) in enumerate(syms):
+            if k == AT:
+                low = max(0, i - REACH)
+                aims[low:i + REACH + 1] = b"\1" * (i + REACH + 1 - low)
         for i, (k, w) in enumerate(syms):
             if k == NOT:
                 negated = SCOPE + 1
@@ -126,25 +135,23 @@ class Grammar:
             elif k == QUOTE:
                 quoted = not quoted
             elif k == INSULT:
-                aimed = any(abs(i - j) <= REACH for j in aims)
+                aimed = aims[i]
                 if aimed and words[i] in THREAT:
                     w = max(w, THREAT_WEIGHT)
                 if w > 0:
                     w += AIMED * aimed
                     w *= NEGATED if negated else 1.0
                     w *= REPORTED if reported or quoted else 1.0
-                    total += w
+                    sums[i // CLAUSE_TOKENS] += w
             negated = max(0, negated - 1)
-        return total
+        return sums
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         top = total = 0.0
         n = hits = 0
         for c in _CLAUSE.split((text or "").lower()):
-            found = tokens(c)
-            for k in range(0, len(found), CLAUSE_TOKENS):
+            for s in self.clause(tokens(c)):
                 n += 1
-                s = self.clause(found[k:k + CLAUSE_TOKENS])
                 if s > 0:
                     hits += 1
                     total += s

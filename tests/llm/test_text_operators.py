@@ -129,6 +129,25 @@ def test_grammar_scores_clauses_not_words():
     assert g.score(None) == g.score("") < 0.5 < g.score("idiot")
 
 
+def test_grammar_runs_on_across_strides():
+    """Negation, report, quotation and target act across token 64 of a clause
+    as they do inside a stride, and a text's strides share no weight."""
+    g = toxicity_grammar.Grammar({"idiot": 4.0}, (-2.0, 1.0, 0.0, 0.0))
+    size = toxicity_grammar.CLAUSE_TOKENS
+    for phrase in ("kill you", "you will kill", "not an idiot", "said an idiot", '"an idiot',
+                   "you an idiot", "idiot of you", "plain idiot"):
+        n = len(toxicity_grammar.tokens(phrase))
+        want = g.features(phrase)[0]
+        for lead in range(size - n, size + 1):
+            got = g.features("word " * lead + phrase + " word" * size)
+            assert want > 0 and got[0] == want, (phrase, lead)
+            assert got[2] == 1 / -(-(lead + n + size) // size)
+    assert g.features("kill" + " word" * toxicity_grammar.REACH + " you")[0] == 0.0
+    # Far from the cut, an open report still damps.
+    assert g.features("said" + " word" * 200 + " idiot")[0] == g.features("said idiot")[0]
+    assert g.clause([]) == []
+
+
 def test_toxicity_on_held_out_rows(spark, edge, empty, tmp_path):
     """Held-out accuracy; labels never touch held-out rows."""
     import random

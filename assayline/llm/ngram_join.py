@@ -30,7 +30,8 @@ paired; a star of many candidate pairs is split into several blocks.
 Defined cases: null text, empty text and text without words have an empty
 set, no links, and are their own component; repeated rows are copies of each
 other; a null id never becomes a component's id unless all its ids are null;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. ``kept_rows``
+(the pipeline's stage) tells rows apart by a stored row number, not by id.
 """
 
 from __future__ import annotations
@@ -126,20 +127,20 @@ def node_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + int(i), np.unique(h[off[i]:off[i + 1]])
 
 
-def document_nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_shingles, node); node is null for an empty set."""
-    rows = docs.select(id_col, text)
+def document_nodes(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, n_shingles, node); node is null for an empty set."""
+    rows = docs.select(*keys, text)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, s in node_sets(b.column(1)):
+            for i, s in node_sets(b.column(len(keys))):
                 n[i], node[i] = len(s), node_id(s)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(node, mask=n == 0)],
-                names=[id_col, "n_shingles", "node"])
+                [*b.columns[:-1], pa.array(n), pa.array(node, mask=n == 0)],
+                names=[*keys, "n_shingles", "node"])
 
-    return rows.mapInArrow(nodes, extended(rows.select(id_col), n_shingles="long", node="long"))
+    return rows.mapInArrow(nodes, extended(rows.select(*keys), n_shingles="long", node="long"))
 
 
 def _postings(docs: DataFrame, text: str, counts, parts: int) -> DataFrame:
@@ -326,12 +327,9 @@ def linked(overlap: DataFrame) -> DataFrame:
     return overlap.where(100 * F.col("inter") >= 75 * union).select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
+def node_components(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, component) of the nodes of ``docs`` that have a link."""
     spark = docs.sparkSession
-    nodes = stored(document_nodes(docs, id_col, text), "nodes")
-    first = stored(nodes.where("node is not null").groupBy("node")
-                        .agg(F.min(id_col).alias("least")), "first")
     counts = spark.sparkContext.broadcast(ngram_frequencies(docs, text))
     parts = partitions(spark)
     found = stored(_postings(docs, text, counts, parts).groupBy("part").applyInArrow(
@@ -364,6 +362,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     if across.count():
         more = stored(linked(overlaps(docs, text, across, counts)), "more")
         same = components(links.union(more), "a", "b")
+    return same
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row of ``docs``."""
+    nodes = stored(document_nodes(docs, [id_col], text), "nodes")
+    first = stored(nodes.where("node is not null").groupBy("node")
+                        .agg(F.min(id_col).alias("least")), "first")
+    same = node_components(docs, text)
 
     # Components by their smallest document.
     own = (first.join(same, "node", "left")
@@ -377,9 +384,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group (its smallest id), unchanged."""
-    got = near_groups(docs, id_col, text)
-    return without_ids(docs, got.where(F.col(id_col) != F.col("component_id")), id_col)
+    """One row of each near-duplicate group, unchanged: the smallest id, a null
+    id after any other, ties by node and row. Rows are told apart by a stored
+    number, so ids may be shared or missing; rows with an empty set all stay."""
+    rows = stored(docs.withColumn("_nj_row", F.monotonically_increasing_id()), "rows")
+    nodes = stored(document_nodes(rows, [id_col, "_nj_row"], text).where("node is not null")
+                   .select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                           "node", F.col("_nj_row").alias("row")), "nodes")
+    least = F.min(F.struct("none", "id", "node", "row")).alias("least")
+    first = (nodes.groupBy("node").agg(least).join(node_components(rows, text), "node", "left")
+                  .select(F.coalesce("component", "node").alias("component"), "least.*"))
+    stays = first.groupBy("component").agg(least).select("least.row")
+    drop = nodes.join(stays, "row", "left_anti").select(F.col("row").alias("_nj_row"))
+    return without_ids(rows, drop, "_nj_row").drop("_nj_row")
 
 
 def op4_vertical_jaccard_join(spark, sf_dir: str) -> DataFrame:

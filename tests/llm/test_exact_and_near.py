@@ -94,6 +94,30 @@ def test_near_groups_brute_force(edge, empty):
     assert _near(empty) == []
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Shared ids with unlike texts, null ids, and rows that come twice."""
+    from llm_tables import words
+
+    def copy(base, k):
+        return " ".join([*base[:k], "changed", *base[k + 1:]])
+
+    a, b, c, d = (words(s, 80) for s in (11, 12, 13, 14))
+    rows = [(3, " ".join(a)), (7, copy(a, 40)), (7, " ".join(b)), (None, copy(a, 20)),
+            (None, " ".join(c)), (None, copy(c, 30)), (None, copy(c, 50)),
+            (9, " ".join(d)), (9, " ".join(d)), (9, copy(d, 30)), (None, None), (None, "")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(4)
+        got = ngram_join.kept_rows(docs)
+        assert got.columns == docs.columns
+        got = [tuple(r) for r in got.collect()]
+        assert len(got) == 6
+        assert (3, " ".join(a)) in got and (7, " ".join(b)) in got
+        assert [i for i, _ in got].count(9) == 1 and [i for i, _ in got].count(7) == 1
+        # One of the null-id copies of c; texts without words have no copies.
+        assert sum(i is None for i, _ in got) == 3
+        assert sum(r in rows[4:7] for r in got) == 1
+
+
 def test_near_groups_of_many_copies(spark, monkeypatch):
     """Lists longer than SHORT_LIST, hot n-grams with salts, several blocks:
     chains of near copies whose ends are not alike."""

@@ -12,9 +12,10 @@ bits), so a probe is one broadcast lookup. It has ``bits_per_row`` bits a row,
 at most ``max_bits`` (2**27 bits are 16 MB: the proven bound of what is
 broadcast). Beyond that bound more rows take the exact way.
 
-Defined cases: null text counts as empty; rows are told apart by their id, so
-rows that share the smallest id of a group all stay; null ids lose against
-any other id and equal each other; an empty table gives an empty result;
+Defined cases: null text counts as empty; the query and ``kept_rows`` tell rows
+apart by their id, so rows that share the smallest id of a group all stay
+there, while ``single_rows`` (the pipeline's stage) keeps one row of each text;
+null ids lose against any other id and equal each other; an empty table gives an empty result;
 other columns are carried untouched (their names must not start with ``_bd_``).
 """
 
@@ -50,16 +51,11 @@ def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
     return bitmaps(digests.select(F.explode(own).alias("p")), at_least=2)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", bits_per_row: int = 16,
-                max_bits: int = 1 << 27, digests: DataFrame | None = None) -> DataFrame:
-    """``df`` (which has _bd_sha) plus _bd_keep (id that stays) and _bd_size.
-
-    ``digests``: a table with the same rows' _bd_sha that is cheaper to scan
-    for pass 1."""
-    first = df if digests is None else digests
-    n = first.count()
-    bits = power_of_two(bits_per_row * n, BLOCK_BITS, max_bits)
-    filt = stored(repeated_filter(first, bits), "bloom")
+def _prober(digests: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 27):
+    """Pass 1 over ``digests``; the function returned adds _bd_maybe (may have
+    an equal row) to rows that have _bd_sha."""
+    bits = power_of_two(bits_per_row * digests.count(), BLOCK_BITS, max_bits)
+    filt = stored(repeated_filter(digests, bits), "bloom")
     block, offsets = _probes(bits // BLOCK_BITS)
     maybe = bit_is_set(F.col("_bd_bits"), offsets[0]) & bit_is_set(F.col("_bd_bits"), offsets[1])
 
@@ -69,6 +65,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", bits_per_row: int = 16,
         return (rows.withColumn("_bd_block", block).join(f, "_bd_block", "left")
                     .withColumn("_bd_maybe", maybe).drop("_bd_block", "_bd_bits"))
 
+    return probed
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", bits_per_row: int = 16,
+                max_bits: int = 1 << 27, digests: DataFrame | None = None) -> DataFrame:
+    """``df`` (which has _bd_sha) plus _bd_keep (id that stays) and _bd_size.
+
+    ``digests``: a table with the same rows' _bd_sha that is cheaper to scan
+    for pass 1."""
+    first = df if digests is None else digests
+    probed = _prober(first, bits_per_row, max_bits)
+
     def out(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"`{c}`") for c in df.columns], "_bd_keep", "_bd_size")
 
@@ -88,13 +96,30 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", bits_per_row: int = 16,
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, with their columns unchanged."""
+    """Rows of ``docs`` whose id stays, with their columns unchanged; a
+    smallest id that comes twice stays twice (see :func:`single_rows`)."""
     own = with_digest(docs, text)
     digests = stored(own.select(id_col, "_bd_sha"), "digests")
     return (exact_dedup(own, id_col, digests=digests)
             .where(F.col(id_col).eqNullSafe(F.col("_bd_keep"))).select(*docs.columns))
 
 
+def single_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of each normalised text, unchanged: the smallest id, a
+    null id after any other, ties by a stored row number."""
+    own = stored(with_digest(docs, text).withColumn("_bd_row", F.monotonically_increasing_id()),
+                 "digests")
+    probed = _prober(own.select("_bd_sha"))
+    stays = (probed(own.select(id_col, "_bd_sha", "_bd_row")).where("_bd_maybe")
+             .groupBy("_bd_sha")
+             .agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_bd_row")).alias("_bd_least"))
+             .select("_bd_least._bd_row"))
+    rows = probed(own)
+    # Row numbers are unique, so no group meets in one place here.
+    return (rows.where(~F.col("_bd_maybe")).select(*docs.columns).unionByName(
+        rows.where("_bd_maybe").join(stays, "_bd_row", "left_semi").select(*docs.columns)))
+
+
 def op7_bloom_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digests = stored(with_digest(docs).select("doc_id", "_bd_sha"), "digests")

@@ -16,12 +16,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of equal texts."""
-    return bloom_dedup.kept_rows(docs)
+    """One row of every group of equal texts: the smallest doc_id."""
+    return bloom_dedup.single_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near-duplicate texts."""
+    """One row of every group of near-duplicate texts: the smallest doc_id."""
     return ngram_join.kept_rows(docs)
 
 

@@ -41,6 +41,23 @@ def test_exact_dedup_brute_force(edge, empty):
     assert 1 not in ids and 6 not in ids and 18 not in ids and ids.count(5) == 2
 
 
+def test_exact_dedup_stage_keeps_one_row_of_each_text(spark, edge, empty):
+    """A table loaded twice, a text without ids, shared ids with unlike texts."""
+    import corpus_pipeline
+    rows = [(4, "a text"), (4, "a text"), (2, "a  text"), (None, "a text"), (4, "other"),
+            (None, "no id"), (None, "no\tid"), (None, "no id"), (8, None), (9, ""), (5, "alone")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], _normal(r["text"]))
+                  for r in corpus_pipeline.exact_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(2, "a text"), (4, "other"), (None, "no id"), (8, ""), (5, "alone")],
+                         key=str)
+    kept = corpus_pipeline.exact_dedup(spark, edge.union(edge), "")
+    assert kept.columns == edge.columns
+    texts = [_normal(r["text"]) for r in kept.collect()]
+    assert sorted(texts) == sorted({_normal(r["text"]) for r in edge.collect()})
+    assert corpus_pipeline.exact_dedup(spark, empty, "").count() == 0
+
+
 def test_exact_dedup_with_a_full_filter(edge):
     """A filter far too small only sends more rows the exact way."""
     own = bloom_dedup.with_digest(edge)

@@ -314,12 +314,11 @@ def month_report_random_forest(spark, sf_dir):
 
 @register("month_table_random_forest", None)
 def month_table_random_forest(spark, sf_dir):
-    """L7 over two months, stacked under their labels, written as CSV and read back."""
+    """L7 over two months with the default parameters, stacked under their labels,
+    written as CSV and read back."""
     tables, root = load_tables(spark, sf_dir), FS.output_root(spark, "months")
-    small = _small("random_forest")
     FS.write_metrics_csv(flows.month_table(
-        {m: flows.month_report(tables, "random_forest", m, params_by_target=small)
-         for m in (12, MONTH)}), root)
+        {m: flows.month_report(tables, "random_forest", m) for m in (12, MONTH)}), root)
     return FS.read_metrics_csv(spark, root, "month string, target string, smape double").drop("file")
 
 

@@ -203,3 +203,15 @@ def test_apply_downcast(spark):
     plan = RP.downcast_plan(df).collect()
     assert {r["column"]: r["n_categories"] for r in plan}["s"] == 1.0
     assert [t for _, t in RP.apply_downcast(df, plan).dtypes] == ["smallint", "float", "string"]
+
+
+def test_month_table_equals_month_report(spark, monkeypatch):
+    """Both queries fit with the default parameters, here of small trees."""
+    from assayline.plans import queries_models as QM
+    from conftest import SF001
+    monkeypatch.setitem(MD.DEFAULT_PARAMS, "random_forest", {"n_estimators": 2, "max_depth": 2})
+    table = QM.month_table_random_forest(spark, SF001).where("month = 'month_24'")
+    report = QM.month_report_random_forest(spark, SF001)
+    want = {r["target"]: r["smape"] for r in report.collect()}
+    got = {r["target"]: r["smape"] for r in table.collect()}
+    assert len(want) == 5 and got == pytest.approx(want, abs=1e-9)

@@ -215,3 +215,28 @@ def test_month_table_equals_month_report(spark, monkeypatch):
     want = {r["target"]: r["smape"] for r in report.collect()}
     got = {r["target"]: r["smape"] for r in table.collect()}
     assert len(want) == 5 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_tree_queries_fit_defaults_and_return_scores(spark, monkeypatch):
+    """Every family, fold and target is asked for with its default parameters;
+    constant predictors stand in for the trees."""
+    from assayline.plans import queries_models as QM
+    v = _learnable(spark, 300).cache()
+    asked = []
+
+    def fit(train, family, label, params=None, seed=42):
+        asked.append((family, label, params))
+        return float(MD.FAMILIES.index(family)), None
+
+    monkeypatch.setattr(QM, "_vec", lambda spark, sf_dir: (v, []))
+    monkeypatch.setattr(MD, "fit", fit)
+    monkeypatch.setattr(MD, "predict", lambda m, df: df.withColumn("p", F.lit(m)))
+    curve = QM.evaluate_tree_learning_curve(spark, "").collect()
+    assert asked == [("random_forest", "updrs_1", MD.default_params("random_forest"))] * 25
+    assert len(curve) == 10 and all(r["score_mean"] < 1 and r["score_std"] > 0 for r in curve)
+    asked.clear()
+    got = QM.evaluate_tree_families(spark, "").collect()
+    assert len(asked) == 16 and all(p == MD.default_params(f) for f, _, p in asked)
+    rmse = {r["family"]: r["mean_rmse"] for r in got}
+    assert set(rmse) == set(MD.FAMILIES) and len(set(rmse.values())) == 4
+    assert [r["family"] for r in got if r["chosen"]] == [min(rmse, key=rmse.get)]

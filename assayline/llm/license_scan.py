@@ -222,48 +222,14 @@ def _sql() -> str:
     for t in library():
         (off, first), rest = t["phrases"][0], t["phrases"][1:]
         n = len(t["words"])
-        more = "".join(f" AND w[s + {o + 1}:s + {o + len(p)}] = {words(p)}" for o, p in rest)
-        share = (f"list_sum(list_transform(range({n}), lambda j: CASE WHEN s + j >= 0 AND "
-                 f"w[s + j + 1] = {words(t['words'])}[j + 1] THEN 1 ELSE 0 END))::DOUBLE / {n}")
         starts.add(first[0])
-        found.append(
-            f"SELECT r, '{t['label']}' AS label, {str(t['base']).lower()} AS base, s, "
-            f"{share} AS score FROM (SELECT r, i - {off} AS s, w FROM h JOIN d USING (r) "
-            f"WHERE x = '{first[0]}' AND w[i + 1:i + {len(first)}] = {words(first)}) AS q "
-            f"WHERE true{more}")
-    places = F.col("license_scan.places")
-    own = F.filter(places, lambda p: p["base"])
-    starts = F.transform(own, lambda p: p["start"])
-
-    def names(c: Column) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(
-            F.transform(c, lambda p: p["label"]))), ",")
-
-    return scan(docs).select(
-        "doc_id", F.col("license_scan.n_words").alias("n_words"),
-        F.size(own).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"), names(own).alias("base_labels"),
-        names(places).alias("labels"),
-        F.coalesce(F.array_max(F.transform(places, lambda p: p["score"])), F.lit(0.0))
-        .alias("score"))
-
-
-def _sql() -> str:
-    def words(ws):
-        return "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-
-    found, starts = [], set()
-    for t in library():
-        (off, first), rest = t["phrases"][0], t["phrases"][1:]
-        n = len(t["words"])
         more = "".join(f" AND w[s + {o + 1}:s + {o + len(p)}] = {words(p)}" for o, p in rest)
         share = (f"list_sum(list_transform(range({n}), lambda j: CASE WHEN s + j >= 0 AND "
                  f"w[s + j + 1] = {words(t['words'])}[j + 1] THEN 1 ELSE 0 END))::DOUBLE / {n}")
         found.append(
             f"SELECT r, '{t['label']}' AS label, {str(t['base']).lower()} AS base, s, "
-            f"{share} AS score FROM (SELECT r, w, unnest(list_filter(range(len(w)), lambda i: "
-            f"w[i + 1] = '{first[0]}' AND w[i + 1:i + {len(first)}] = {words(first)})) - {off} "
-            f"AS s FROM d) AS q WHERE true{more}")
+            f"{share} AS score FROM (SELECT r, i - {off} AS s, w FROM h WHERE x = '{first[0]}' "
+            f"AND w[i + 1:i + {len(first)}] = {words(first)}) AS q WHERE true{more}")
     places = "\nUNION ALL ".join(found)
     return rf"""
 WITH d AS MATERIALIZED (
@@ -271,9 +237,9 @@ WITH d AS MATERIALIZED (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-h AS MATERIALIZED (
-  SELECT * FROM (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS x FROM d)
-  WHERE x IN ({', '.join(f"'{x}'" for x in sorted(starts))})),
+u AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS x FROM d),
+h AS MATERIALIZED (SELECT r, i, x, w FROM u JOIN d USING (r)
+                   WHERE x IN ({', '.join(f"'{x}'" for x in sorted(starts))})),
 p AS ({places}),
 g AS (SELECT r, count_if(base) AS n_base, min(s) FILTER (base) AS first_word,
              max(s) FILTER (base) AS last_word,

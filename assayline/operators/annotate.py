@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.functions.scalar import peptide_position
+from assayline.operators.sequences import first_positions
+from assayline.session import store
 
 # Texts of the reference's annotation helpers.
 NAME_NOT_FOUND = "Nombre no encontrado"
@@ -36,32 +37,53 @@ def json_protein_name(json_col) -> Column:
     return F.coalesce(F.get_json_object(json_col, NAME_PATH), F.lit(NAME_NOT_FOUND))
 
 
-def peptide_message(sequence, peptide, shown) -> Column:
+def position_message(has_sequence: Column, position: Column, shown: Column) -> Column:
     """F8: found at / not found / no sequence."""
-    seq = F.col(sequence) if isinstance(sequence, str) else sequence
-    pos = peptide_position(seq, peptide)
-    shown = F.col(shown) if isinstance(shown, str) else shown
-    return (F.when(seq.isNull() | (seq == ""), F.lit(NO_SEQUENCE))
-             .when(pos >= 0, F.format_string(FOUND, shown, pos))
+    return (F.when(~F.coalesce(has_sequence, F.lit(False)), F.lit(NO_SEQUENCE))
+             .when(position >= 0, F.format_string(FOUND, shown, position))
              .otherwise(F.lit(NOT_FOUND)))
 
 
+def read_records(records: DataFrame) -> DataFrame:
+    """(uniprot, segment, start, length, residues, protein_name) of JSON
+    records (uniprot, json). A record that names no segment holds its whole
+    sequence."""
+    seq = json_protein_sequence("json")
+
+    def number(field: str, default: Column) -> Column:
+        return F.coalesce(F.get_json_object("json", f"$.sequence.{field}").cast("long"),
+                          default.cast("long")).alias(field)
+
+    return records.select("uniprot", number("segment", F.lit(0)), number("start", F.lit(0)),
+                          number("length", F.length(seq)), seq.alias("residues"),
+                          json_protein_name("json").alias("protein_name"))
+
+
 def join_protein_record(df: DataFrame, records: DataFrame, peptide_seq: Column,
                         uniprot: str = "UniProt", peptide: str = "Peptide") -> DataFrame:
-    """Peptide rows + protein sequence, name, position (F7) and message (F8).
-    ``records`` has one row per protein, so the join never multiplies rows."""
-    r = records.select(F.col("uniprot").alias("_u"), F.col("json").alias("_json"))
-    j = df.join(r, df[uniprot] == r["_u"], "left")
-    seq = F.when(F.col("_json").isNotNull(), json_protein_sequence(F.col("_json")))
-    return (j.select(*df.columns,
-                     seq.alias("sequence"),
-                     F.when(F.col("_json").isNotNull(), json_protein_name(F.col("_json")))
-                      .alias("protein_name"),
-                     peptide_seq.alias("_pseq"))
-             .withColumn("position", F.when(F.col("sequence") != "",
-                                            peptide_position("sequence", "_pseq")))
-             .withColumn("message", peptide_message("sequence", F.col("_pseq"), F.col(peptide)))
-             .drop("_pseq"))
+    """Peptide rows + protein_length, protein_name, position (F7: first place
+    from 0, -1 if it does not stand in the protein, null without a sequence)
+    and message (F8). Sequences are joined segment by segment; a row gets its
+    protein's length and name, never its sequence. An empty peptide stands at 0."""
+    parsed = store(read_records(records.where(F.col("json").isNotNull())), "records")
+    rows = store(df.withColumn("_pseq", peptide_seq), "peptides")
+    segments = parsed.where(F.length("residues") > 0).select(
+        F.col("uniprot").alias("_u"), "segment", "start", "residues")
+    found = first_positions(rows.select(F.col(uniprot).alias("_u"), "_pseq"), segments, "_u",
+                            "_pseq").select(F.col("_u").alias("_fu"), F.col("_pseq").alias("_fp"),
+                                            F.col("position").alias("_at"))
+    # One row per protein.
+    own = parsed.groupBy(F.col("uniprot").alias("_u")).agg(
+        F.max("length").alias("protein_length"), F.min("protein_name").alias("protein_name"))
+    j = (rows.join(own, rows[uniprot] == own["_u"], "left")
+             .join(found, (F.col(uniprot) == F.col("_fu")) & (F.col("_pseq") == F.col("_fp")),
+                   "left"))
+    known = F.col("protein_length") > 0
+    at = F.when(F.col("_pseq") == "", F.lit(0).cast("long")).otherwise(F.col("_at"))
+    return (j.withColumn("position", F.when(known & F.col("_pseq").isNotNull(),
+                                            F.coalesce(at, F.lit(-1).cast("long"))))
+             .withColumn("message", position_message(known, F.col("position"), F.col(peptide)))
+             .select(*df.columns, "protein_length", "protein_name", "position", "message"))
 
 
 def join_go_terms(proteins: DataFrame, annotations: DataFrame, names: DataFrame,

@@ -60,6 +60,25 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
                  .select(*by, value, _C, (F.col("_off") + F.col("_local")).alias(_BEFORE), _N))
 
 
+def running_offsets(df: DataFrame, amount: str, by: Sequence[str], order: Sequence[str],
+                    out: str = "offset") -> DataFrame:
+    """``df`` plus ``out``: the sum of ``amount`` over the group's earlier rows
+    (``order`` must tell a group's rows apart). Range slices as in
+    :func:`cumulative_counts`: a group may be of any size."""
+    by, order = list(by), list(order)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store(df.repartitionByRange(slices, *by, *order)
+                     .withColumn(_B, F.spark_partition_id()), "slices")
+    inner = (Window.partitionBy(*by, _B).orderBy(*order)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    prior = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (ranged.groupBy(*by, _B).agg(F.sum(amount).alias("_bt"))
+                    .select(*by, _B, F.coalesce(F.sum("_bt").over(prior), F.lit(0)).alias("_off")))
+    return (ranged.withColumn("_local", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
+                  .join(totals, [*by, _B])
+                  .select(*df.columns, (F.col("_off") + F.col("_local")).alias(out)))
+
+
 def rank_table(cum: DataFrame, value: str, by: Sequence[str] = (), pct: bool = True,
                out: str = "rank") -> DataFrame:
     """(by..., value, out) from a cumulative-count table."""

@@ -24,20 +24,24 @@ def _lit(text: str) -> str:
 
 _FOUND_SQL = _lit(AN.FOUND.replace("%s", "{}").replace("%d", "{}"))
 _RES = "upper(replace({c}, ' ', ''))"
-_REC_SQL = """,
-rec AS (SELECT p_brand AS uniprot,
-          coalesce(min(upper(replace(p_name, ' ', ''))) || max(upper(replace(p_name, ' ', ''))), '') AS seq,
-          min(p_type) AS name
+_REC_SQL = f""",
+rec AS (SELECT p_brand AS uniprot, min(p_type) AS name,
+          coalesce(string_agg(DISTINCT {_RES.format(c='p_name')}, ''
+                              ORDER BY {_RES.format(c='p_name')}), '') AS seq
         FROM part GROUP BY p_brand)"""
 
 
-@register("protein_record_fields", Q.with_() + _REC_SQL + f"""
-SELECT uniprot, seq AS sequence, coalesce(name, '{AN.NAME_NOT_FOUND}') AS protein_name FROM rec""")
+@register("protein_record_fields", Q.with_() + _REC_SQL + f""",
+sg AS (SELECT *, unnest(range(greatest(1, (len(seq) + {SA.SEGMENT - 1}) // {SA.SEGMENT}))) AS segment
+       FROM rec)
+SELECT uniprot, segment, segment * {SA.SEGMENT} AS start, len(seq) AS length,
+       substr(seq, segment * {SA.SEGMENT} + 1, {SA.SEGMENT}) AS sequence,
+       coalesce(name, '{AN.NAME_NOT_FOUND}') AS protein_name FROM sg""")
 def protein_record_fields(spark, sf_dir):
-    """S12 + F9 + F10: JSON records built, then read back by path."""
-    rec = SA.protein_records(spark, sf_dir)
-    return rec.select("uniprot", AN.json_protein_sequence("json").alias("sequence"),
-                      AN.json_protein_name("json").alias("protein_name"))
+    """S12 + F9 + F10: JSON records, one a segment of a protein's sequence, built
+    and then read back by path."""
+    return AN.read_records(SA.protein_records(spark, sf_dir)).withColumnRenamed(
+        "residues", "sequence")
 
 
 @register("peptide_positions", Q.with_() + _REC_SQL + f""",
@@ -46,8 +50,8 @@ j AS (SELECT pp.UniProt, pp.Peptide, rec.seq AS sequence,
              CASE WHEN rec.uniprot IS NOT NULL THEN coalesce(rec.name, '{AN.NAME_NOT_FOUND}') END AS protein_name,
              {_RES.format(c='pp.Peptide')} AS pseq
       FROM pp LEFT JOIN rec ON pp.UniProt = rec.uniprot)
-SELECT UniProt, Peptide, sequence, protein_name,
-       CASE WHEN sequence <> '' THEN CAST(instr(sequence, pseq) - 1 AS INTEGER) END AS position,
+SELECT UniProt, Peptide, len(sequence) AS protein_length, protein_name,
+       CASE WHEN sequence <> '' THEN instr(sequence, pseq) - 1 END AS position,
        CASE WHEN sequence IS NULL OR sequence = '' THEN '{AN.NO_SEQUENCE}'
             WHEN instr(sequence, pseq) > 0 THEN format({_FOUND_SQL}, Peptide,
                  CAST(instr(sequence, pseq) - 1 AS VARCHAR))
@@ -55,7 +59,7 @@ SELECT UniProt, Peptide, sequence, protein_name,
 FROM j""")
 def peptide_positions(spark, sf_dir):
     """J7 + F7 + F8: every (UniProt, Peptide) of the peptides table located in
-    its protein's sequence."""
+    its protein's whole sequence, segment by segment."""
     pp = load_tables(spark, sf_dir).peptides.select("UniProt", "Peptide").distinct()
     return AN.join_protein_record(pp, SA.protein_records(spark, sf_dir), SA.residues("Peptide"))
 

@@ -86,9 +86,8 @@ def prepared_vectors(tables: AssayTables, month: int = DEFAULT_MONTH, scheme: st
     """L4: (prepared month table with its features as one vector, their names).
 
     Features that are constant on the train rows (most statistic columns are
-    one value per month) are left out unless ``drop_constant`` is off: Spark
-    draws a node's feature subset once, so constants among the drawn ones
-    starve the trees, while the reference's learner looks on for a usable one."""
+    one value per month) are left out unless ``drop_constant`` is off: no tree
+    can use them, and a node would only draw past them."""
     from assayline.operators import models as MD
     prep = prepare(tables, month, scheme, seed)
     feats = model_features(prep.columns)

@@ -1,8 +1,9 @@
 """Registered queries: tree models, tuning, persistence.
 
-Trees have no SQL twin: fitted models are checked by invariants that have one
-(rows scored, ranges, reloading, importances), and the search, its early stop
-and the sinks by running them on the fixed predictor, which SQL can follow.
+Whole models have no SQL twin: small trees do (``boosted_tree_splits``), and
+fitted models are checked by invariants that have one (rows scored, ranges,
+reloading, importances); the search, its early stop and the sinks run on the
+fixed predictor, which SQL can follow.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _fit_one(family):
 
 register("fit_random_forest_updrs_1", None)(_fit_one("random_forest"))
 register("fit_gradient_boosting_updrs_1", None)(_fit_one("gradient_boosting"))
-# M13 / M14 are not hand-built: Spark's boosting under their parameter names.
+# M13, M14 with their libraries' default parameters.
 register("gbt_xgboost_params", None)(_fit_one("xgboost"))
 register("gbt_lightgbm_params", None)(_fit_one("lightgbm"))
 
@@ -64,8 +65,8 @@ def _checked(vec, models, loaded):
     ).first()
     out = None
     for t, (m, _) in models.items():
-        again = loaded[t].setPredictionCol("p2")
-        pred = again.transform(MD.predict(m, vec)).groupBy(F.col("split").alias("dataset")).agg(
+        both = MD.predict(loaded[t], MD.predict(m, vec), "p2")
+        pred = both.groupBy(F.col("split").alias("dataset")).agg(
             F.lit(t).alias("target"), F.count(F.lit(1)).alias("rows_scored"),
             F.count_if(F.col("p").isNull()).alias("null_predictions"),
             F.count_if((F.col("p") < bounds[f"lo_{t}"] - 1e-9)
@@ -96,16 +97,17 @@ def forest_invariants(spark, sf_dir):
 @register("boosting_invariants", _ROWS_SQL + """,
 fm AS (SELECT unnest(['gradient_boosting', 'xgboost', 'lightgbm']) AS family)
 SELECT family, dataset, count(*) AS rows_scored, 0 AS null_predictions, true AS better_than_worst,
-       CASE WHEN family = 'lightgbm' THEN 'num_leaves' ELSE '' END AS ignored
+       '' AS ignored
 FROM sp, fm GROUP BY family, dataset""")
 def boosting_invariants(spark, sf_dir):
-    """M12 (and Spark's boosting under the other families' parameter names):
-    every row scored; the error is under that of the farthest constant in the
-    label's range; what each family ignores."""
+    """Every row scored; the error is under that of the farthest
+    constant in the label's range; no family ignores a parameter."""
     vec, _ = _vec(spark, sf_dir)
     out = None
-    for fam in ("gradient_boosting", "xgboost", "lightgbm"):
-        model, report = MD.fit(vec.where(F.col("split") == "train"), fam, "updrs_1", _SMALL[fam])
+    families = ("gradient_boosting", "xgboost", "lightgbm")
+    fitted = MD.TrainData(vec.where(F.col("split") == "train"), ["updrs_1"]).fits(
+        [(fam, "updrs_1", _SMALL[fam], 0) for fam in families])
+    for fam, (model, report) in zip(families, fitted):
         y, p = F.col("updrs_1"), F.col("p")
         got = MD.predict(model, vec).groupBy(F.col("split").alias("dataset")).agg(
             F.lit(fam).alias("family"), F.count(F.lit(1)).alias("rows_scored"),
@@ -161,44 +163,6 @@ def unseen_month_invariants(spark, sf_dir):
     return out
 
 
-@register("tree_learning_curve", f"""
-SELECT i AS size_index, [{", ".join(map(str, SP.TRAIN_SIZES))}][i + 1]::DOUBLE AS fraction, kind,
-       true AS score_at_most_one, true AS spread_known
-FROM (SELECT unnest(range({len(SP.TRAIN_SIZES)}))::INTEGER AS i),
-     (SELECT unnest(['train', 'val']) AS kind)
-WHERE (SELECT count(*) FROM lineitem) > 0""")
-def tree_learning_curve(spark, sf_dir):
-    """M23 with small forests (2 folds, 2 trees): invariants only, no score;
-    the scores are in evaluate_tree_learning_curve."""
-    vec, _ = _vec(spark, sf_dir)
-    lc = MD.learning_curve(vec.where(F.col("split") == "train"), "random_forest", "updrs_1",
-                           {"n_estimators": 2, "max_depth": 3}, k=2)
-    return lc.select("size_index", "fraction", "kind",
-                     (F.col("score_mean") <= 1).alias("score_at_most_one"),
-                     F.col("score_std").isNotNull().alias("spread_known"))
-
-
-@register("best_tree_family", """
-SELECT 2 AS families, true AS chosen_is_least FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0""")
-def best_tree_family(spark, sf_dir):
-    """A21 with small models of two families: an invariant of the choice; the
-    choice itself is in evaluate_tree_families."""
-    vec, _ = _vec(spark, sf_dir)
-    out = None
-    for fam in ("random_forest", "gradient_boosting"):
-        models = MD.fit_all_targets(vec, fam, {t: {"n_estimators": 2, "max_depth": 3}
-                                               for t in Q.TARGETS})
-        pred = MD.long_predictions(vec, models, datasets=["test"]).withColumn("family", F.lit(fam))
-        out = pred if out is None else out.unionByName(pred)
-    ev = store(M.evaluate(out, by=["family", "target"], metrics=["rmse"]), "rmse")
-    best = M.best_family(ev, "rmse")
-    means = ev.groupBy("family").agg(F.avg("rmse").alias("m"))
-    return means.agg(F.count(F.lit(1)).cast("int").alias("families"), F.min("m").alias("m"),
-                     F.min_by("family", "m").alias("f")).join(
-        best, F.col("f") == F.col("family")).select(
-        "families", (F.col("m") == F.col("mean_rmse")).alias("chosen_is_least"))
-
-
 @register("evaluate_tree_learning_curve", None)
 def evaluate_tree_learning_curve(spark, sf_dir):
     """M23 with the default forest: 5 folds x 5 nested train sizes; mean and
@@ -211,17 +175,20 @@ def evaluate_tree_learning_curve(spark, sf_dir):
 @register("evaluate_tree_families", None)
 def evaluate_tree_families(spark, sf_dir):
     """A21 with trained models: mean test rmse over four targets of all four
-    families with their default parameters, and the one with the least chosen."""
+    families with their default parameters, and the one with the least chosen.
+    The rows are binned once and all sixteen models grow in the same rounds."""
     vec, _ = _vec(spark, sf_dir)
+    jobs = [(fam, t, None, 0) for fam in MD.FAMILIES for t in Q.TARGETS]
+    fitted = MD.TrainData(vec.where(F.col("split") == "train"), Q.TARGETS).fits(jobs)
     out = None
     for fam in MD.FAMILIES:
-        models = MD.fit_all_targets(vec, fam, {t: MD.default_params(fam) for t in Q.TARGETS})
+        models = {t: m for (f, t, _, _), m in zip(jobs, fitted) if f == fam}
         pred = MD.long_predictions(vec, models, datasets=["test"]).withColumn("family", F.lit(fam))
         out = pred if out is None else out.unionByName(pred)
     ev = store(M.evaluate(out, by=["family", "target"], metrics=["rmse"]), "rmse")
     best = M.best_family(ev, "rmse").select(F.col("family").alias("best"))
     means = ev.groupBy("family").agg(F.avg("rmse").alias("mean_rmse"))
-    return means.join(F.broadcast(best), F.col("family") == F.col("best"), "left").select(
+    return means.join(best, F.col("family") == F.col("best"), "left").select(
         "family", "mean_rmse", F.col("best").isNotNull().alias("chosen"))
 
 

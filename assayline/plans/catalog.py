@@ -54,7 +54,7 @@ def _load_all():
     from assayline.plans import (queries_annotation, queries_clean,  # noqa: F401
                                  queries_features,
                                  queries_metrics, queries_outliers, queries_reports,
-                                 queries_models, queries_split)
+                                 queries_models, queries_split, queries_trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -175,17 +175,28 @@ def evaluate_unseen_month(tables: AssayTables, models: dict, features_used, mont
 
 
 def tune_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
-                n_trials: int = 5, targets=TARGETS, seed: int = 42, vec=None):
-    """Random search on val, refit on train + val; returns
-    (models, best-parameter table, trial table)."""
+                n_trials: int = 5, targets=TARGETS, seed: int = 42, vec=None,
+                trials_folder: str | None = None, run: str = "run_1"):
+    """Adaptive search on val, refit on train + val; returns
+    (models, best-parameter table, trial table). With ``trials_folder`` every
+    trial is stored as it ends, and a search of the same run that was cut off
+    goes on from its stored trials."""
     from assayline.operators import tuning as TU
+    from assayline.sources import files as FS
     spark = tables.peptides.sparkSession
     if vec is None:
         vec, _ = prepared_vectors(tables, month, "64_16_20", seed)
     trials = TU.sample_trials(spark, family, n_trials, seed)
     models, tables_, best_rows = {}, [], []
     for t in targets:
-        hist = TU.run_trials(vec, family, t, trials, seed=seed)
+        done, commit = (), None
+        if trials_folder is not None:
+            done = FS.committed_trials(spark, trials_folder, run, family, t)
+
+            def commit(trial, t=t):
+                FS.commit_trial(TU.trial_table(spark, family, t, [trial]), trials_folder, run)
+
+        hist = TU.run_trials(vec, family, t, trials, seed=seed, done=done, commit=commit)
         tables_.append(TU.trial_table(spark, family, t, hist))
         best = TU.best_of(hist)
         if best is not None:

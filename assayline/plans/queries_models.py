@@ -8,6 +8,8 @@ fixed predictor, which SQL can follow.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from assayline.operators import metrics as M
@@ -192,18 +194,72 @@ def evaluate_tree_families(spark, sf_dir):
         "family", "mean_rmse", F.col("best").isNotNull().alias("chosen"))
 
 
-# Search on the fixed predictor: the same draws, early stop and choice in SQL.
-_N_TRIALS = 12
-_U = "(('0x' || substr(md5('42|group_mean|' || trial || '|weight'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+# Search on the fixed predictor: the same draws, proposals, early stop and choice in SQL.
+_N_TRIALS = 16
+
+
+def _u(*keys: str) -> str:
+    return ("(('0x' || substr(md5(" + " || '|' || ".join(keys) + "), 1, 8))::UBIGINT::DOUBLE "
+            "/ 4294967296.0)")
+
+
+def _parzen(rows: str) -> str:
+    """Kernels (target, k, at, s) of the places of ``rows`` (target, x, trial)."""
+    wide = math.sqrt(3.0) / math.pi
+    return f"""
+  SELECT target, k, x AS mid, {wide!r} * least(1.0, greatest(1.0 / least(100, n + 2),
+         x - coalesce(lag(x) OVER w, 0.0), coalesce(lead(x) OVER w, 1.0) - x)) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY x, trial) - 1 AS k,
+               count(*) OVER (PARTITION BY target) AS n FROM ({rows}))
+  WINDOW w AS (PARTITION BY target ORDER BY k)
+  UNION ALL SELECT target, count(*), 0.5, {wide!r} FROM ({rows}) GROUP BY target"""
+
+
+def _cdf(u: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({u} - mid) / s)))"
+
+
+def _proposal_sql(k: int) -> str:
+    """Trial ``k`` after the trials before it: CTE h{k} (target, trial, weight, value)."""
+    density = f"avg({_cdf('u')} * (1.0 - {_cdf('u')}) / s / ({_cdf('1.0')} - {_cdf('0.0')}))"
+    best = min(TU.BEST_MOST, max(1, math.ceil(TU.BEST_SHARE * k)))
+    before = " UNION ALL ".join(f"SELECT * FROM h{j}" for j in range(TU.STARTUP - 1, k))
+    keys = ("'42'", "'group_mean'", f"'{k}'", "'weight'", "c::VARCHAR")
+    return f""",
+o{k} AS MATERIALIZED (SELECT target, weight AS x, trial,
+  row_number() OVER (PARTITION BY target ORDER BY value, trial) <= {best} AS good FROM ({before})),
+a{k} AS MATERIALIZED ({_parzen(f"SELECT * FROM o{k} WHERE good")}),
+b{k} AS MATERIALIZED ({_parzen(f"SELECT * FROM o{k} WHERE NOT good")}),
+c{k} AS MATERIALIZED (
+  SELECT target, c, least(1.0, greatest(0.0, mid + s * ln(q / (1.0 - q)))) AS u FROM (
+    SELECT d.target, d.c, mid, s, {_cdf('0.0')} + d.v * ({_cdf('1.0')} - {_cdf('0.0')}) AS q
+    FROM (SELECT target, c, least(floor({_u(*keys, "'kernel'")} * n), n - 1) AS k,
+                 {_u(*keys, "'place'")} AS v
+          FROM (SELECT target, count(*) AS n FROM a{k} GROUP BY target), range({TU.CANDIDATES}) AS r(c)) d
+    JOIN a{k} USING (target, k))),
+e{k} AS MATERIALIZED (SELECT target, arg_max(u, (l - g, -c)) AS weight FROM (
+  SELECT target, c, u, (SELECT ln({density}) FROM a{k} WHERE a{k}.target = c{k}.target) AS l,
+         (SELECT ln({density}) FROM b{k} WHERE b{k}.target = c{k}.target) AS g FROM c{k})
+  GROUP BY target),
+h{k} AS MATERIALIZED (SELECT target, {k} AS trial, any_value(weight) AS weight,
+  {QM._SMAPE} AS value FROM (
+    SELECT v0.target, e.weight, v0.y, e.weight * v0.p0 + (1.0 - e.weight) * v0.overall AS p
+    FROM v0 JOIN e{k} e USING (target)) GROUP BY target)"""
+
+
 _SEARCH_SQL = QM._long_sql("UniProt").replace(Q.split_case(2000, 0), Q.split_case(2000, 1600)) + f""",
 ov AS (SELECT target, avg(y) AS overall FROM lg WHERE split = 'train' GROUP BY target),
-tr AS (SELECT i::INTEGER AS trial, i::VARCHAR AS t_ FROM range({_N_TRIALS}) AS r(i)),
-dr AS (SELECT trial, {_U.replace("trial", "t_")} AS weight FROM tr),
-vl AS (SELECT pr.target, dr.trial, dr.weight, pr.y,
-              dr.weight * coalesce(pr.p, ov.overall) + (1.0 - dr.weight) * ov.overall AS p
-       FROM pr JOIN ov USING (target), dr WHERE pr.dataset = 'val'),
-sm AS (SELECT target, trial, any_value(weight) AS weight, {QM._SMAPE} AS value
-       FROM vl GROUP BY target, trial)"""
+v0 AS MATERIALIZED (SELECT pr.target, pr.y, coalesce(pr.p, ov.overall) AS p0, ov.overall
+                    FROM pr JOIN ov USING (target) WHERE pr.dataset = 'val'),
+tr AS (SELECT i::INTEGER AS trial, i::VARCHAR AS t_ FROM range({TU.STARTUP}) AS r(i)),
+dr AS (SELECT trial, {_u("'42'", "'group_mean'", "t_", "'weight'")} AS weight FROM tr),
+vl AS (SELECT v0.target, dr.trial, dr.weight, v0.y,
+              dr.weight * v0.p0 + (1.0 - dr.weight) * v0.overall AS p FROM v0, dr),
+h{TU.STARTUP - 1} AS MATERIALIZED (
+  SELECT target, trial, any_value(weight) AS weight, {QM._SMAPE} AS value
+  FROM vl GROUP BY target, trial)""" + "".join(
+    _proposal_sql(k) for k in range(TU.STARTUP, _N_TRIALS)) + f""",
+sm AS ({" UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(TU.STARTUP - 1, _N_TRIALS))})"""
 _STOP_SQL = f""",
 st AS (
   WITH RECURSIVE s(target, trial, weight, value, best, k) AS (
@@ -217,14 +273,14 @@ st AS (
   SELECT * FROM s)"""
 
 
-def _search(spark, sf_dir):
+def _search(spark, sf_dir, rounds=TU.EARLY_STOP_ROUNDS):
     """Trial table of the fixed predictor's search."""
     df = flows.clean(load_tables(spark, sf_dir), MONTH, keep_visit_keys=True)
     keys = ["visit_id", "UniProt", "Peptide"]
     long = M.long_labels(SP.assign_split(df.select(*keys, *Q.TARGETS), "64_16_20"),
                          keep=[*keys, "split"])
     hist = TU.shrinkage_history(store(long, "long"), ["UniProt"],
-                                TU.sample_trials(spark, "group_mean", _N_TRIALS))
+                                TU.sample_trials(spark, "group_mean", _N_TRIALS), rounds)
     out = None
     for t in sorted(hist):
         part = TU.trial_table(spark, "group_mean", t, hist[t])
@@ -236,11 +292,21 @@ def _search(spark, sf_dir):
 SELECT 'group_mean' AS family, target, trial, weight, value FROM st""",
           rounded=("weight", "value"))
 def shrinkage_search(spark, sf_dir):
-    """Seeded draws, validation SMAPE, early stop, per target."""
+    """Seeded draws, then proposals of the Parzen estimator, validation
+    SMAPE, early stop, per target."""
     return _search(spark, sf_dir).select("family", "target", "trial",
                                          F.col("params")["weight"].alias("weight"), "value")
 
 
+@register("adaptive_search", _SEARCH_SQL + """
+SELECT 'group_mean' AS family, target, trial, weight, value FROM sm""", rounded=("weight", "value"))
+def adaptive_search(spark, sf_dir):
+    """The same search without early stop: ten random trials a target,
+    then six proposals, each after the values of all trials before it."""
+    return _search(spark, sf_dir, rounds=_N_TRIALS).select(
+        "family", "target", "trial", F.col("params")["weight"].alias("weight"), "value")
+
+
 @register("trial_round_trip", _SEARCH_SQL + _STOP_SQL + """
 SELECT 'run_a' AS run, target, count(*) AS trials, arg_min(trial, (value, trial)) AS best_trial,
        min(value) AS best_value FROM st GROUP BY target
@@ -329,12 +395,13 @@ def evaluate_unseen_month_36(spark, sf_dir):
 
 @register("tune_random_forest", None)
 def tune_random_forest(spark, sf_dir):
-    """L9 (M19-M22, T5, S8, S11): 5 random-search trials per target, early
-    stopping, refit on train + val; trial table saved, read back, best
+    """L9 (M19-M22, T5, S8, S11): 5 trials per target, each stored as it ends,
+    early stopping, refit on train + val; trial table saved, read back, best
     trial per target."""
     tables = load_tables(spark, sf_dir)
-    _, best, trials = flows.tune_family(tables, "random_forest", MONTH, n_trials=5)
     root = FS.output_root(spark, "tuning")
+    _, best, trials = flows.tune_family(tables, "random_forest", MONTH, n_trials=5,
+                                        trials_folder=f"{root}/search")
     FS.append_trials(trials, f"{root}/trials", "run_1")
     FS.write_params(best, f"{root}/params")
     return TU.best_trial(FS.read_trials(spark, f"{root}/trials"))

@@ -1,13 +1,14 @@
 """Protein annotation operators: J7-J9, F7-F12.
 
-Joins to one-row-per-protein snapshot tables; the alignment score is an
-Arrow-batched pandas UDF whose dynamic programme runs vectorised over the
-whole batch (numpy), one pair per row.
+Joins to snapshot tables of one row per protein segment; the alignment is an
+Arrow-batched pandas UDF over distinct pairs, whose dynamic programme handles
+a whole row of letters in one step (bit-parallel).
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,66 +105,110 @@ def go_map(terms: DataFrame, uniprot: str = "UniProt") -> DataFrame:
         .alias("go_terms"))
 
 
-#: Cells (rows x letters) of one block of the alignment programme.
-BLOCK_CELLS = 1 << 20
-
-
-def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
-    out = np.full((len(texts), width), fill, np.int64)
-    for i, s in enumerate(texts):
-        out[i, :len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return out
-
-
-def _lcs_block(aa: list[str], bb: list[str]) -> np.ndarray:
-    """LCS lengths of a block of pairs. A row of the programme is the running
-    maximum of its candidates, so one step per letter of the longest a."""
-    la, lb = max(map(len, aa)), max(map(len, bb))
-    a, b = _codes(aa, la, -1), _codes(bb, lb, -2)
-    row = np.zeros((len(aa), lb + 1), np.int32)
-    for i in range(la):
-        step = np.where(b == a[:, i:i + 1], row[:, :-1] + 1, row[:, 1:])
-        row[:, 1:] = np.maximum.accumulate(step, axis=1)
-    return row[:, -1]
-
-
-def _lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-common-subsequence length of each (a, b) pair, null where one
-    is null. Pairs of like length share a block of bounded size, so one long
-    text does not widen the others."""
-    res = pd.array([None] * len(a), dtype="Int64")
-    rows = np.flatnonzero((~a.isna() & ~b.isna()).to_numpy())
-    aa, bb = a.to_numpy(), b.to_numpy()
-    rows = rows[np.argsort([len(aa[i]) + len(bb[i]) for i in rows], kind="stable")] if len(rows) \
-        else rows
-    lo = 0
-    while lo < len(rows):
-        hi, width = lo, 1
-        while hi < len(rows):
-            wider = max(width, len(aa[rows[hi]]), len(bb[rows[hi]]))
-            if hi > lo and wider * (hi - lo + 1) > BLOCK_CELLS:
-                break
-            hi, width = hi + 1, wider
-        own = rows[lo:hi]
-        res[own] = _lcs_block([aa[i] for i in own], [bb[i] for i in own])
-        lo = hi
-    return pd.Series(res)
+def _lcs_bits(a: str, b: str):
+    """Rows of the longest-common-subsequence programme of a against b, one bit
+    a letter of b (bit-parallel, Hyyro 2004): a cleared bit is a place where the
+    row's length grows. Returns the letters' bit masks and a step function."""
+    masks: dict = {}
+    for j, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def step(row: int, c: str) -> int:
+        m = row & masks.get(c, 0)
+        return ((row + m) | (row - m)) & full
+
+    return full, step
+
+
+def lcs_length(a: str, b: str) -> int:
+    row, step = _lcs_bits(a, b)
+    for c in a:
+        row = step(row, c)
+    return len(b) - row.bit_count()
+
+
+def align(a: str, b: str) -> tuple[int, str, str]:
+    """(score, aligned a, aligned b) with match 1, mismatch 0, gap 0.
+
+    Of the optimal alignments it is the one that, read from the right, matches
+    equal letters, else leaves a gap in b if that costs nothing, else in a.
+    Every isqrt(len(a))-th row is kept and the rows between two of them are
+    computed again on the way back, so memory is len(b) * sqrt(len(a)) bits."""
+    first, step = _lcs_bits(a, b)
+    every = max(1, math.isqrt(len(a)))
+    kept, row = [first], first
+    for i, c in enumerate(a, 1):
+        row = step(row, c)
+        if i % every == 0:
+            kept.append(row)
+    score = len(b) - row.bit_count()
+    i, j, length = len(a), len(b), score
+    rows, start = [], len(a) + 1
+    out_a, out_b = [], []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j, length = i - 1, j - 1, length - 1
+            out_a.append(a[i])
+            out_b.append(b[j])
+            continue
+        if i - 1 < start:  # the block of rows that holds row i - 1
+            start = (i - 1) // every * every
+            rows = [kept[start // every]]
+            for c in a[start:i - 1]:
+                rows.append(step(rows[-1], c))
+        above = j - (rows[i - 1 - start] & ((1 << j) - 1)).bit_count()
+        if above == length:
+            i -= 1
+            out_a.append(a[i])
+            out_b.append("-")
+        else:
+            j -= 1
+            out_a.append("-")
+            out_b.append(b[j])
+    out_a += a[:i][::-1] + "-" * j
+    out_b += "-" * i + b[:j][::-1]
+    return score, "".join(out_a)[::-1], "".join(out_b)[::-1]
 
 
 @F.pandas_udf(T.LongType())
 def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """optimal pairwise alignment score with match 1, mismatch 0, gap 0
-    (the aligner's defaults): the LCS length, in local and global mode alike."""
-    return _lcs_lengths(a, b)
+    (the aligner's defaults): the LCS length, in local and global mode alike.
+    Null where one is null."""
+    return pd.Series([None if x is None or y is None else lcs_length(x, y)
+                      for x, y in zip(a, b)], dtype="Int64")
 
 
-def next_pairs(df: DataFrame, by: list[str], order: list[str], peptide: str) -> DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("score", T.LongType()),
+                            T.StructField("aligned_a", T.StringType()),
+                            T.StructField("aligned_b", T.StringType())]))
+def alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """:func:`align` of every pair; nulls where one is null."""
+    rows = [(None, None, None) if x is None or y is None else align(x, y) for x, y in zip(a, b)]
+    out = pd.DataFrame(rows, columns=["score", "aligned_a", "aligned_b"])
+    return out.astype({"score": "Int64"})
+
+
+def pair_rows(df: DataFrame, by: list[str], order: list[str], peptide: str) -> DataFrame:
     """J9 (re-aimed): each row with the next row of its group (one shuffle, no
-    self-join), scored by F12. Only distinct pairs are scored; rows without a
-    next row are left out."""
+    self-join); rows without a next row are left out."""
     w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.select("*", F.col(peptide).alias("peptide_a"),
+    return df.select("*", F.col(peptide).alias("peptide_a"),
                      F.lead(peptide).over(w).alias("peptide_b")).where("peptide_b is not null")
+
+
+def pair_alignments(rows: DataFrame) -> DataFrame:
+    """Distinct (peptide_a, peptide_b) of :func:`pair_rows` with their score and
+    aligned strings."""
+    pairs = rows.select("peptide_a", "peptide_b").distinct()
+    return pairs.withColumn("_al", alignment("peptide_a", "peptide_b")).select(
+        "peptide_a", "peptide_b", "_al.*")
+
+
+def next_pairs(df: DataFrame, by: list[str], order: list[str], peptide: str) -> DataFrame:
+    """:func:`pair_rows` scored by F12. Only distinct pairs are scored."""
+    rows = pair_rows(df, by, order, peptide)
     pairs = rows.select("peptide_a", "peptide_b").distinct()
     scores = pairs.withColumn("score", alignment_score("peptide_a", "peptide_b"))
     return rows.join(scores, ["peptide_a", "peptide_b"])

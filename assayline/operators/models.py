@@ -294,7 +294,7 @@ def learning_curve(vec: DataFrame, family: str, label: str, params: dict | None
                    sizes: Sequence[float] = SP.TRAIN_SIZES, k: int = 5, seed: int = SEED,
                    scoring: str = "r2") -> DataFrame:
     """M23 + A23: for each train size and fold, fit on that share of the other
-    folds (nested hash subsets), score train and validation rows (r2, or
+    folds (nested hash subsets, whose sizes are approximate), score train and validation rows (r2, or
     negative mse), then mean and population std over folds per size.
 
     No row is copied per fit: each carries a mask of the fits it trains, all

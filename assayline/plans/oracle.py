@@ -152,14 +152,24 @@ def bucket(seed: int, *keys: str) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {cat})), 1, 8) AS BIGINT) % 10000)"
 
 
-def split_case(test: int, val: int, seed: int = 42,
-               keys=("visit_id", "UniProt", "Peptide")) -> str:
-    b = bucket(seed, *keys)
-    return (f"CASE WHEN {b} < {test} THEN 'test' WHEN {b} < {test + val} THEN 'val' "
+def row_hash(seed: int, *keys: str) -> str:
+    cat = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"md5(concat_ws('|', '{seed}', {cat}))"
+
+
+def split_case(test: float = 0.2, val: float = 0.0, seed: int = 42,
+               keys=("visit_id", "UniProt", "Peptide"), units: bool = False) -> str:
+    """Exact sizes by the order of hashes; ``units``: the keys are split, not the rows."""
+    h = row_hash(seed, *keys)
+    n = f"(count(DISTINCT {h}) OVER ())" if units else "(count(*) OVER ())"
+    r = f"(dense_rank() OVER (ORDER BY {h}))" if units else f"(row_number() OVER (ORDER BY {h}))"
+    nt = f"ceil({test}::DOUBLE * {n})"
+    nv = f"ceil({val}::DOUBLE * ({n} - {nt}))"
+    return (f"CASE WHEN {r} <= {nt} THEN 'test' WHEN {r} <= {nt} + {nv} THEN 'val' "
             f"ELSE 'train' END")
 
 
-def prepared(month: int = 24, test: int = 2000, val: int = 0, seed: int = 42) -> str:
+def prepared(month: int = 24, test: float = 0.2, val: float = 0.0, seed: int = 42) -> str:
     """features with keys + split + min-max scaling fitted on train: CTE ``prep``."""
     s = features(month, keep_keys=True)
     mm = ", ".join(f"min({c}) AS {c}__lo, max({c}) AS {c}__hi" for c in FEATURE_DOUBLES)

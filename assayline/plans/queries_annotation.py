@@ -120,6 +120,46 @@ def peptide_pair_scores(spark, sf_dir):
         "l_orderkey", "l_linenumber", "peptide_a", "peptide_b", "score")
 
 
+@register("peptide_pair_alignments", f"""
+WITH RECURSIVE named AS (
+  SELECT l_orderkey, {_RES.format(c='p_name')} AS peptide_a,
+         lead({_RES.format(c='p_name')}) OVER (PARTITION BY l_orderkey
+              ORDER BY {", ".join(_LINE_ORDER)}) AS peptide_b
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+pairs AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (
+  SELECT DISTINCT peptide_a AS a, peptide_b AS b FROM named WHERE peptide_b IS NOT NULL)),
+m AS (
+  SELECT id, a, b, 0 AS i, [0 for x in range(len(b) + 1)] AS row FROM pairs
+  UNION ALL
+  SELECT id, a, b, i + 1, list_prepend(0, [list_max(
+    [CASE WHEN b[k] = a[i + 1] THEN row[k] + 1 ELSE row[k + 1] END FOR k IN range(1, j + 1)])
+    FOR j IN range(1, len(b) + 1)])
+  FROM m WHERE i < len(a)),
+w AS MATERIALIZED (SELECT * FROM m),
+t AS (
+  SELECT id, a, b, len(a) AS i, len(b) AS j, '' AS x, '' AS y FROM pairs
+  UNION ALL
+  SELECT t.id, t.a, t.b,
+    CASE WHEN t.i = 0 THEN 0 WHEN t.j = 0 OR a1 OR a2 THEN t.i - 1 ELSE t.i END,
+    CASE WHEN t.j = 0 THEN 0 WHEN t.i = 0 OR a1 OR NOT a2 THEN t.j - 1 ELSE t.j END,
+    CASE WHEN t.i > 0 AND (t.j = 0 OR a1 OR a2) THEN t.a[t.i] ELSE '-' END || t.x,
+    CASE WHEN t.j > 0 AND (t.i = 0 OR a1 OR NOT a2) THEN t.b[t.j] ELSE '-' END || t.y
+  FROM (SELECT t.*, t.i > 0 AND t.j > 0 AND t.a[t.i] = t.b[t.j] AS a1,
+               coalesce(up.row[t.j + 1] = own.row[t.j + 1], false) AS a2
+        FROM t JOIN w own ON own.id = t.id AND own.i = t.i
+        LEFT JOIN w up ON up.id = t.id AND up.i = t.i - 1
+        WHERE t.i > 0 OR t.j > 0) t)
+SELECT t.a AS peptide_a, t.b AS peptide_b, CAST(w.row[-1] AS BIGINT) AS score,
+       t.x AS aligned_a, t.y AS aligned_b
+FROM t JOIN w ON w.id = t.id AND w.i = len(t.a) WHERE t.i = 0 AND t.j = 0""")
+def peptide_pair_alignments(spark, sf_dir):
+    """J9 + F12: every distinct pair of peptides of neighbouring lines, aligned."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE_ORDER)
+    pt = _read(spark, sf_dir, "part").select("p_partkey", SA.residues("p_name").alias("pep"))
+    named = li.join(pt, li.l_partkey == pt.p_partkey)
+    return AN.pair_alignments(AN.pair_rows(named, ["l_orderkey"], list(_LINE_ORDER), "pep"))
+
+
 # F14 / F15 -------------------------------------------------------------------------------
 _LONG_SQL = Q.with_() + """,
 m AS (SELECT * FROM clinical WHERE visit_month = 24),

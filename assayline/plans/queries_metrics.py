@@ -41,7 +41,7 @@ def _long_sql(group="UniProt"):
     gjoin = f" AND lg.{group} = mdl.{group}" if group else ""
     gby = f", {group}" if group else ""
     return Q.with_(Q.clean(MONTH)) + f""",
-sp AS (SELECT *, {Q.split_case(2000, 0)} AS split FROM cleaned),
+sp AS (SELECT *, {Q.split_case()} AS split FROM cleaned),
 lg AS ({lg}),
 mdl AS (SELECT target, {gsel}avg(y) AS p FROM lg WHERE split = 'train' GROUP BY target{gby}),
 pr AS (SELECT lg.visit_id, lg.UniProt, lg.Peptide, lg.split AS dataset, lg.target, lg.y, mdl.p
@@ -144,7 +144,7 @@ def _family_sql():
         sel.append(f"SELECT '{fam}' AS family, lg.target, lg.y, m.p FROM lg LEFT JOIN {m} m ON {on} "
                    f"WHERE lg.split = 'test'")
     return Q.with_(Q.clean(MONTH)) + f""",
-sp AS (SELECT *, {Q.split_case(2000, 0)} AS split FROM cleaned),
+sp AS (SELECT *, {Q.split_case()} AS split FROM cleaned),
 lg AS ({lg}),
 pr AS ({' UNION ALL '.join(sel)}),
 ev AS (SELECT family, target, sqrt(avg(pow(y - p, 2))) AS rmse FROM pr GROUP BY family, target),
@@ -176,7 +176,7 @@ def _lc_sql():
     fold = Q.bucket(42, "visit_id", "UniProt", "Peptide")
     sub = Q.bucket(43, "visit_id", "UniProt", "Peptide")
     return Q.with_(Q.clean(MONTH)) + f""",
-tr AS (SELECT * FROM cleaned WHERE {Q.bucket(42, 'visit_id', 'UniProt', 'Peptide')} >= 2000),
+tr AS (SELECT * FROM (SELECT *, {Q.split_case()} AS split FROM cleaned) WHERE split = 'train'),
 lg AS (SELECT *, {fold} % 5 AS fold, {sub} AS sub FROM ({lg}) AS x),
 combos AS (SELECT * FROM (VALUES {sizes}) AS s(size_index, fraction),
            (VALUES (0), (1), (2), (3), (4)) AS f(k)),

@@ -79,7 +79,7 @@ def _checked(vec, models, loaded):
 
 
 _ROWS_SQL = Q.with_(Q.clean(MONTH)) + f""",
-sp AS (SELECT {Q.split_case(2000, 0)} AS dataset FROM cleaned),
+sp AS (SELECT {Q.split_case()} AS dataset FROM cleaned),
 tg AS (SELECT unnest({list(Q.TARGETS)}) AS target)"""
 
 
@@ -145,7 +145,7 @@ def importance_invariants(spark, sf_dir):
 
 
 @register("unseen_month_invariants", Q.with_(Q.clean(36)) + f""",
-sp AS (SELECT {Q.split_case(2000, 0)} AS dataset FROM cleaned),
+sp AS (SELECT {Q.split_case()} AS dataset FROM cleaned),
 tg AS (SELECT unnest({list(Q.TARGETS)}) AS target),
 sc AS (SELECT unnest(['test', 'all']) AS scope)
 SELECT scope, target, count_if(scope = 'all' OR dataset = 'test') AS rows_scored,
@@ -247,7 +247,7 @@ h{k} AS MATERIALIZED (SELECT target, {k} AS trial, any_value(weight) AS weight,
     FROM v0 JOIN e{k} e USING (target)) GROUP BY target)"""
 
 
-_SEARCH_SQL = QM._long_sql("UniProt").replace(Q.split_case(2000, 0), Q.split_case(2000, 1600)) + f""",
+_SEARCH_SQL = QM._long_sql("UniProt").replace(Q.split_case(), Q.split_case(0.2, 0.2)) + f""",
 ov AS (SELECT target, avg(y) AS overall FROM lg WHERE split = 'train' GROUP BY target),
 v0 AS MATERIALIZED (SELECT pr.target, pr.y, coalesce(pr.p, ov.overall) AS p0, ov.overall
                     FROM pr JOIN ov USING (target) WHERE pr.dataset = 'val'),

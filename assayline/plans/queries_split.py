@@ -23,7 +23,7 @@ def _clean(spark, sf_dir):
 def _split_query(name, scheme, by_patient=False):
     test, val = SP.SCHEMES[scheme]
     keys = ("patient_id",) if by_patient else ("visit_id", "UniProt", "Peptide")
-    sql = _CLEAN + f"\nSELECT visit_id, UniProt, Peptide, patient_id, {Q.split_case(test, val, 42, keys)} AS split FROM cleaned"
+    sql = _CLEAN + f"\nSELECT visit_id, UniProt, Peptide, patient_id, {Q.split_case(test, val, 42, keys, by_patient)} AS split FROM cleaned"
 
     @register(name, sql)
     def _q(spark, sf_dir):
@@ -47,15 +47,14 @@ def kfold5(spark, sf_dir):
     return SP.assign_folds(_clean(spark, sf_dir).select(*_KEYS))
 
 
-@register("train_size_subsets", _CLEAN + """,
-tr AS (SELECT * FROM cleaned WHERE """ + Q.bucket(42, "visit_id", "UniProt", "Peptide")
-          + """ >= 2000),
-sizes AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {f})" for i, f in enumerate(SP.TRAIN_SIZES))
-          + """) AS v(size_index, fraction))
-SELECT size_index, CAST(fraction AS DOUBLE) AS fraction, count(tr.visit_id) AS n_rows
-FROM sizes LEFT JOIN tr ON """ + Q.bucket(43, "tr.visit_id", "tr.UniProt", "tr.Peptide")
-          + """ < CAST(round(fraction * 10000) AS BIGINT)
-GROUP BY size_index, fraction""")
+@register("train_size_subsets", _CLEAN + f""",
+tr AS (SELECT row_number() OVER (ORDER BY {Q.row_hash(43, 'visit_id', 'UniProt', 'Peptide')}) AS r,
+              count(*) OVER () AS n
+       FROM (SELECT *, {Q.split_case()} AS split FROM cleaned) WHERE split = 'train'),
+sizes AS (SELECT * FROM (VALUES {", ".join(f"({i}, {f}::DOUBLE)" for i, f in enumerate(SP.TRAIN_SIZES))})
+          AS v(size_index, fraction))
+SELECT size_index, fraction, count(tr.r) AS n_rows
+FROM sizes LEFT JOIN tr ON tr.r <= floor(fraction * tr.n) GROUP BY size_index, fraction""")
 def train_size_subsets(spark, sf_dir):
     """Rows of each nested train subset (80/20 train part)."""
     tr = SP.assign_split(_clean(spark, sf_dir).select(*_KEYS), "80_20").where(
@@ -65,7 +64,7 @@ def train_size_subsets(spark, sf_dir):
 
 @register("union_train_val", _CLEAN + f"""
 SELECT visit_id, UniProt, Peptide, split FROM (
-  SELECT *, {Q.split_case(2000, 2000)} AS split FROM cleaned) AS s WHERE split IN ('train', 'val')""")
+  SELECT *, {Q.split_case(0.2, 0.25)} AS split FROM cleaned) AS s WHERE split IN ('train', 'val')""")
 def union_train_val(spark, sf_dir):
     """U4 on the 60/20/20 split."""
     df = SP.assign_split(_clean(spark, sf_dir).select(*_KEYS), "60_20_20")
@@ -134,7 +133,7 @@ def _fit_sql(kind):
     else:
         sel = lambda c: f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std FROM sp WHERE split = 'train'"
     return (Q.with_(Q.features(MONTH, keep_keys=True))
-            + f",\nsp AS (SELECT *, {Q.split_case(2000, 0)} AS split FROM feat)\n"
+            + f",\nsp AS (SELECT *, {Q.split_case()} AS split FROM feat)\n"
             + "\nUNION ALL\n".join(sel(c) for c in feats))
 
 
@@ -166,7 +165,7 @@ def _standard_sql():
     sc = ", ".join(f"(sp.{c} - st.{c}__m) / (CASE WHEN st.{c}__s = 0 THEN 1.0 ELSE st.{c}__s END) "
                    f"AS {c}" for c in _STD_SCALED)
     return (Q.with_(Q.features(MONTH, keep_keys=True))
-            + f",\nsp AS (SELECT *, {Q.split_case(2000, 0)} AS split FROM feat),\n"
+            + f",\nsp AS (SELECT *, {Q.split_case()} AS split FROM feat),\n"
             + f"st AS (SELECT {st} FROM sp WHERE split = 'train')\n"
             + f"SELECT {sc}, " + ", ".join(f"sp.{c}" for c in _STD_PASS)
             + ", sp.visit_id, sp.visit_month, sp.UniProt, sp.Peptide, sp.split, "

@@ -113,7 +113,7 @@ def _sql(family: str, params: dict, levels: int) -> str:
                      for i, c in enumerate(FEATURES))
     return Q.with_(Q.clean(MONTH)) + f""",
 src AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM (
-  SELECT *, {Q._ratio()} AS Peptide_per_Protein, {Q.split_case(2000, 0)} AS ds FROM cleaned)
+  SELECT *, {Q._ratio()} AS Peptide_per_Protein, {Q.split_case()} AS ds FROM cleaned)
   WHERE ds = 'train'),
 lab AS MATERIALIZED (SELECT rid, {LABEL}::DOUBLE AS y FROM src),
 rows AS MATERIALIZED (SELECT rid, u.f, u.x FROM (SELECT rid, unnest([{cols}]) AS u FROM src)),

@@ -28,6 +28,43 @@ def test_alignment_score_against_brute_force(spark):
     assert got == exp
 
 
+def _align_by_matrix(a, b):
+    """The stated tie rule on a whole matrix."""
+    dp = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            dp[i + 1][j + 1] = dp[i][j] + 1 if x == y else max(dp[i][j + 1], dp[i + 1][j])
+    i, j, x, y = len(a), len(b), "", ""
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j, x, y = i - 1, j - 1, a[i - 1] + x, b[j - 1] + y
+        elif i and (not j or dp[i - 1][j] == dp[i][j]):
+            i, x, y = i - 1, a[i - 1] + x, "-" + y
+        else:
+            j, x, y = j - 1, "-" + x, b[j - 1] + y
+    return dp[-1][-1], x, y
+
+
+def test_alignments_against_the_whole_matrix(spark):
+    rnd = random.Random(8)
+    pairs = [("", ""), ("", "AB"), ("AB", ""), ("PEPTIDE", "PETIDES"), ("A" * 70, "A" * 65)]
+    pairs += [tuple("".join(rnd.choice("ACG") for _ in range(rnd.randint(0, 90))) for _ in "ab")
+              for _ in range(150)]
+    rows = spark.createDataFrame(pairs + [(None, "A")], "a string, b string")
+    got = [tuple(r) for r in rows.select(AN.alignment("a", "b").alias("x")).select("x.*").collect()]
+    assert got[:-1] == [_align_by_matrix(a, b) for a, b in pairs] and got[-1] == (None, None, None)
+    for (score, x, y), (a, b) in zip(got, pairs):
+        assert x.replace("-", "") == a and y.replace("-", "") == b
+        assert score == sum(p == q for p, q in zip(x, y))
+
+
+def test_long_alignment_keeps_few_rows():
+    a, b = "ACGT" * 2500, "AGCT" * 2500
+    score, x, y = AN.align(a, b)
+    assert score == AN.lcs_length(a, b) == sum(p == q for p, q in zip(x, y))
+    assert x.replace("-", "") == a and y.replace("-", "") == b
+
+
 def test_peptide_messages_and_defaults(spark):
     rec = spark.createDataFrame(
         [("P1", '{"sequence":{"value":"PEPTIDEXX"},"proteinDescription":{"recommendedName":'

@@ -170,3 +170,29 @@ def test_learning_curve_decomposition_matches_brute_force(spark):
     j = got.merge(e, on=["size_index", "target", "kind"])
     assert len(j) == len(e) == 20
     assert np.allclose(j.score_mean, j.m) and np.allclose(j.score_std, j.s)
+
+
+def test_split_sizes_are_exact(spark, monkeypatch):
+    """Sizes to a row, at any number of digits a pass; keys that
+    come twice stay together."""
+    for digits, n in ((4, 1003), (1, 1003), (2, 57), (4, 1), (4, 0)):
+        monkeypatch.setattr(SP, "_DIGITS", digits)
+        df = spark.range(n).selectExpr("cast(id as string) visit_id", "'u' UniProt", "'p' Peptide",
+                                       "id patient_id")
+        for scheme in SP.SCHEMES:
+            counts = {r["split"]: r["count"] for r in
+                      SP.assign_split(df, scheme).groupBy("split").count().collect()}
+            test, val = SP.split_sizes(n, scheme)
+            assert (counts.get("test", 0), counts.get("val", 0)) == (test, val)
+            assert counts.get("train", 0) == n - test - val
+        got = [r["n_rows"] for r in
+               SP.train_size_counts(df, SP.TRAIN_SIZES).orderBy("size_index").collect()]
+        assert got == [int(f * n) for f in SP.TRAIN_SIZES]
+        small, large = (SP.train_size_subset(df, f) for f in (0.1, 0.55))
+        assert small.count() == int(0.1 * n) and small.join(large, "visit_id").count() == small.count()
+    assert SP.split_sizes(1003, "60_20_20") == (201, 201)
+    twice = spark.range(100).selectExpr("cast(id % 50 as string) visit_id", "'u' UniProt",
+                                        "'p' Peptide")
+    sp = SP.assign_split(twice, "80_20")
+    assert sp.where("split = 'test'").count() == 20
+    assert sp.groupBy("visit_id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0

@@ -175,7 +175,8 @@ def test_learning_curve_equals_separate_fits(spark):
     for frac in (0.5, 1.0):
         scores = {"train": [], "val": []}
         for fold in range(3):
-            train = SP.train_size_subset(data.where(F.col("fold") != fold), frac)
+            train = data.where((F.col("fold") != fold)
+                               & (SP.split_bucket(MD.SEED + 1) < int(frac * 10000)))
             own = MD.TrainData.__new__(MD.TrainData)
             own.targets, own.bins, own.edges = ["y1"], TR.BINS, edges
             own.table = TR.training_table(train, ["y1"], edges)

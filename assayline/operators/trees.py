@@ -46,6 +46,8 @@ LOCAL_ROWS = 65_536
 #: Bytes of the sums that one task holds in a round.
 HIST_BYTES = 256 << 20
 BINS = 64
+#: Edges lie this share of a quantile above it.
+EDGE = 1e-9
 #: Trees after which a boosting fit's margins are stored.
 STORE_EVERY = 10
 #: Deepest node (paths are numbers of 62 bits).
@@ -339,7 +341,8 @@ def grow_here(x: np.ndarray, w: np.ndarray, g: np.ndarray, tree: Tree, bins: int
 
 # Binning ---------------------------------------------------------------------------------
 def bin_edges(df: DataFrame, features: str = "features", bins: int = BINS) -> list[np.ndarray]:
-    """Per feature the distinct inner quantiles (exact, distributed); at most
+    """Per feature the distinct inner quantiles (exact, distributed), a billionth
+    up, so that values which differ by rounding only share a bin; at most
     ``bins`` - 1 a feature reach the driver."""
     from pyspark.ml.functions import vector_to_array
 
@@ -347,7 +350,10 @@ def bin_edges(df: DataFrame, features: str = "features", bins: int = BINS) -> li
     long = df.select(F.posexplode(vector_to_array(features)).alias("f", "value"))
     names = [f"q{i}" for i in range(1, bins)]
     rows = exact_quantiles(long, "value", [i / bins for i in range(1, bins)], ["f"], names).collect()
-    found = {r["f"]: np.unique(np.array([r[n] for n in names])) for r in rows}
+    found = {}
+    for r in rows:
+        q = np.array([r[n] for n in names])
+        found[r["f"]] = np.unique(q + EDGE * np.abs(q))
     return [found[i] for i in sorted(found)]
 
 

@@ -108,12 +108,28 @@ def train_family(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
                         **(params_by_target or {})}
     models = MD.fit_all_targets(vec, family, params_by_target, seed=seed)
     if save_to:
-        for t, (m, _) in models.items():
-            if m is not None:
-                MD.save_model(m, f"{save_to}/{family}/{t}")
+        save_models(vec.sparkSession, models, feats, family, save_to)
     return vec, feats, models
 
 
+def save_models(spark, models: dict, features_used, family: str, folder: str) -> None:
+    """Every target's model, and the names of the features they were trained on."""
+    from assayline.operators import models as MD
+    for t, (m, _) in models.items():
+        if m is not None:
+            MD.save_model(m, f"{folder}/{family}/{t}", spark)
+    names = spark.createDataFrame(list(enumerate(features_used)), "place int, feature string")
+    names.coalesce(1).write.mode("overwrite").json(f"{folder}/{family}/features")
+
+
+def load_models(spark, family: str, folder: str, targets=TARGETS):
+    """({target: (model, None)}, feature names) of :func:`save_models`."""
+    from assayline.operators import models as MD
+    names = spark.read.schema("place int, feature string").json(f"{folder}/{family}/features")
+    return ({t: (MD.load_model(family, f"{folder}/{family}/{t}", spark), None) for t in targets},
+            [r["feature"] for r in names.orderBy("place").collect()])
+
+
 def saved_params(spark, folder: str | None, family: str) -> dict:
     """{target: params} of one family from a folder of saved parameters; a
     folder that is not there, or holds none of the family, gives none. At most
@@ -142,12 +158,16 @@ def month_table(reports: dict) -> DataFrame:
 
 def month_report(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
                  models: dict | None = None, params_by_target: dict | None = None,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, features_used=None) -> DataFrame:
     """Three tables and a month -> SMAPE per target on test rows, plus
-    the mean. Scores saved models when given, else refits (60/20/20 split)."""
+    the mean. Scores saved ``models`` (trained on ``features_used``) when given,
+    else refits (60/20/20 split)."""
     from assayline.operators import metrics as M
     from assayline.operators import models as MD
-    vec, _ = prepared_vectors(tables, month, "60_20_20", seed)
+    if models is not None and features_used is not None:
+        vec = MD.vectorize(prepare(tables, month, "60_20_20", seed), features_used)
+    else:
+        vec, _ = prepared_vectors(tables, month, "60_20_20", seed)
     if models is None:
         models = MD.fit_all_targets(vec, family, params_by_target, seed=seed)
     pred = MD.long_predictions(vec, models, datasets=["test"])
@@ -156,6 +176,33 @@ def month_report(tables: AssayTables, family: str, month: int = DEFAULT_MONTH,
     return ev.unionByName(mean.select("target", "smape"))
 
 
+def report_from_files(spark, clinical: str, proteins: str, peptides: str, family: str,
+                      month: int = DEFAULT_MONTH, params_folder: str | None = None,
+                      models_folder: str | None = None, seed: int = 42) -> DataFrame:
+    """L7 as a caller meets it (S3, S4, S7, S10): three CSV files, a family and
+    a month -> SMAPE per target and their mean. The models are those saved in
+    ``models_folder``, else refitted with the parameters in ``params_folder``
+    ({family}_params_model_{i}.json, one file a target), else with defaults. A
+    month out of the list, an unknown family or a missing table or column is a
+    ValueError before any work is done."""
+    from assayline.operators import models as MD
+    from assayline.sources import files as FS
+    tables = FS.load_caller_tables(spark, clinical, proteins, peptides)
+    problems = FS.validate_inputs(tables, month)
+    if family not in MD.FAMILIES:
+        problems.append(f"unknown family {family}")
+    if problems:
+        raise ValueError("; ".join(problems))
+    if models_folder is not None:
+        models, names = load_models(spark, family, models_folder)
+        return month_report(tables, family, month, models, seed=seed, features_used=names)
+    params = {}
+    if params_folder is not None:
+        rows = FS.read_params_json(spark, params_folder).where(F_.col("family") == family)
+        params = {r["target"]: dict(r["params"]) for r in rows.collect()}  # four at most
+    return month_report(tables, family, month, params_by_target=params, seed=seed)
+
+
 def unseen_predictions(tables: AssayTables, models: dict, features_used, month: int,
                        scope: str = "test", seed: int = 42) -> DataFrame:
     """Another month prepared with its own scaling, its vectors built from the

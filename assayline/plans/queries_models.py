@@ -372,6 +372,19 @@ def month_report_random_forest(spark, sf_dir):
     return flows.month_report(load_tables(spark, sf_dir), "random_forest", MONTH)
 
 
+@register("month_report_from_files", None)
+def month_report_from_files(spark, sf_dir):
+    """L7 with S3, S4, S9, S10: forests of month 24 saved; a caller's three CSV
+    files (the tables, written out) scored with the loaded models."""
+    tables, root = load_tables(spark, sf_dir), FS.output_root(spark, "caller")
+    flows.train_family(tables, "random_forest", MONTH, save_to=f"{root}/models")
+    for name in ("clinical", "proteins", "peptides"):
+        getattr(tables, name).write.option("header", True).csv(f"{root}/{name}")
+    return flows.report_from_files(spark, f"{root}/clinical", f"{root}/proteins",
+                                   f"{root}/peptides", "random_forest", MONTH,
+                                   models_folder=f"{root}/models")
+
+
 @register("month_table_random_forest", None)
 def month_table_random_forest(spark, sf_dir):
     """L7 over two months with the default parameters, stacked under their labels,
@@ -388,9 +401,8 @@ def evaluate_unseen_month_36(spark, sf_dir):
     tables = load_tables(spark, sf_dir)
     root = FS.output_root(spark, "models")
     _, feats, models = flows.train_family(tables, "random_forest", MONTH, save_to=root)
-    loaded = {t: (MD.load_model("random_forest", f"{root}/random_forest/{t}"), None)
-              for t, (m, _) in models.items() if m is not None}
-    return flows.evaluate_unseen_month(tables, loaded, feats, 36)
+    loaded, names = flows.load_models(spark, "random_forest", root)
+    return flows.evaluate_unseen_month(tables, loaded, names, 36)
 
 
 @register("tune_random_forest", None)

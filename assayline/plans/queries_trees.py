@@ -42,8 +42,8 @@ def tree_sql(p: TR.TreeParams, levels: int, total: str = "(SELECT n FROM sc)") -
     ``nodes`` (tree, path, f, cut, gain, value, n). ``levels`` bounds the depth."""
     out = [f"""
 ed AS (SELECT f, cut, row_number() OVER (PARTITION BY f ORDER BY cut) - 1 AS b FROM (
-  SELECT DISTINCT f, unnest(quantile_cont(x, [{", ".join(f"{i}/{BINS}::DOUBLE" for i in range(1, BINS))}]))
-  AS cut FROM rows GROUP BY f)),
+  SELECT DISTINCT f, q + {TR.EDGE} * abs(q) AS cut FROM (SELECT f, unnest(quantile_cont(x, [{", ".join(f"{i}/{BINS}::DOUBLE" for i in range(1, BINS))}]))
+  AS q FROM rows GROUP BY f))),
 bn AS MATERIALIZED (SELECT rid, f, count(cut) AS bin FROM (
   SELECT r.rid, r.f, ed.cut FROM rows r LEFT JOIN ed ON ed.f = r.f AND ed.cut < r.x) GROUP BY rid, f),
 sc AS MATERIALIZED (SELECT n, base, pow(2.0, least(28, 58 - (floor(log2(n)) + 1)) - ceil(log2(

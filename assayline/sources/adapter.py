@@ -137,18 +137,17 @@ def clinical(spark: SparkSession, sf_dir: str, month: int | None = None) -> Data
 def load_tables(spark: SparkSession, sf_dir: str, month: int | None = None) -> AssayTables:
     """S1 on the driver tables: the three assay tables, lazily. The month
     filter (P1) calls back here to prune the scans to one order year; that
-    month's aggregate is stored, since both tables read it. Handles of whole
-    tables are memoised per session (they hold plans, not data)."""
+    month's aggregate is stored, since both tables read it. Handles are memoised
+    per session, so a month's line items are aggregated once a session; after
+    the files of a folder were replaced, call :func:`clear_scan_cache`."""
     key = (id(spark), sf_dir, month)
-    if month is not None or key not in _TABLES or not _alive(_TABLES[key].clinical, spark):
+    if key not in _TABLES or not _alive(_TABLES[key].clinical, spark):
         assay = assay_items(visit_items(spark, sf_dir, month))
         if month is not None:
             assay = store(assay, "assay")
-        made = AssayTables(proteins(assay), peptides(assay), clinical(spark, sf_dir, month),
-                           month_pruner=lambda m: load_tables(spark, sf_dir, m))
-        if month is not None:
-            return made
-        _TABLES[key] = made
+        _TABLES[key] = AssayTables(proteins(assay), peptides(assay),
+                                   clinical(spark, sf_dir, month),
+                                   month_pruner=lambda m: load_tables(spark, sf_dir, m))
     return _TABLES[key]
 
 

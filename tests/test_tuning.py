@@ -143,3 +143,42 @@ def test_importances_in_order(spark):
     assert [f for f, _ in rows[:2]] == ["a", "b"] and [f for f, _ in rows[-2:]] == ["y", "z"]
     assert rows[0][1] > rows[1][1] and math.fsum(v for _, v in rows) == pytest.approx(1)
     assert [r["feature"] for r in MD.importance_ranked(imp, 2).collect()] == ["a", "b"]
+
+
+def test_report_from_a_callers_files(spark, tmp_path):
+    """CSV files and saved models give what the tables and the models give;
+    parameter files are obeyed; bad requests end before any work."""
+    import json
+
+    from assayline.sources.adapter import load_tables
+    from conftest import SF001
+    tables = load_tables(spark, SF001)
+    files = {}
+    for name in ("clinical", "proteins", "peptides"):
+        files[name] = str(tmp_path / name)
+        getattr(tables, name).write.option("header", True).csv(files[name])
+    small = {t: {"n_estimators": 2, "max_depth": 3} for t in ("updrs_1", "updrs_2", "updrs_3",
+                                                              "updrs_4")}
+    models = str(tmp_path / "models")
+    _, feats, fitted = flows.train_family(tables, "random_forest", 24, small, save_to=models)
+
+    def rows(df):
+        return {r["target"]: r["smape"] for r in df.collect()}
+
+    got = rows(flows.report_from_files(spark, **files, family="random_forest", month=24,
+                                       models_folder=models))
+    assert got == pytest.approx(rows(flows.month_report(tables, "random_forest", 24, fitted,
+                                                        features_used=feats)), rel=1e-12)
+    assert len(got) == 5 and got["mean"] == pytest.approx(
+        sum(v for t, v in got.items() if t != "mean") / 4)
+    params = tmp_path / "params"
+    params.mkdir()
+    for i, p in enumerate(small.values(), 1):
+        (params / f"xgboost_params_model_{i}.json").write_text(json.dumps(p))
+    refit = rows(flows.report_from_files(spark, **files, family="xgboost", month=24,
+                                         params_folder=str(params)))
+    assert refit == pytest.approx(rows(flows.month_report(tables, "xgboost", 24,
+                                                          params_by_target=small)), rel=1e-12)
+    for bad in ({"month": 25}, {"family": "none"}):
+        with pytest.raises(ValueError):
+            flows.report_from_files(spark, **files, **{"family": "xgboost", "month": 24, **bad})

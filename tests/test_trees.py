@@ -23,6 +23,14 @@ def _rows(spark, n=600, seed=1, parts=4):
                      F.when(F.col("id") != "v3", F.col("y2")).alias("y2")).repartition(parts)
 
 
+@pytest.fixture(scope="module")
+def table(spark):
+    """The rows and their bins, shared by the tests."""
+    from assayline.session import store
+    df = store(_rows(spark), "rows")
+    return df, MD.TrainData(df, ["y1", "y2"], bins=16)
+
+
 def _splits(model, tree=0):
     t = model.trees[tree]
     return {int(p): (int(f), float(c), round(float(v), 9), int(n)) for p, f, c, v, n in
@@ -78,10 +86,9 @@ def _by_hand(x, y, edges, p: TR.TreeParams, scale):
                   "min_split_gain": 0.5}),
 ])
 @pytest.mark.parametrize("local_rows", [0, 60, 10 ** 6])
-def test_first_tree_equals_one_grown_by_hand(spark, monkeypatch, family, params, local_rows):
+def test_first_tree_equals_one_grown_by_hand(table, monkeypatch, family, params, local_rows):
     monkeypatch.setattr(TR, "LOCAL_ROWS", local_rows)
-    df = _rows(spark)
-    data = MD.TrainData(df, ["y1"], bins=16)
+    df, data = table
     (model, report), = data.fits([(family, "y1", {**params, "n_estimators": 1}, 0)])
     rows = df.collect()
     x = np.array([r["features"].toArray() for r in rows])
@@ -112,15 +119,15 @@ def test_models_do_not_depend_on_layout_or_local_nodes(spark, monkeypatch):
         got = [[_splits(m, i) for i in range(len(m.trees))] for m, _ in fitted]
         want = want or got
         assert got == want
+    turned = MD.TrainData(_rows(spark), ["y2", "y1"], bins=16)
     for (family, label, params, _), trees in zip(jobs, want):
-        m, _ = MD.TrainData(_rows(spark), ["y2", "y1"], bins=16).fits(
-            [(family, label, params, 0)])[0]
+        m, _ = turned.fits([(family, label, params, 0)])[0]
         assert [_splits(m, i) for i in range(len(m.trees))] == trees
     assert [len(t) for t in want] == [4, 12, 3]
 
 
-def test_parameters_change_the_model(spark):
-    data = MD.TrainData(_rows(spark), ["y1"], bins=16)
+def test_parameters_change_the_model(table):
+    df, data = table
     plain = {"xgboost": {"n_estimators": 2, "max_depth": 4},
              "lightgbm": {"n_estimators": 2}, "random_forest": {"n_estimators": 2}}
     changes = {"xgboost": {"reg_lambda": 50.0, "reg_alpha": 20.0, "gamma": 100.0,
@@ -132,7 +139,6 @@ def test_parameters_change_the_model(spark):
     jobs = [(f, "y1", {**plain[f], **dict([c])} if c else plain[f], 0)
             for f in plain for c in [None, *changes[f].items()]]
     fitted = data.fits(jobs)
-    df = _rows(spark)
     p = df.select(MD.scores([m for m, _ in fitted]).alias("p")).collect()
     preds = np.array([r["p"] for r in p])
     first = {}

@@ -13,7 +13,7 @@ a hot label is no single task. Smaller nodes are split on by the task that
 holds them, down to leaves of ``LEAF`` vectors, which are compared whole. A
 node that does not shrink (a cloud of near copies) is compared exactly as
 pairs of blocks of bounded size. Pairs at the threshold or above, recomputed
-from the unscaled vectors, are united over all trees.
+from the vectors' own values, are united over all trees.
 
 Only pairs that some leaf holds are found; the tests measure the recall
 against brute force. Defined cases: a vector or label that is null, an empty or zero
@@ -54,7 +54,9 @@ def margin(threshold: float, dim: int) -> float:
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    # Rows scaled by a power of two: exact, the cosine stays, and no square overflows.
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if n else x
 
 
 def _project(batches):
@@ -75,7 +77,7 @@ def _project(batches):
 
 def _near(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, norms: np.ndarray,
           threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one leaf, verified on the unscaled vectors."""
+    """Pairs of one leaf, verified on the vectors' own values (not unit ones)."""
     i, j = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))
     cos = np.einsum("ij,ij->i", raw[i], raw[j]) / (norms[i] * norms[j])
     ok = cos >= threshold
@@ -121,7 +123,9 @@ def _compare(threshold: float):
 
 def forest_links(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                  node_size: int = NODE) -> DataFrame:
-    """(a, b), a < b: linked members of ``reps`` (rep, grp, v)."""
+    """(a, b), a < b: linked members of ``reps`` (rep, grp, v). Vectors keep
+    their element type, so pairs are verified on the values that came in."""
+    kind = reps.schema["v"].dataType.simpleString()
     rows = stored(reps.select(
         F.explode(F.array(*[F.lit(i) for i in range(trees)])).alias("tree"), "rep", "grp", "v")
         .select(F.xxhash64("grp", "tree").alias("node"), "rep", "v"), "nodes")
@@ -137,7 +141,7 @@ def forest_links(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
         if large.isEmpty():
             break
         proj = stored(rows.join(large.select("node"), "node").select(*cols).mapInArrow(
-            _project, "node long, rep long, v array<float>, proj double"), "proj")
+            _project, f"node long, rep long, v {kind}, proj double"), "proj")
         at = proj.groupBy("node").agg(F.percentile_approx("proj", 0.5, 1000).alias("t"))
         sided = proj.join(at, "node").withColumn("w", width)
         sides = F.array_compact(F.array(
@@ -175,9 +179,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     some = F.exists(v, lambda x: x != 0)
     valid = F.coalesce(F.col(label).isNotNull() & v.isNotNull() & finite & some, F.lit(False))
     key = F.struct(F.col(label).alias("label"), F.size(v).alias("dim"))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
     rows = vectors.select(F.col(id_col).alias("_rp_id"), valid.alias("ok"), key.alias("grp"),
                           F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(71), v).alias("k2"),
-                          v.cast("array<float>").alias("v"))
+                          v.cast("array<float>" if kind == "float" else "array<double>").alias("v"))
     cls = ["grp", "k1", "k2"]
     # Without an id a row still has a place in its class.
     reps = stored(rows.where("ok and _rp_id is not null").groupBy(*cls)

@@ -14,7 +14,8 @@ vocabulary piece has U+2581 after another character, so the best path of a
 text is that of its chunks (a run of U+2581 and what follows), and chunks
 repeat: each worker keeps the counts of chunks it has met (bounded table).
 A chunk without spaces may be a whole long document; the program is linear in
-it. The work is a map over the documents: nothing is shuffled.
+it and keeps a window of the longest piece, whatever the chunk's length (the
+automaton reads its own copy of the text, 4 bytes a character). The work is a map over the documents: nothing is shuffled.
 
 The vocabulary is a parameter: pieces and scores of the SentencePiece file
 given, taken as unigram scores (control and byte pieces match no text).
@@ -45,6 +46,7 @@ class UnigramCounter:
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
         self.byte_fallback = byte_fallback
         self.low = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p, s in pieces:
@@ -54,38 +56,39 @@ class UnigramCounter:
         self.known: dict[str, int] = {}
 
     def chunk(self, text: str) -> int:
-        """Tokens of one chunk."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (size, score) in self.automaton.iter(text):
-            ends[end].append((size, score))
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
+        """Tokens of one chunk. The automaton gives matches in order of their
+        ends, so scores and counts are kept for a window of the longest piece."""
+        w = self.longest + 1
+        best, count = [0.0] * w, [0] * w
+        matches = self.automaton.iter(text)
+        match = next(matches, None)
         # Bytes of the unknown run that ends here (0: the last piece is known).
-        run = [0] * (n + 1)
-        for i in range(n):
-            top, at, unknown = None, -1, False
+        run = 0
+        for i, letter in enumerate(text):
+            found = []
+            while match is not None and match[0] == i:
+                found.append(match[1])
+                match = next(matches, None)
+            if len(found) > 1:
+                found.sort(reverse=True)
+            top, before, unknown = None, -1, False
             # Longest match first is rising start position.
-            for size, score in sorted(ends[i], reverse=True):
-                got = best[i + 1 - size] + score
+            for size, score in found:
+                got = best[(i + 1 - size) % w] + score
                 if top is None or got > top:
-                    top, at, unknown = got, i + 1 - size, False
-            if text[i] not in self.single:
-                got = best[i] + self.low
+                    top, before, unknown = got, i + 1 - size, False
+            if letter not in self.single:
+                got = best[i % w] + self.low
                 if top is None or got > top:
-                    top, at, unknown = got, i, True
-            best[i + 1] = top
+                    top, unknown = got, True
             if unknown:
-                size = len(text[i].encode("utf-8", "surrogatepass")) if self.byte_fallback else 1
-                if run[i]:
-                    run[i + 1] = run[i] + size if self.byte_fallback else 1
-                    count[i + 1] = count[i] - run[i] + run[i + 1]
-                else:
-                    run[i + 1] = size
-                    count[i + 1] = count[i] + size
+                size = len(letter.encode("utf-8", "surrogatepass")) if self.byte_fallback else 1
+                longer = run + size if run and self.byte_fallback else size
+                now, run = count[i % w] - run + longer, longer
             else:
-                count[i + 1] = count[at] + 1
-        return count[n]
+                now, run = count[before % w] + 1, 0
+            best[(i + 1) % w], count[(i + 1) % w] = top, now
+        return count[len(text) % w]
 
     def __call__(self, text: str | None) -> int:
         if not text:

@@ -33,6 +33,27 @@ def _brute(rows):
     return links
 
 
+def test_forest_keeps_doubles(spark):
+    """Cosines on either side of the threshold that floats cannot tell apart,
+    and components beyond the range of floats."""
+    t, e = 0.98, 1e-12
+    rows = [(0, [1.0, 0.0])]
+    for i, c in ((1, t - e), (2, t + e)):
+        rows += [(i, [c, (1 - c * c) ** 0.5])]
+    rows += [(3, [1e300, 0.0, 0.0]), (4, [1e299, 1e290, 0.0]), (5, [0.0, 1e-300, 1.0])]
+    df = spark.createDataFrame([(i, "x", v) for i, v in rows],
+                               "vec_id long, label string, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"])
+           for r in rp_forest.near_duplicates(df).collect()}
+    norm = {i: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max()
+            for i, v in rows}
+    for i, _ in rows:
+        links = [j for j, _ in rows if j != i and len(norm[i]) == len(norm[j])
+                 and norm[i] @ norm[j] >= t]
+        assert got[i][0] == len(links), i
+    assert got[0][0] == 1 and got[4] == (1, 3)
+
+
 def test_forest_recall_and_precision(spark, monkeypatch):
     x = _vectors()
     rows = [(i, [float(c) for c in v], int(i % 2)) for i, v in enumerate(x)]

@@ -74,6 +74,23 @@ def test_unigram_counts_match_the_library(edge, empty, small_docs):
     assert unigram_count.token_counts(empty, model).count() == 0
 
 
+def test_unigram_memory_of_one_long_chunk():
+    """A chunk of a million characters needs a window, and the automaton's own
+    copy of the text (4 bytes a character), no objects a character."""
+    import tracemalloc
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    counter = unigram_count._counter(model)
+    text = "thequickbrownfox日é" * 60_000
+    tracemalloc.start()
+    n = counter.chunk(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text) + (1 << 16)
+    one = counter.chunk("thequickbrownfox日é" * 60)
+    two = counter.chunk("thequickbrownfox日é" * 120)
+    assert n == one + 999 * (two - one)
+
+
 def test_unigram_ties():
     """Equal scores: the earlier start (longer last piece) stays."""
     c = unigram_count.UnigramCounter([("a", -1.0), ("aa", -2.0), ("aaa", -3.0), ("▁", -1.0)],

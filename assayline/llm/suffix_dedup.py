@@ -185,7 +185,8 @@ def merged(doc, tie, lo, hi):
     new = np.r_[True, (np.diff(doc) != 0) | (np.diff(tie) != 0)]
     group = np.cumsum(new) - 1
     # The furthest end so far inside a document: offset by group keeps them apart.
-    span = np.int64(1) << np.int64(40)
+    # Groups times the longest document stay far from the integers' end.
+    span = (hi.max() + 1 if len(hi) else np.int64(1)).astype(np.int64)
     reach = np.maximum.accumulate(hi + group * span) - group * span
     start = new | np.r_[True, lo[1:] > reach[:-1]]
     first = np.flatnonzero(start)

@@ -234,3 +234,14 @@ def test_index_family_levels_grow_geometrically():
         assert family.add(np.array(batch, "S100")).tolist() == want
     sizes = [len(x) for x in family.levels]
     assert sum(sizes) == len(met) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_merged_spans_of_many_documents():
+    """More than 2**23 documents in one part, and none."""
+    n = (1 << 23) + 6
+    doc, zero = np.arange(n), np.zeros(n, np.int64)
+    got = suffix_dedup.merged(np.r_[doc, 3, 3], np.r_[zero, 0, 0],
+                              np.r_[zero + 5, 7, 300], np.r_[zero + 9, 20, 400])
+    assert np.array_equal(got[0], np.r_[doc[:4], 3, doc[4:]])
+    assert np.array_equal(got[2], np.r_[zero[:4] + 5, 300, zero[4:] + 5])
+    assert np.array_equal(got[3], np.r_[zero[:3] + 9, 20, 400, zero[4:] + 9])

@@ -79,6 +79,38 @@ def test_near_copies_that_no_plane_divides(spark):
     assert got == 150 * 149 // 2
 
 
+@pytest.mark.parametrize("node_size", [40, 1000])
+def test_degrees_of_a_cloud_without_its_pairs(spark, node_size):
+    """Counts and components equal those of all pairs, clouds and strangers at
+    the edge of a cloud included; no list of pairs is emitted."""
+    r = np.random.default_rng(2)
+    c = r.normal(size=16)
+    x = [c + r.normal(size=16) * s for s in [0.001] * 150 + list(r.uniform(0.05, 0.2, 60))]
+    x += list(r.normal(size=(40, 16)))
+    rows = [(i, [float(z) for z in v], 1, 1 + i % 3) for i, v in enumerate(x)]
+    reps = spark.createDataFrame(rows, "rep long, v array<double>, grp int, m long")
+    got = rp_forest.forest_degrees(reps, node_size=node_size).collect()
+    links = {tuple(sorted(p)) for p in _brute([(i, v, g) for i, v, g, _ in rows])}
+    want = {}
+    for a, b in links:
+        want[a] = want.get(a, 0) + rows[b][3]
+        want[b] = want.get(b, 0) + rows[a][3]
+    sums = {}
+    for k in got:
+        sums[k["rep"]] = sums.get(k["rep"], 0) + k["others"]
+
+    def parts(edges):
+        reach = {i: {i} for i in want}
+        for p, q in edges:
+            both = reach[p] | reach[q]
+            reach.update(dict.fromkeys(both, both))
+        return {frozenset(r) for r in reach.values()}
+
+    assert sums == want and len(links) > 150 * 149 // 2
+    assert parts((k["rep"], k["near"]) for k in got) == parts(links)
+    assert len(got) < len(links) // 2
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 2),

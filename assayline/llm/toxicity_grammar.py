@@ -1,16 +1,22 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Four transducers run over the tokens of a clause,
-one after the other, each reading the previous one's output:
+A text is cut into clauses at ``.``, ``!``, ``?``, ``;``, line ends, and
+colons that follow no report word. Transducers run over the tokens of a clause;
+all but the lexicon are transition tables (:class:`Machine`):
 
 1. lexicon: token -> symbol (insult, threat, target, negation, report, quote,
    other) with a weight;
-2. negation: for ``SCOPE`` tokens after a negation, insults and threats weigh
-   ``NEGATED`` times as much;
-3. reported speech: after a report word, or between quotation marks, they
-   weigh ``REPORTED`` times as much;
-4. target: an insult or threat within ``REACH`` tokens of a target gains
-   ``AIMED``.
+2. negation (``NEGATING``): for ``SCOPE`` tokens after a negation, insults and
+   threats weigh ``NEGATED`` times as much; any contraction in n't negates,
+   with a plain or a typographic apostrophe;
+3. reported speech (``REPORTING``): after a report word, also across a colon,
+   or between quotation marks, they weigh ``REPORTED`` times as much; an open
+   quotation runs on over sentences up to the end of its line;
+4. target (``AIMING``): an insult or threat up to ``REACH`` tokens after or
+   before a target gains ``AIMED``.
+
+2, 3 and 4 are composed into one machine (``CONTEXT``) that reads a clause
+forwards; ``AIMING`` reads it once more backwards.
 
 A clause scores the sum of its weights; the document's score is a logistic of
 its strongest clause, its clause total and the share of clauses that matched.
@@ -20,7 +26,8 @@ Prose with few punctuation marks counts as several clauses here, one for each
 Insult weights are learned: words and word beginnings (4 to 6 letters, so that
 inflected forms share an entry) that occur significantly more often in toxic
 training documents than their share (binomial divergence against the number
-of entries tried), weighted by smoothed log odds. The logistic is fitted on
+of entries tried), weighted by smoothed log odds; a word of more than
+``LONG_WORD`` characters is told by a digest of all of them. The logistic is fitted on
 the same documents. Training rows: labelled rows whose
 crc32(id as text) mod 5 is not 0, at most ``TRAIN_ROWS`` of them, the first by
 a hash of the id (documented bound, as small as a broadcast); counting is a
@@ -36,10 +43,12 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,19 +68,66 @@ CLAUSE_TOKENS = 64
 #: Seed words of the grammar's closed classes (fixed values).
 TARGET = frozenset("you your yours yourself u ya he she they them him her his their du dich dir "
                    "ihr euch dein tu te toi vous ton usted ustedes ti vosotros".split())
-NEGATION = frozenset("not no never nor neither without isn't aren't don't doesn't wasn't nicht "
+NEGATION = frozenset("not no never nor neither without cannot nicht "
                      "kein keine nie pas jamais sans nunca jamás sin tampoco".split())
 REPORT = frozenset("said says say saying wrote writes quote quoted quoting reported claims "
                    "claimed called sagte sagt dit disait dijo dice".split())
-THREAT = frozenset("kill hurt destroy murder töten sterben tuer mourir matar morir".split())
+THREAT = frozenset("kill killing hurt hurting destroy destroying murder murdering töten sterben tuer mourir matar morir".split())
 INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb "
                     "jerk fool imbecile".split())
 SEED_WEIGHT = 3.0
 QUOTES = frozenset("\"“”«»„")
 
-_CLAUSE = re.compile(r"[.!?;:\n\r]+")
+_CUT = re.compile(r"([.!?;:\n\r]+)")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„]")
-OTHER, INSULT, AT, NOT, SAYS, QUOTE = range(6)
+SYMBOLS = OTHER, INSULT, AT, NOT, SAYS, QUOTE = range(6)
+#: Marks that the machines write on a token.
+IS_NEGATED, IS_REPORTED, IS_AIMED = 1, 2, 4
+
+
+class Machine(NamedTuple):
+    """A transducer as tables [state][symbol]: the next state and the marks
+    written on the token. State 0 is the start."""
+    follow: list[list[int]]
+    marks: list[list[int]]
+
+    def run(self, symbols: list[int], state: int = 0) -> tuple[list[int], int]:
+        """Marks of every token, and the last state."""
+        out = []
+        for k in symbols:
+            out.append(self.marks[state][k])
+            state = self.follow[state][k]
+        return out, state
+
+
+def countdown(trigger: int, steps: int, mark: int) -> Machine:
+    """Marks the ``steps`` tokens after each trigger; a state is what is left."""
+    states = range(steps + 1)
+    return Machine([[steps if k == trigger else max(0, s - 1) for k in SYMBOLS] for s in states],
+                   [[mark if s else 0 for _ in SYMBOLS] for s in states])
+
+
+def reporting() -> Machine:
+    """States: 1 after a report word, 2 inside a quotation, 3 both."""
+    step = {SAYS: lambda s: s | 1, QUOTE: lambda s: s ^ 2}
+    return Machine([[step[k](s) if k in step else s for k in SYMBOLS] for s in range(4)],
+                   [[IS_REPORTED if s else 0 for _ in SYMBOLS] for s in range(4)])
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """Both machines at once; a state is (state of a) * (states of b) + (state of b)."""
+    pairs = [(x, y) for x in range(len(a.follow)) for y in range(len(b.follow))]
+    return Machine([[a.follow[x][k] * len(b.follow) + b.follow[y][k] for k in SYMBOLS]
+                    for x, y in pairs],
+                   [[a.marks[x][k] | b.marks[y][k] for k in SYMBOLS] for x, y in pairs])
+
+
+NEGATING = countdown(NOT, SCOPE, IS_NEGATED)
+REPORTING = reporting()
+AIMING = countdown(AT, REACH, IS_AIMED)
+CONTEXT = compose(compose(NEGATING, REPORTING), AIMING)
+#: State of CONTEXT at the start of a clause inside a quotation.
+IN_QUOTATION = 2 * len(AIMING.follow)
 
 
 def tokens(clause: str) -> list[str]:
@@ -80,8 +136,10 @@ def tokens(clause: str) -> list[str]:
 
 def entries(word: str) -> list[str]:
     """Lexicon keys of a word: itself and its beginnings (ending in ``*``)."""
-    word = word[:LONG_WORD]
-    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+    own = word
+    if len(word) > LONG_WORD:
+        own = "#" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).hexdigest()
+    return [own, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
 class Grammar:
@@ -93,12 +151,13 @@ class Grammar:
         """Lexicon transducer."""
         got = self.read.get(token)
         if got is None:
+            plain = token.replace("’", "'")
             weight = max((self.lexicon.get(e, 0.0) for e in entries(token)), default=0.0)
             if token in INSULTS:
                 weight = max(weight, SEED_WEIGHT)
             if token in QUOTES:
                 got = QUOTE, 0.0
-            elif token in NEGATION:
+            elif plain in NEGATION or plain.endswith("n't"):
                 got = NOT, 0.0
             elif token in TARGET:
                 got = AT, 0.0
@@ -114,43 +173,55 @@ class Grammar:
             self.read[token] = got
         return got
 
-    def clause(self, words: list[str]) -> list[float]:
+    def clause(self, words: list[str], symbols: list[tuple[int, float]] | None = None,
+               quoted: bool = False) -> list[float]:
         """Weights of a clause, summed per stride of ``CLAUSE_TOKENS`` tokens;
         the transducers run over the whole clause, in linear time."""
         sums = [0.0] * -(-len(words) // CLAUSE_TOKENS)
-        syms = [self.symbol(w) for w in words]
-        if not any(k == INSULT for k, _ in syms):
+        symbols = [self.symbol(w) for w in words] if symbols is None else symbols
+        kinds = [k for k, _ in symbols]
+        if INSULT not in kinds:
             return sums
-        negated, reported, quoted = 0, False, False
-        aims = bytearray(len(words) + REACH + 1)  # 1: a target is within reach
-        for i, (k, _) in enumerate(syms):
-            if k == AT:
-                low = max(0, i - REACH)
-                aims[low:i + REACH + 1] = b"\1" * (i + REACH + 1 - low)
-        for i, (k, w) in enumerate(syms):
-            if k == NOT:
-                negated = SCOPE + 1
-            elif k == SAYS:
-                reported = True
-            elif k == QUOTE:
-                quoted = not quoted
-            elif k == INSULT:
-                aimed = aims[i]
-                if aimed and words[i] in THREAT:
-                    w = max(w, THREAT_WEIGHT)
-                if w > 0:
-                    w += AIMED * aimed
-                    w *= NEGATED if negated else 1.0
-                    w *= REPORTED if reported or quoted else 1.0
-                    sums[i // CLAUSE_TOKENS] += w
-            negated = max(0, negated - 1)
+        before, _ = CONTEXT.run(kinds, IN_QUOTATION if quoted else 0)
+        after, _ = AIMING.run(kinds[::-1])
+        for i, (k, w) in enumerate(symbols):
+            if k != INSULT:
+                continue
+            marks = before[i] | after[-1 - i]
+            aimed = bool(marks & IS_AIMED)
+            if aimed and words[i] in THREAT:
+                w = max(w, THREAT_WEIGHT)
+            if w > 0:
+                w += AIMED * aimed
+                w *= NEGATED if marks & IS_NEGATED else 1.0
+                w *= REPORTED if marks & IS_REPORTED else 1.0
+                sums[i // CLAUSE_TOKENS] += w
         return sums
 
+    def clauses(self, text: str) -> Iterator[list[float]]:
+        """Weights of each clause of a text in lower case."""
+        words: list[str] = []
+        symbols: list[tuple[int, float]] = []
+        quoted = False
+        pieces = _CUT.split(text)
+        for piece, cut in zip(pieces[::2], [*pieces[1::2], "\n"]):
+            new = tokens(piece)
+            words += new
+            symbols += [self.symbol(w) for w in new]
+            if cut.strip(":") == "" and any(k == SAYS for k, _ in symbols):
+                continue
+            yield self.clause(words, symbols, quoted)
+            if "\n" in cut or "\r" in cut:
+                quoted = False
+            elif sum(k == QUOTE for k, _ in symbols) % 2:
+                quoted = not quoted
+            words, symbols = [], []
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         top = total = 0.0
         n = hits = 0
-        for c in _CLAUSE.split((text or "").lower()):
-            for s in self.clause(tokens(c)):
+        for sums in self.clauses((text or "").lower()):
+            for s in sums:
                 n += 1
                 if s > 0:
                     hits += 1

@@ -165,6 +165,44 @@ def test_grammar_runs_on_across_strides():
     assert g.clause([]) == []
 
 
+def test_transducers_one_by_one_and_composed():
+    import random
+    tg = toxicity_grammar
+    o, x, at, no, says, q = tg.SYMBOLS
+    assert tg.NEGATING.run([no, o, x, x, x])[0] == [0, 1, 1, 1, 0]
+    assert tg.NEGATING.run([no, o, no, o, o, o, x])[0] == [0, 1, 1, 1, 1, 1, 0]
+    assert tg.REPORTING.run([x, says, x, o, x])[0] == [0, 0, 2, 2, 2]
+    assert tg.REPORTING.run([q, x, q, x])[0] == [0, 2, 2, 0]
+    assert tg.REPORTING.run([q, says, x, q, x]) == ([0, 2, 2, 2, 2], 1)
+    assert tg.AIMING.run([at, x, o, o, x, x])[0] == [0, 4, 4, 4, 4, 0]
+    r = random.Random(3)
+    for _ in range(200):
+        word = [r.choice(tg.SYMBOLS) for _ in range(r.randrange(30))]
+        apart = [m.run(word)[0] for m in (tg.NEGATING, tg.REPORTING, tg.AIMING)]
+        assert tg.CONTEXT.run(word)[0] == [a | b | c for a, b, c in zip(*apart)]
+        inside = tg.REPORTING.run(word, 2)[0]
+        assert [m & 2 for m in tg.CONTEXT.run(word, tg.IN_QUOTATION)[0]] == inside
+
+
+def test_grammar_over_colons_sentences_and_contractions():
+    tg = toxicity_grammar
+    g = tg.Grammar({"idiot": 4.0}, (-2.0, 1.0, 0.0, 0.0))
+    top = lambda text: g.features(text)[0]
+    plain, aimed = top("an idiot"), top("you idiot")
+    assert top("She said: you idiot") == top("she said you idiot") < aimed
+    assert top("Note: you idiot") == aimed
+    # A quotation runs on over sentences, to its mark or the end of the line.
+    assert top('“Stop it. An idiot. Go.” he thinks') == tg.REPORTED * plain
+    assert top('“Stop it. Go.” he thinks. An idiot') == plain
+    assert top('a 5" screen.\nAn idiot') == plain
+    for no in ("aren't", "aren’t", "can't", "won’t", "cannot", "don't", "isn’t"):
+        assert top(f"{no} an idiot") == tg.NEGATED * plain, no
+    assert top("I am killing you") > 0 == top("killing time")
+    # Two long words that begin alike are two entries.
+    a, b = "x" * 50 + "a", "x" * 50 + "b"
+    assert tg.entries(a)[0] != tg.entries(b)[0] and tg.entries(a)[1:] == tg.entries(b)[1:]
+
+
 def test_toxicity_on_held_out_rows(spark, edge, empty, tmp_path):
     """Held-out accuracy; labels never touch held-out rows."""
     import random

@@ -205,3 +205,62 @@ def test_labels_without_rows_and_constant_labels(spark):
     assert a is None and b.total_nodes == 2
     assert {r["p"] for r in MD.predict(b, df).collect()} == {4.0}
     assert MD.fit(df.where("false"), "xgboost", "y1")[0] is None
+
+
+def test_driver_keeps_few_nodes_of_a_large_forest(spark, monkeypatch):
+    """Groups make their share of a leaf-limited tree and trees grow in groups:
+    the driver meets far fewer nodes than the rows could give, and the forest is
+    the one that grows at once in a single group."""
+    jobs = [("random_forest", "y1", {"n_estimators": 6, "max_leaf_nodes": 12,
+                                     "min_samples_leaf": 1, "min_samples_split": 2,
+                                     "max_features": "log2"}, 0)]
+    data = MD.TrainData(_rows(spark, n=1500), ["y1"], bins=16)
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 10 ** 6)
+    want = [_splits(data.fits(jobs)[0][0], i) for i in range(6)]
+    most, asked, grow, finish = [], [], TR.grow, TR._finish_job
+
+    def grown(table, fits, trees, *args):
+        asked.append(len(trees))
+        grow(table, fits, trees, *args)
+
+    def finished(table, fits, wanted, bins):
+        finish(table, fits, wanted, bins)
+        most.append(sum(len(t.nodes) for t in {id(t): t for t, _ in wanted}.values()))
+
+    monkeypatch.setattr(TR, "grow", grown)
+    monkeypatch.setattr(TR, "_finish_job", finished)
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 120)
+    monkeypatch.setattr(TR, "LOCAL_SPLITS", 1)
+    monkeypatch.setattr(TR, "OPEN_NODES", 200)
+    model = data.fits(jobs)[0][0]
+    assert [_splits(model, i) for i in range(6)] == want
+    assert asked == [2, 2, 2] and max(most) <= 400
+
+
+def test_learning_curve_drops_scored_models(spark, monkeypatch):
+    """Fits scored a few at a time give the curve of all at once."""
+    df = _rows(spark, 300).select("features", "y1", F.col("id").alias("visit_id"),
+                                  F.lit("u").alias("UniProt"), F.lit("p").alias("Peptide"))
+    params = {"n_estimators": 2, "max_depth": 3, "max_leaf_nodes": 6}
+    curve = [MD.learning_curve(df, "random_forest", "y1", params, sizes=(0.5, 1.0), k=2).collect()]
+    held, scores = [], MD.scores
+    monkeypatch.setattr(MD, "scores", lambda m: held.append(len(m)) or scores(m))
+    monkeypatch.setattr(MD, "MODEL_NODES", 2 * 2 * 2 * 6)
+    curve.append(MD.learning_curve(df, "random_forest", "y1", params, sizes=(0.5, 1.0),
+                                   k=2).collect())
+    assert curve[0] == curve[1] and held == [2, 2]
+
+
+def test_assign_follows_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 16, (500, 4)).astype(np.uint8)
+    t = {"feature": np.array([1, -1, 3, 0, -1, -1, -1]), "bin": np.array([3, 0, 12, 7, 0, 0, 0]),
+         "left": np.array([1, 0, 3, 5, 0, 0, 0]), "right": np.array([2, 0, 4, 6, 0, 0, 0])}
+    want = []
+    for r in x:
+        n = 0
+        while t["feature"][n] >= 0:
+            n = t["right" if r[t["feature"][n]] > t["bin"][n] else "left"][n]
+        want.append(n)
+    assert TR.assign(x, t).tolist() == want
+    assert TR.assign(np.empty((0, 0), np.uint8), t).tolist() == []

@@ -182,3 +182,39 @@ def test_report_from_a_callers_files(spark, tmp_path):
     for bad in ({"month": 25}, {"family": "none"}):
         with pytest.raises(ValueError):
             flows.report_from_files(spark, **files, **{"family": "xgboost", "month": 24, **bad})
+
+
+def test_tuning_bins_rows_once_for_all_targets(spark, monkeypatch):
+    """Train rows for the trials, train + val rows for the refits: two tables,
+    however many targets."""
+    monkeypatch.setitem(TU.FIXED, "random_forest", {"n_estimators": 1})
+    vec = MD.vectorize(_learnable(spark, 120), ["a", "b", "c"])
+    made, own = [], MD.TrainData
+
+    def counted(train, targets, *args, **kwargs):
+        made.append(tuple(targets))
+        return own(train, targets, *args, **kwargs)
+
+    monkeypatch.setattr(MD, "TrainData", counted)
+
+    class Tables:
+        peptides = vec
+
+    targets = ("updrs_1", "updrs_2")
+    models, _, _ = flows.tune_family(Tables, "random_forest", n_trials=1, vec=vec, targets=targets)
+    assert made == [targets, targets] and set(models) == set(targets)
+
+
+def test_unseen_month_is_prepared_once_for_both_scopes(spark, monkeypatch):
+    from assayline.plans import queries_models as QM
+    rows = _learnable(spark, 120)
+    model = MD.fit(MD.vectorize(rows, ["a", "b", "c"]), "random_forest", "updrs_1",
+                   {"n_estimators": 1, "max_depth": 2})
+    prepared = []
+    monkeypatch.setattr(flows, "train_family",
+                        lambda *a, **k: (None, ["a", "b", "c"], {"updrs_1": model}))
+    monkeypatch.setattr(flows, "prepare", lambda t, month, *a: prepared.append(month) or rows)
+    got = {r["scope"]: r["rows_scored"] for r in
+           QM.unseen_month_invariants(spark, "/root/testdata/sf0.001").collect()}
+    assert prepared == [36]
+    assert got == {"all": rows.count(), "test": rows.where("split = 'test'").count()}

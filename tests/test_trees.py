@@ -264,3 +264,75 @@ def test_assign_follows_every_row(spark):
         want.append(n)
     assert TR.assign(x, t).tolist() == want
     assert TR.assign(np.empty((0, 0), np.uint8), t).tolist() == []
+
+
+def _random_tree(rng, leaves, features=4, bins=16):
+    """Arrays of a tree that splits a random leaf until it has ``leaves``."""
+    t = {"feature": [-1], "bin": [0], "left": [0], "right": [0]}
+    while sum(f < 0 for f in t["feature"]) < leaves:
+        n = rng.choice(np.flatnonzero(np.array(t["feature"]) < 0))
+        k = len(t["feature"])
+        t["feature"][n], t["bin"][n] = int(rng.integers(features)), int(rng.integers(bins))
+        t["left"][n], t["right"][n] = k, k + 1
+        for c, v in (("feature", -1), ("bin", 0), ("left", 0), ("right", 0)):
+            t[c] += [v, v]
+    return {c: np.array(v) for c, v in t.items()}
+
+
+@pytest.mark.parametrize("leaves", [2, 3, 31, 63, 64, 65, 200])
+def test_assign_by_look_up_ends_where_a_walk_does(leaves):
+    """Few leaves are found by one look-up a feature, wherever the walk would
+    end; trees of more leaves are walked."""
+    rng = np.random.default_rng(leaves)
+    x = rng.integers(0, 16, (700, 4)).astype(np.uint8)
+    t = _random_tree(rng, leaves)
+    walked = TR.assign(x.astype(np.int64), t)  # only bins are looked up
+    assert TR.assign(x, t).tolist() == walked.tolist()
+    assert len(np.unique(walked)) > 1
+    if leaves <= 64:
+        assert TR._assign_few(x, t, t["feature"] >= 0).tolist() == walked.tolist()
+
+
+def test_rows_are_handled_in_large_chunks(spark, table, monkeypatch):
+    """Arrow's small batches do not cost a pass over the past trees each, and no
+    row is lost in joining them."""
+    import pyarrow as pa
+    monkeypatch.setattr(TR, "CHUNK_ROWS", 25)
+    b = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10))], names=["v"])
+         for k in range(0, 100, 10)]
+    got = list(TR._chunks([*b, b[0].slice(0, 0)]))
+    assert [len(g) for g in got] == [30, 30, 30, 10]
+    assert [v for g in got for v in g.column("v").to_pylist()] == list(range(100))
+    assert list(TR._chunks([b[0].slice(0, 0)])) == []
+
+
+def test_driver_drops_what_its_rounds_sent(table, monkeypatch):
+    """Every round's broadcast is destroyed, on the driver too, and models go to
+    the tasks as a broadcast, not pickled in the function."""
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+    from pyspark.serializers import CloudPickleSerializer
+    df, data = table
+    sent, ended, dumped = [], [], []
+    send, end, dumps = SparkContext.broadcast, Broadcast.destroy, CloudPickleSerializer.dumps
+    monkeypatch.setattr(SparkContext, "broadcast",
+                        lambda self, v: sent.append(send(self, v)) or sent[-1])
+    monkeypatch.setattr(Broadcast, "destroy",
+                        lambda self, *a: ended.append(self) or end(self, *a))
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 60)
+    (model, _), = data.fits([("xgboost", "y1", {"n_estimators": 11, "max_depth": 4}, 0)])
+    assert len(sent) > 11 and {id(b) for b in sent} == {id(b) for b in ended}
+    big = dict(model.trees[0])
+    spare = 200_000  # nodes that no row reaches
+    for k in big:
+        big[k] = np.concatenate([big[k], np.zeros(spare, big[k].dtype)])
+    big["feature"][-spare:] = -1
+    model.trees = [big, *model.trees[1:]]
+
+    def watched(self, obj):
+        dumped.append(len(out := dumps(self, obj)))
+        return out
+
+    monkeypatch.setattr(CloudPickleSerializer, "dumps", watched)
+    assert MD.predict(model, df).where("p is null").count() == 0
+    assert dumped and max(dumped) < 1_000_000

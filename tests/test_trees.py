@@ -293,17 +293,30 @@ def test_assign_by_look_up_ends_where_a_walk_does(leaves):
         assert TR._assign_few(x, t, t["feature"] >= 0).tolist() == walked.tolist()
 
 
-def test_rows_are_handled_in_large_chunks(spark, table, monkeypatch):
-    """Arrow's small batches do not cost a pass over the past trees each, and no
-    row is lost in joining them."""
-    import pyarrow as pa
-    monkeypatch.setattr(TR, "CHUNK_ROWS", 25)
-    b = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10))], names=["v"])
-         for k in range(0, 100, 10)]
-    got = list(TR._chunks([*b, b[0].slice(0, 0)]))
-    assert [len(g) for g in got] == [30, 30, 30, 10]
-    assert [v for g in got for v in g.column("v").to_pylist()] == list(range(100))
-    assert list(TR._chunks([b[0].slice(0, 0)])) == []
+def test_rows_are_stored_in_blocks(spark, table, monkeypatch):
+    """A pass over the table reads blocks, not rows: no row, label or bin is lost
+    in packing them, a missing label stays missing, and joined blocks are whole."""
+    df, data = table
+    n = df.count()
+    assert data.table.count() < n / 50
+    rid, mask, x, y, margin = (np.concatenate(c) for c in zip(
+        *TR._chunks(data.table.toArrow().to_batches())))
+    assert len(rid) == len(np.unique(rid)) == n and mask.tolist() == [1] * n
+    assert x.shape == (n, 4) and margin.shape == (n, 0)
+    rows = df.collect()
+    want = TR.to_bins(np.array([r["features"].toArray() for r in rows]), data.edges)
+    labels = [(r["y1"], r["y2"]) for r in rows]
+    assert sorted(map(str, zip(x.tolist(), y[:, 0].tolist()))) == sorted(
+        map(str, zip(want.tolist(), [a for a, _ in labels])))
+    assert np.isnan(y[:, 1]).sum() == sum(b is None for _, b in labels) == 1
+    monkeypatch.setattr(TR, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(TR, "CHUNK_ROWS", 50)
+    packed = TR._packed(rid, mask, x, y, margin)
+    assert packed.num_rows == -(-n // 7)
+    parts = list(TR._chunks([packed.slice(0, 40), packed.slice(40)]))
+    assert {len(p[0]) for p in parts[:-1]} == {56}
+    assert np.concatenate([p[0] for p in parts]).tolist() == rid.tolist()
+    assert np.concatenate([p[2] for p in parts]).tolist() == x.tolist()
 
 
 def test_driver_drops_what_its_rounds_sent(table, monkeypatch):

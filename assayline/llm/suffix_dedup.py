@@ -24,6 +24,10 @@ windows under one anchor hash can be equal, which deals the index over tasks.
    dealt by window instead, so it spreads over tasks too.
 4. Spans are merged per document and cut out.
 
+The parts are as many as the bytes of the text, and of the contexts to fetch,
+ask for; a family with more than ``FAMILY_WINDOWS`` windows is built class by
+class of the windows' hashes. So no task's memory grows with the input.
+
 Documents with nothing to fetch or cut are passed by a bitmap filter of
 bounded size and never shuffled. Documents are told apart by id and a hash of
 their text: rows that agree in both are one document (each row is returned);
@@ -39,23 +43,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.common import (bit_is_set, bitmaps, extended, partitions, power_of_two, stored,
                                   table, text_or_empty)
-from assayline.llm.shingles import _stream, mix, utf8
+from assayline.llm.shingles import _stream, mix, small_columns, utf8
 
 WINDOW, GRAM = 100, 20
 SLICE = 1 << 19
 #: Different contexts of one anchor in one task from which it is dealt by window.
 HOT_CONTEXTS = 50_000
 BATCH_CONTEXTS = 4096
+#: Bytes of text whose occurrences, and of contexts that, one part holds about.
+PART_TEXT, PART_CONTEXTS = 8 << 20, 16 << 20
+#: Bytes of rows whose occurrences are held at once, contexts gathered at a time.
+PIECE_TEXT, GATHER = 8 << 20, 1 << 15
+#: Windows that an index family holds at once.
+FAMILY_WINDOWS = 400_000
 FILTER_BITS = 1 << 26
 _U = np.uint64
 _BYTE = _stream(256, 91)
 _STEP = _stream(8, 97) | _U(1)
 _MIX = _stream(4, 101) | _U(1)
+_WORD = _stream(13, 107) | _U(1)
 _NONE = np.iinfo(np.int64).min
 
 
@@ -148,7 +160,7 @@ def _dealt(part: np.ndarray, cols: dict[str, np.ndarray], kind: int) -> list[tup
             for lo, hi in zip(cuts, cuts[1:])]
 
 
-def _blob(t: pa.Table, name: str, kind) -> np.ndarray:
+def _blob(t: pa.Table | pa.RecordBatch, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in t.column(name)), kind)
 
 
@@ -196,12 +208,15 @@ def merged(doc, tie, lo, hi):
 
 def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(_NONE).to_numpy()
-            ties = b.column(1).to_numpy()
-            row, a, lo, hi, fp, ctx = runs(*utf8(b.column(2)))
+        for b, n, texts in ((b, *piece) for b in batches
+                            for piece in small_columns(b.column(2), PIECE_TEXT)):
+            ids = b.column(0).fill_null(_NONE).to_numpy()[n:]
+            ties = b.column(1).to_numpy()[n:]
+            row, a, lo, hi, fp, ctx = runs(*utf8(texts))
+            if not len(row):  # short texts only
+                continue
             doc, tie = ids[row], ties[row]
-            # The first of equal contexts in this batch stands for all of them.
+            # The first of equal contexts in this piece stands for all of them.
             at = np.lexsort((a, tie, doc, ctx, fp))
             same = np.r_[False, (np.diff(fp[at]) == 0) & (np.diff(ctx[at]) == 0)]
             again, first = at[same], at[~same]
@@ -302,6 +317,51 @@ _CONTEXTS = "part long, doc binary, tie binary, lo binary, hi binary, size binar
 _CONTEXT_NAMES = ["part", "doc", "tie", "lo", "hi", "size", "text"]
 
 
+def fetched_bytes(asked: DataFrame) -> int:
+    """Bytes of all contexts to fetch (one number a batch reaches Spark)."""
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo, hi = (_blob(b, c, np.int64) for c in ("_sa_lo", "_sa_hi"))
+            hot = _blob(b, "_sa_ctx", np.uint64) > 0
+            n = np.where(hot, (hi - lo + 1) * WINDOW, hi - lo + WINDOW).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int64())], names=["n"])
+
+    rows = asked.select("_sa_lo", "_sa_hi", "_sa_ctx").mapInArrow(sizes, "n long")
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
+def window_hash(windows: np.ndarray) -> np.ndarray:
+    """Hash of each row of WINDOW bytes."""
+    h = np.zeros(len(windows), np.uint64)
+    for k, at in enumerate((*range(0, WINDOW - 8, 8), WINDOW - 8)):
+        h += windows[:, at:at + 8].view(np.uint64)[:, 0] * _WORD[k]
+    return mix(h)
+
+
+def _windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at])
+
+
+def _inside(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _gathered(data: np.ndarray, part: np.ndarray, cols: list[np.ndarray], begin: np.ndarray,
+              size: np.ndarray) -> pa.RecordBatch:
+    """A row a part: its contexts' columns, sizes and bytes."""
+    at = np.argsort(part, kind="stable")
+    part, begin, size = part[at], begin[at], size[at]
+    text = data[np.repeat(begin, size) + _inside(size)]
+    cut = np.flatnonzero(np.r_[True, np.diff(part) != 0, True])
+    ends = np.r_[0, np.cumsum(size)][cut]
+    arrays = [pa.array(part[cut[:-1]])]
+    for c in (*(c[at] for c in cols), size):
+        arrays.append(pa.array([c[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()))
+    arrays.append(pa.array([text[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=_CONTEXT_NAMES)
+
+
 def _contexts(asked: DataFrame, parts: int) -> DataFrame:
     """Bytes of the contexts to fetch, dealt by anchor, or by window where the
     anchor is hot."""
@@ -310,32 +370,26 @@ def _contexts(asked: DataFrame, parts: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(2))
-            whole = data.tobytes()
-            out: dict[int, list] = {}
-            for i, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                lo, hi = (np.frombuffer(b.column(k)[i].as_py(), np.int64).tolist() for k in (3, 4))
-                fp, heat = (np.frombuffer(b.column(k)[i].as_py(), np.uint64) for k in (5, 6))
-                part = (mix(fp) % _U(parts)).tolist()
-                base = int(off[i])
-                for s, e, p, hot in zip(lo, hi, part, heat.tolist()):
-                    if not hot:
-                        out.setdefault(p, []).append(
-                            (d, t, s, e, whole[base + s:base + e + WINDOW]))
-                        continue
-                    for w in range(s, e + 1):
-                        x = whole[base + w:base + w + WINDOW]
-                        p = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest()) % parts
-                        out.setdefault(p, []).append((d, t, w, w, x))
-            rows = []
-            for p, found in out.items():
-                c = list(zip(*found))
-                rows.append((p, *[np.array(c[k], np.int64).tobytes() for k in range(4)],
-                             np.array([len(x) for x in c[4]], np.int64).tobytes(),
-                             b"".join(c[4])))
-            arrays = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64() if k == 0 else pa.binary())
-                 for k, c in enumerate(arrays)], names=_CONTEXT_NAMES)
+            lo, hi = (_blob(b, c, np.int64) for c in ("_sa_lo", "_sa_hi"))
+            fp, heat = (_blob(b, c, np.uint64) for c in ("_sa_fp", "_sa_ctx"))
+            n = pc.binary_length(b.column(3)).to_numpy() // 8
+            doc, tie = (np.repeat(b.column(k).to_numpy(), n) for k in (0, 1))
+            begin = np.repeat(off[:-1], n) + lo
+            cold, hot = np.flatnonzero(heat == 0), np.flatnonzero(heat)
+            for s in range(0, len(cold), GATHER):
+                at = cold[s:s + GATHER]
+                part = (mix(fp[at]) % _U(parts)).astype(np.int64)
+                yield _gathered(data, part, [doc[at], tie[at], lo[at], hi[at]], begin[at],
+                                hi[at] - lo[at] + WINDOW)
+            step = max(1, GATHER // WINDOW)
+            for s in range(0, len(hot), step):
+                own = hot[s:s + step]
+                count = hi[own] - lo[own] + 1
+                at, more = np.repeat(own, count), _inside(count)
+                start, w = begin[at] + more, lo[at] + more
+                part = (window_hash(_windows(data, start)) % _U(parts)).astype(np.int64)
+                yield _gathered(data, part, [doc[at], tie[at], w, w], start,
+                                np.full(len(at), WINDOW))
 
     return asked.select(*cols).mapInArrow(emit, _CONTEXTS)
 
@@ -377,18 +431,27 @@ def _scan_family(t: pa.Table, parts: int) -> pa.Table:
     # Rows that are one document bring their contexts more than once.
     order = order[np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)
                         | (np.diff(lo[order]) != 0)]]
-    family = IndexFamily()
+    count = hi - lo + 1
     found: list[tuple] = []
-    for s in range(0, len(order), BATCH_CONTEXTS):
-        own = order[s:s + BATCH_CONTEXTS]
-        count = hi[own] - lo[own] + 1
-        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        ctx = np.repeat(own, count)
-        view = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
-        windows = np.ascontiguousarray(view[begin[ctx] + inside]).view(f"S{WINDOW}").ravel()
-        seen = family.add(windows)
-        at = lo[ctx] + inside
-        found.append((doc[ctx][seen], tie[ctx][seen], at[seen], at[seen] + WINDOW))
+    # Equal windows are of one class, so each class has a family of its own.
+    classes = max(1, -(-int(count[order].sum()) // FAMILY_WINDOWS))
+    known: list[np.ndarray] = []
+    for k in range(classes):
+        family = IndexFamily()
+        for i, s in enumerate(range(0, len(order), BATCH_CONTEXTS)):
+            own = order[s:s + BATCH_CONTEXTS]
+            ctx, inside = np.repeat(own, count[own]), _inside(count[own])
+            if classes > 1:
+                if not k:
+                    h = mix(window_hash(_windows(text, begin[ctx] + inside)) ^ _WORD[0])
+                    known.append((h % _U(classes)).astype(np.uint32))
+                some = known[i] == k
+                ctx, inside = ctx[some], inside[some]
+            if len(ctx):
+                windows = _windows(text, begin[ctx] + inside).view(f"S{WINDOW}").ravel()
+                seen = family.add(windows)
+                at = lo[ctx[seen]] + inside[seen]
+                found.append((doc[ctx[seen]], tie[ctx[seen]], at, at + WINDOW))
     return _table(_spans(*[np.concatenate(c) for c in zip(*found)], parts))
 
 
@@ -401,12 +464,15 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def repeated_spans(own: DataFrame, parts: int, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(_sa_doc, _sa_tie, _sa_lo, _sa_hi): removed spans of every document that has
     any, as blobs of int64, from rows made by :func:`keyed`."""
+    n = own.agg(F.sum(F.octet_length("_sa_text").cast("long"))).first()[0] or 0
+    parts = max(parts, -(-n // PART_TEXT))
     met = stored(_occurrences(own, parts), "met")
     judged = stored(met.where("kind = 1").groupBy("part").applyInArrow(
         lambda t: _first_contexts(t, parts, hot), _ROWS), "judged")
     asked = per_document(judged.where("kind = 2"), "asked")
     here, _ = with_rows(own.select("_sa_doc", "_sa_tie", "_sa_text"), asked)
-    contexts = _contexts(here.where("_sa_lo is not null"), parts)
+    ranges = max(parts, -(-fetched_bytes(asked) // PART_CONTEXTS))
+    contexts = _contexts(here.where("_sa_lo is not null"), ranges)
     edges = stored(contexts.groupBy("part").applyInArrow(lambda t: _scan_family(t, parts), _ROWS),
                    "edges")
     spans = (met.where("kind = 0").union(judged.where("kind = 0")).union(edges))

@@ -236,6 +236,51 @@ def test_index_family_levels_grow_geometrically():
     assert sum(sizes) == len(met) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_suffix_parts_and_families_are_bounded(spark, edge, monkeypatch):
+    """More text makes more parts, and no family holds more than its share."""
+    r = np.random.default_rng(5)
+    text = r.integers(65, 70, 40_000, dtype=np.uint8).tobytes()
+    text += text[:9_000]  # 180 bytes every 41, as contexts overlap
+    begin = np.arange(0, len(text) - 180, 41)
+    n = len(begin)
+    blob = lambda v: [np.asarray(v, np.int64).tobytes()]
+    group = pa.table({"part": [0], "doc": blob(np.zeros(n)), "tie": blob(np.zeros(n)),
+                      "lo": blob(begin), "hi": blob(begin + 80), "size": blob(np.full(n, 180)),
+                      "text": [b"".join(text[b:b + 180] for b in begin.tolist())]})
+    want = suffix_dedup._scan_family(group, 3)
+    most = []
+    add = suffix_dedup.IndexFamily.add
+
+    def counted(self, windows):
+        out = add(self, windows)
+        most.append(sum(map(len, self.levels)))
+        return out
+
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "add", counted)
+    monkeypatch.setattr(suffix_dedup, "FAMILY_WINDOWS", 4_000)
+    got = suffix_dedup._scan_family(group, 3)
+    assert got.equals(want) and want.num_rows and max(most) < 6_000
+    monkeypatch.undo()
+
+    def spans():
+        rows = suffix_dedup.deduplicated(edge).select("doc_id", "text", "_sa_lo", "_sa_hi")
+        return sorted(map(tuple, rows.collect()), key=str)
+
+    # The whole operator, in many parts.
+    for hot in (suffix_dedup.HOT_CONTEXTS, 2):
+        monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (hot,))
+        want = spans()
+        with monkeypatch.context() as m:
+            for name, value in (("PART_TEXT", 2_000), ("PART_CONTEXTS", 500),
+                                ("PIECE_TEXT", 3_000), ("GATHER", 300), ("FAMILY_WINDOWS", 50)):
+                m.setattr(suffix_dedup, name, value)
+            made, real = [], suffix_dedup._contexts
+            m.setattr(suffix_dedup, "_contexts",
+                      lambda docs, parts: made.append(parts) or real(docs, parts))
+            got = spans()
+        assert got == want and made[0] > 8
+
+
 def test_merged_spans_of_many_documents():
     """More than 2**23 documents in one part, and none."""
     n = (1 << 23) + 6

@@ -100,7 +100,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
               & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1))
         if ordered:
             on = on & (F.col("a.word") < F.col("b.word"))
-        return a.join(b, on).select(F.col("a.word").alias("s"), F.col("a.n").alias("sn"),
+        # Never broadcast: Spark sizes either side by the words' compressed
+        # file, without the key rows that the explode makes of each word.
+        return a.join(b.hint("merge"), on).select(F.col("a.word").alias("s"), F.col("a.n").alias("sn"),
                                     F.col("b.word").alias("t"), F.col("b.n").alias("tn"))
 
     # A replaced code point lies in one quarter; only other pairs can meet twice.
@@ -115,7 +117,8 @@ def roots(forms: DataFrame, largest: int, factor: int = FACTOR) -> DataFrame:
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         ends = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
         # Many words share a form: its one row meets them in several places.
-        at = stored(join_hot(at, ends, ["root"], "word", "left").select(
+        # Its copies are not in Spark's estimate either.
+        at = stored(join_hot(at, ends.hint("merge"), ["root"], "word", "left").select(
             "word", F.coalesce("further", "root").alias("root")), "roots")
     return at
 
@@ -132,12 +135,12 @@ def variant_groups(words: DataFrame, factor: int = FACTOR) -> DataFrame:
         F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
     largest = words.agg(F.max("n")).first()[0] or 0
     ok = -F.col("best.m") >= factor * F.col("n")
-    own = stored(words.join(best, "word", "left").select(
+    own = stored(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(ok, F.col("best.near")).alias("form"),
         F.when(ok, -F.col("best.m")).alias("form_n")), "forms")
     ends = roots(own.where("form is not null"), largest, factor)
-    return own.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return own.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op12_chunk_spelling_variants(spark, sf_dir: str) -> DataFrame:

@@ -157,6 +157,26 @@ def test_groups_of_edited_words_brute_force(spark):
     assert max(k[4] for k in want) > 5 and any(k[2] not in (k[0], k[1]) for k in want)
 
 
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes key rows by the words' file, so a table just under the
+    threshold would reach the driver many times as large."""
+    words = spark.createDataFrame([(f"wordword{i:04d}", 1 + 99 * (i % 50 == 0))
+                                   for i in range(300)], "word string, n long")
+    plans, real = [], SV.stored
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(SV, "stored", kept)
+    out = SV.variant_groups(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 300
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
+
+
 def test_a_key_that_many_words_share_loses_no_pair(spark):
     """Thousands of words that share three quarters, one near its neighbours."""
     words = ["prefixprefixprefix" + "".join(chr(97 + (k // 26 ** j) % 26) for j in range(3))

@@ -349,3 +349,58 @@ def test_driver_drops_what_its_rounds_sent(table, monkeypatch):
     monkeypatch.setattr(CloudPickleSerializer, "dumps", watched)
     assert MD.predict(model, df).where("p is null").count() == 0
     assert dumped and max(dumped) < 1_000_000
+
+
+def test_sums_of_rows_are_exact_in_pieces(monkeypatch):
+    """Rows and weights that share a number, rows picked by place, and pieces
+    give the sums of a plain loop; row weights are the quantiles of Poisson(1)."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 8, (400, 5)).astype(np.uint8)
+    at = np.sort(rng.choice(400, 300, replace=False))
+    slot, drawn = rng.integers(0, 3, 300), np.array([[0, 2], [0, 4], [0, 1]])
+    w, g = rng.integers(1, 12, 300), np.rint(rng.normal(0, 2 ** 28, 300))
+    for weight in (w, np.ones(300, np.int64)):
+        want = np.zeros((3, 2, 8, 3), np.int64)
+        for r, s, v, d in zip(at, slot, weight, g):
+            for j, f in enumerate(drawn[s]):
+                want[s, j, x[r, f]] += (1, v, v * int(d))
+        for pack in (TR._PACK, 16 * 7):
+            monkeypatch.setattr(TR, "_PACK", pack)
+            got = np.zeros_like(want)
+            if pack == 16 * 7:  # pieces of 7 rows: 77 at most in weight
+                assert weight.max() * 7 < pack
+            TR.add_sums(got, x, slot, drawn, *TR.row_sums(weight, g), at)
+            assert np.array_equal(got, want)
+    rid = rng.integers(0, 2 ** 63, 200_000).astype(np.uint64)
+    want = np.searchsorted(TR._POISSON, TR._uniform(rid, 42, 7, 1), side="right")
+    assert np.array_equal(TR.row_weights(rid, TR.TreeParams(), 42, 7), want)
+
+
+@pytest.mark.parametrize("features", [None, "log2"])
+def test_trees_over_rows_in_memory_add_up_the_smaller_child(monkeypatch, features):
+    """A node's sums from its sibling's give the tree that all sums give, with
+    fewer rows added up; where nodes draw features nothing is taken over."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 16, (3000, 4)).astype(np.uint8)
+    g = np.rint((x[:, 0] * 3.0 - x[:, 1] + rng.normal(0, 4, 3000)) * 2 ** 10)
+    fit = TR.Fit(0, TR.TreeParams(max_depth=6, node_features=features), total=3000, scale=2.0 ** 10)
+    added, add = [], TR.add_sums
+    monkeypatch.setattr(TR, "add_sums", lambda out, x, slot, *a: added.append(len(slot))
+                        or add(out, x, slot, *a))
+    trees, work = [], []
+    for space in (TR.HIST_BYTES, 0):  # no space: one node at a time, nothing kept
+        monkeypatch.setattr(TR, "HIST_BYTES", space)
+        t = TR.Tree(fit, 0, 4)
+        TR.grow_here(x, np.ones(3000, np.int64), g, t, 16)
+        trees.append(t.nodes)
+        work.append(sum(added))
+        added.clear()
+    assert trees[0] == trees[1] and len(trees[0]) > 60
+    assert work[0] < 0.75 * work[1] if features is None else work[0] == work[1]
+
+
+def test_groups_are_dealt_by_their_rows():
+    got = TR.deal(["a", "b", "c", "d", "e"], [5, 9, 5, 1, 4], 2)
+    assert sorted(got) == list("abcde") and got["b"] != got["a"] == got["c"]
+    load = [sum(n for g, n in zip("abcde", [5, 9, 5, 1, 4]) if got[g] == k) for k in (0, 1)]
+    assert max(load) == 13 or max(load) == 14
